@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import bpe_tree, exact_dedup, language_id, license_scan, packing, pii, quality_rules, token_counts
+from . import bpe_tree, exact_dedup, language_id, license_scan, packing, pii, quality_rules, suffix_dedup, token_counts
 from .shared import table
 
 
@@ -39,6 +39,11 @@ def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.suffix_sums(token_counts.histogram(token_counts.token_lengths(table(spark, sf_dir, "documents"))))
 
 
+def op7_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    got = suffix_dedup.suffix_dedup(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return got.select("doc_id", "n_bytes", "n_removed", F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.pseudonymise(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
@@ -55,7 +60,7 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_packing, op2_bpe_tree, op3_quality_rules, op4_exact_dedup, op5_license_scan, op6_token_counts, op9_pii, op10_language_id)}
+    return {f.__name__: f for f in (op1_packing, op2_bpe_tree, op3_quality_rules, op4_exact_dedup, op5_license_scan, op6_token_counts, op7_suffix_dedup, op9_pii, op10_language_id)}
 
 
 def oracle_sql() -> dict[str, str]:
