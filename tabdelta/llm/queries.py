@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import bpe_tree, exact_dedup, language_id, license_scan, packing, pii, quality_rules, suffix_dedup, token_counts
+from . import bpe_tree, exact_dedup, jaccard_join, language_id, license_scan, packing, pii, quality_rules, suffix_dedup, token_counts
 from .shared import table
 
 
@@ -44,6 +44,11 @@ def op7_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return got.select("doc_id", "n_bytes", "n_removed", F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def op8_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    got = jaccard_join.jaccard_components(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return got.select("doc_id", "n_shingles", "component_id")
+
+
 def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.pseudonymise(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
@@ -60,7 +65,7 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_packing, op2_bpe_tree, op3_quality_rules, op4_exact_dedup, op5_license_scan, op6_token_counts, op7_suffix_dedup, op9_pii, op10_language_id)}
+    return {f.__name__: f for f in (op1_packing, op2_bpe_tree, op3_quality_rules, op4_exact_dedup, op5_license_scan, op6_token_counts, op7_suffix_dedup, op8_jaccard_join, op9_pii, op10_language_id)}
 
 
 def oracle_sql() -> dict[str, str]:
