@@ -48,6 +48,10 @@ _POS_BITS = np.uint64(20)
 _POS_MASK = np.uint64((1 << 20) - 1)
 
 
+def signed(x: int) -> int:
+    return x - (1 << 64) if x >> 63 else x
+
+
 class Anchors:
     """Anchor positions of a text and the hash of the digit that starts at each."""
 
@@ -204,20 +208,27 @@ def repeated_spans(docs: DataFrame, work: Workspace, threshold: int = THRESHOLD,
     named = dict(k1=L, k2=I, p=I, key=L, done=T.BooleanType(), l=I, context=B, lo=I, hi=I)
     batch = lambda rows: pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), kinds)], names=list(named))
 
+    node, union = ["key", "lo", "hi"], ["u1", "u2"]
+    split_named = dict(named, u1=L, u2=L)
+    split_kinds = (*kinds, pa.int64(), pa.int64())
+
     def split(batches):
         for b in batches:
             rows = []
             for r in b.to_pylist():
+                context, l = r["context"], r["l"]
                 for lo, hi in _halves(r["lo"], r["hi"]):
-                    own = needed(r["context"], r["l"], lo, hi, digit, room)
-                    if own is not None:
-                        key = xxhash.xxh3_64_intdigest(own, lo)
-                        rows.append((r["k1"], r["k2"], r["p"], key - (1 << 64) if key >> 63 else key, r["done"], r["l"], r["context"], lo, hi))
+                    own = needed(context, l, lo, hi, digit, room)
+                    if own is None or max(lo, room - (len(context) - l - digit)) > min(hi, l):
+                        continue
+                    key = xxhash.xxh3_64_intdigest(own, lo)
+                    u = xxhash.xxh3_128_intdigest(context[max(0, l - hi) : l + digit + room - lo], min(l, hi))
+                    rows.append((r["k1"], r["k2"], r["p"], signed(key), r["done"], l, context, lo, hi, signed(u >> 64), signed(u & 0xFFFFFFFFFFFFFFFF)))
                 if len(rows) > 5000:
-                    yield batch(rows)
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), split_kinds)], names=list(split_named))
                     rows = []
             if rows:
-                yield batch(rows)
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), split_kinds)], names=list(split_named))
 
     def sort(group: pa.Table) -> pa.Table:
         rows = list(zip(group["context"].to_pylist(), group["l"].to_pylist()))
@@ -226,20 +237,25 @@ def repeated_spans(docs: DataFrame, work: Workspace, threshold: int = THRESHOLD,
         keep = [(k1[m], k2[m], p[m] - last, p[m] - first + threshold) for m, first, last in found if not done[m]]
         return pa.Table.from_arrays([pa.array([x[k] for x in keep], t) for k, t in enumerate((pa.int64(), pa.int32(), pa.int32(), pa.int32()))], names=["k1", "k2", "start", "end"])
 
-    own = work.stage(texts.mapInArrow(contexts, fields(**named)), "contexts0")
-    out = fields(k1=L, k2=I, start=I, end=I)
+    last = F.least("hi", "l")
+    first = F.greatest(F.col("lo"), F.lit(room + digit) + F.col("l") - F.length("context"))
+    reps = work.stage(texts.mapInArrow(contexts, fields(**named)), "reps0")
     for level in range(1, room.bit_length() + 2):
-        sizes = work.stage(own.groupBy("key", "lo", "hi").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), f"sizes{level}")
-        is_hot = (F.col("n") > group_rows) & (F.col("lo") < F.col("hi"))
-        alone = F.col("lo") == F.col("hi")  # one window, wholly in the key: its group needs no gathering
-        few = own.join(sizes.where(~is_hot & ~alone).select("key", "lo", "hi"), ["key", "lo", "hi"], "left_semi")
-        spans = spans.unionByName(few.select(*named).groupBy("key", "lo", "hi").applyInArrow(sort, out))
-        agreed = own.where(alone).join(sizes.where(alone).select("key", "lo", "hi"), ["key", "lo", "hi"], "left_semi")
-        spans = spans.unionByName(agreed.where("not done").select("k1", "k2", (F.col("p") - F.col("lo")).alias("start"), (F.col("p") - F.col("lo") + threshold).alias("end")))
-        hot = sizes.where(is_hot).select("key", "lo", "hi")
+        nodes = work.stage(reps.groupBy(*node).agg(F.count(F.lit(1)).alias("n")).where("n > 1"), f"nodes{level}")
+        few = reps.join(nodes.where(F.col("n") <= group_rows).select(*node), node, "left_semi").select(*named)
+        spans = spans.unionByName(work.stage(few.groupBy(*node).applyInArrow(sort, fields(k1=L, k2=I, start=I, end=I)), f"spans{level}"))
+        hot = nodes.where(F.col("n") > group_rows).select(*node)
         if hot.isEmpty():
             break
-        own = work.stage(own.join(hot, ["key", "lo", "hi"], "left_semi").select(*named).mapInArrow(split, fields(**named)), f"contexts{level}")
+        # The next digit of the large groups. Rows that agree on all their windows are done, and one of them stands for them below.
+        own = work.stage(reps.join(hot, node, "left_semi").select(*named).mapInArrow(split, fields(**split_named)), f"rows{level}")
+        alike = work.stage(own.groupBy(*node, *union).agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("k1", "k2", "p", "l", "context", "done")).alias("x")), f"alike{level}")
+        work.drop(f"reps{level - 1}")
+        agreed = own.where("not done").join(alike.where("n > 1").select(*node, *union), [*node, *union], "left_semi")
+        spans = spans.unionByName(work.stage(agreed.select("k1", "k2", (F.col("p") - last).alias("start"), (F.col("p") - first + threshold).alias("end")), f"agreed{level}"))
+        work.drop(f"rows{level}")
+        reps = work.stage(alike.select("x.k1", "x.k2", "x.p", "key", (F.col("x.done") | (F.col("n") > 1)).alias("done"), "x.l", "x.context", "lo", "hi"), f"reps{level}")
+        work.drop(f"alike{level}")
     return spans
 
 
