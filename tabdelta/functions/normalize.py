@@ -26,9 +26,9 @@ def strip_blanks(c: Column) -> Column:
 def _word(c: Column, semantics: str) -> Column:
     """The cell in capitals, blanks in order; v2 collapses inner blanks and takes the text ``nan`` as missing."""
     if semantics == "v2":
-        return F.when(c.isNull() | c.isin("", "nan"), "").otherwise(F.upper(F.trim(F.regexp_replace(c, f"{BLANKS}+", " "))))
+        return F.coalesce(F.when(~c.isin("", "nan"), F.upper(F.trim(F.regexp_replace(c, f"{BLANKS}+", " ")))), F.lit(""))
     if semantics == "v1":
-        return F.when(c.isNull(), "NAN").otherwise(F.upper(strip_blanks(c)))
+        return F.coalesce(F.upper(strip_blanks(c)), F.lit("NAN"))
     raise ValueError(f"unknown semantics {semantics!r}")
 
 
@@ -43,7 +43,8 @@ def _form(word: Column, number: Column) -> Column:
     as_whole = (F.abs(number) < _EXACT) & (F.abs(number - whole.cast("double")) < 1e-9)
     rendered = F.when(as_whole, whole.cast("string")).otherwise(number.cast("string"))
     finite = number.isNotNull() & (F.abs(number) < float("inf"))
-    return F.when(word.isin(*TRUE_WORDS), "TRUE").when(word.isin(*FALSE_WORDS), "FALSE").when(finite, rendered).otherwise(word)
+    # Never null, and known to be: else every join on a canonical key would filter by the whole expression.
+    return F.coalesce(F.when(word.isin(*TRUE_WORDS), "TRUE").when(word.isin(*FALSE_WORDS), "FALSE").when(finite, rendered), word, F.lit(""))
 
 
 def with_canonical(df: DataFrame, cells: dict[str, Column], semantics: str = "v2") -> DataFrame:

@@ -11,7 +11,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from ..functions.normalize import with_canonical
+from ..functions.normalize import canonical, with_canonical
 
 ORDER = "__rid"
 KEY = "__key__"
@@ -54,16 +54,15 @@ def first_rows(side: DataFrame) -> DataFrame:
 def with_changed(df: DataFrame, columns: list[str], keys: list[str], old: str = "old", new: str = "new", semantics: str = "v2") -> DataFrame:
     """df with changed_cols: names of columns whose canonical values differ; key columns are exempt.
 
-    Only cells whose raw texts differ are brought to canonical form.
+    Only cells whose raw texts differ are brought to canonical form. The expression is
+    small, so filters on it can move below joins and projections without growing.
     """
-    compared = [c for c in columns if c not in keys]
-    cells = {}
-    for k, c in enumerate(compared):
-        a, b = F.col(f"{old}.`{c}`"), F.col(f"{new}.`{c}`")
-        cells[f"__o_{k}"], cells[f"__n_{k}"] = F.when(~a.eqNullSafe(b), a), F.when(~a.eqNullSafe(b), b)
-    df = with_canonical(df, cells, semantics)
-    differs = [F.when(F.col(f"__o_{k}") != F.col(f"__n_{k}"), F.lit(c)) for k, c in enumerate(compared)]
-    return df.withColumn("changed_cols", F.array_compact(F.array(*differs)) if differs else F.array().cast("array<string>")).drop(*cells)
+    differs = []
+    for c in columns:
+        if c not in keys:
+            a, b = F.col(f"{old}.`{c}`"), F.col(f"{new}.`{c}`")
+            differs.append(F.when(~a.eqNullSafe(b) & (canonical(a, semantics) != canonical(b, semantics)), F.lit(c)))
+    return df.withColumn("changed_cols", F.array_compact(F.array(*differs)) if differs else F.array().cast("array<string>"))
 
 
 class KeyedDiff:
