@@ -35,7 +35,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
-from .components import components
+from .components import components, spread
 from .shared import Workspace, fresh, shuffle_partitions, without
 
 WORDS = 5
@@ -49,6 +49,8 @@ CELL_ROWS = 50_000
 SMALL_CELL = 32
 #: Comparisons a cell may still need after its pivot before it takes another.
 CELL_PAIRS = 100_000
+#: Pairs of a cell that are held against the bounds for each that may be compared.
+LOOKS = 500
 MAX_PIVOTS = 12
 
 _CACHE_WORDS = 2_000_000
@@ -295,16 +297,18 @@ class JaccardJoin:
         rows = self.docs.select(self.text).mapInArrow(prefixes, schema).repartition(parts, "s", "salt").sortWithinPartitions("s", "salt", F.desc("pr"), "c1", "c2").mapInArrow(group, out_schema)
         node, pivot = F.struct(F.col("c1").alias("a"), F.col("c2").alias("b")), F.struct(F.col("p1").alias("a"), F.col("p2").alias("b"))
         found = self.work.stage(rows.select("s", "salted", node.alias("x"), "n", "pos", "pr", F.struct("ppr", pivot.alias("p"), "pn", "ppos").alias("head")), "parts")
-        tops = self.work.stage(found.where("salted").groupBy("s").agg(F.max("head").alias("top")), "tops")
-        one = found.where("salted").join(tops, "s").withColumn("head", F.col("top")).drop("top")
-        self.members = self.work.stage(found.where("not salted").unionByName(one).select("s", "x", "n", "pos", "pr", F.col("head.p").alias("p"), F.col("head.pn").alias("pn"), F.col("head.ppos").alias("ppos")).distinct(), "cells")
+        plain = found
+        if not found.where("salted").isEmpty():
+            tops = self.work.stage(found.where("salted").groupBy("s").agg(F.max("head").alias("top")), "tops")
+            one = found.where("salted").join(tops, "s").withColumn("head", F.col("top")).drop("top")
+            plain = self.work.stage(found.where("not salted").unionByName(one), "cells")
+        self.members = plain.select("s", "x", "n", "pos", "pr", F.col("head.p").alias("p"), F.col("head.pn").alias("pn"), F.col("head.ppos").alias("ppos"))
 
     # -- comparisons --------------------------------------------------------------------------------------------
     def fetch_sets(self) -> None:
         """The sets of all points in cells, each from one of its documents."""
         words = self.words
         wanted = self.members.select(F.col("x").alias("node")).distinct().join(self.points, "node").select("node", F.col("k.k1").alias(self.k1), F.col("k.k2").alias(self.k2))
-        wanted = self.work.stage(wanted, "wanted")
         texts = self.docs.select(self.k1, self.k2, self.text).join(wanted.hint("shuffle_hash"), [self.k1, self.k2]).select("node", self.text)
 
         def run(batches):
@@ -346,49 +350,54 @@ class JaccardJoin:
 
     def links(self) -> DataFrame:
         """Links (u, v) between points that connect whatever is connected."""
-        radius = 1 - NUM / DEN + 1e-9
         star = self.members.where("x != p").where(may_link_column(F.col("n"), F.col("pos"), F.col("pn"), F.col("ppos"))).select(*self.pair("x", "p")).distinct()
         tested = self.compare(star, "star")
-        labels = components(tested.where("linked"), self.work, "cc0")
-        used = None  # pivots that were compared with all of their cell
-        for turn in range(MAX_PIVOTS + 1):
+        used = None  # (cell, point) that was compared with all of its cell
+        for turn in range(MAX_PIVOTS + 1):  # a turn per further pivot; most inputs need none
+            labels = self.work.stage(spread(tested.where("linked")), f"near{turn}")
             rows = self.work.stage(self.labelled(labels, tested), f"labelled{turn}")
             outside = rows.where("lx != lp")
             if used is not None:
                 outside = outside.join(used, ["s", "x"], "left_anti")
-            outside = self.work.stage(outside, f"outside{turn}")
-            if outside.isEmpty():
-                return tested.where("linked").select("u", "v")
-            costs = outside.groupBy("s").agg(F.count(F.lit(1)).alias("n_out")).join(rows.groupBy("s").agg(F.count(F.lit(1)).alias("n_all")), "s").where(F.col("n_out") * F.col("n_all") > self.cell_pairs)
-            big = self.work.stage(costs.select("s"), f"big{turn}")
-            if turn == MAX_PIVOTS or big.isEmpty():
+            if turn == MAX_PIVOTS:
+                break
+            # Cells that still have much to compare, or too many points even to count that, take a further pivot.
+            looked = outside.groupBy("s").agg(F.count(F.lit(1)).alias("n_out")).join(rows.groupBy("s").agg(F.count(F.lit(1)).alias("n_all")), "s")
+            looked = self.work.stage(looked.select("s", (F.col("n_out") * F.col("n_all")).alias("looks")), f"looks{turn}")
+            few = outside.join(looked.where(F.col("looks") <= self.cell_pairs * LOOKS).select("s"), "s", "left_semi")
+            much = self.open_pairs(few, rows).groupBy("s").agg(F.count(F.lit(1)).alias("looks")).where(F.col("looks") > self.cell_pairs)
+            big = self.work.stage(looked.where(F.col("looks") > self.cell_pairs * LOOKS).select("s").unionByName(much.select("s")), f"big{turn}")
+            if big.isEmpty():
                 break
             heads = outside.join(big, "s").groupBy("s").agg(F.max(F.struct("pr", "x", "n", "pos", "lx", "distance")).alias("h"))
             heads = self.work.stage(heads.select("s", F.col("h.x").alias("x"), F.col("h.n").alias("n"), F.col("h.pos").alias("pos"), F.col("h.lx").alias("lx"), F.col("h.distance").alias("distance")), f"heads{turn}")
-            tested = tested.unionByName(self.compare(self.open_pairs(heads, rows, tested, radius), f"turn{turn}"))
+            tested = tested.unionByName(self.compare(self.untested(self.open_pairs(heads, rows), tested), f"turn{turn}"))
             used = heads.select("s", "x") if used is None else used.unionByName(heads.select("s", "x"))
-            labels = components(tested.where("linked"), self.work, f"cc{turn + 1}")
-        return tested.unionByName(self.compare(self.open_pairs(outside, rows, tested, radius), "rest")).where("linked").select("u", "v")
+        return tested.unionByName(self.compare(self.untested(self.open_pairs(outside, rows), tested), "rest")).where("linked").select("u", "v")
 
-    def open_pairs(self, some: DataFrame, rows: DataFrame, tested: DataFrame, radius: float) -> DataFrame:
-        """Untested pairs of ``some`` points with others of their cells, of other components, that no bound rules out."""
+    def open_pairs(self, some: DataFrame, rows: DataFrame) -> DataFrame:
+        """(s, u, v): pairs of ``some`` points with others of their cells, of other components, that no bound rules out."""
         a = some.select("s", F.col("x").alias("xa"), F.col("n").alias("na"), F.col("pos").alias("ia"), F.col("lx").alias("la"), F.col("distance").alias("da"))
         b = rows.select("s", F.col("x").alias("xb"), F.col("n").alias("nb"), F.col("pos").alias("ib"), F.col("lx").alias("lb"), F.col("distance").alias("db"))
-        window = F.coalesce(F.abs(F.col("da") - F.col("db")) <= radius, F.lit(True))
-        found = a.join(b, "s").where((F.col("la") != F.col("lb")) & window & may_link_column(F.col("na"), F.col("ia"), F.col("nb"), F.col("ib"))).select(*self.pair("xa", "xb")).distinct()
-        return found.join(tested.select("u", "v"), ["u", "v"], "left_anti")
+        window = F.coalesce(F.abs(F.col("da") - F.col("db")) <= 1 - NUM / DEN + 1e-9, F.lit(True))
+        fits = (F.col("la") != F.col("lb")) & window & may_link_column(F.col("na"), F.col("ia"), F.col("nb"), F.col("ib"))
+        return a.join(b, (a["s"] == b["s"]) & fits).select(a["s"], *self.pair("xa", "xb"))
+
+    @staticmethod
+    def untested(pairs: DataFrame, tested: DataFrame) -> DataFrame:
+        return pairs.select("u", "v").distinct().join(tested.select("u", "v"), ["u", "v"], "left_anti")
 
     # -- result -------------------------------------------------------------------------------------------------
     def run(self) -> DataFrame:
         self.scan()
         self.cells()
         self.fetch_sets()
-        labels = components(self.links(), self.work, "final")
-        named = self.points.join(labels, "node", "left").select("node", F.coalesce("label", "node").alias("label"), "least_id", "no_id")
-        named = self.work.stage(named, "named")
-        least = self.work.stage(named.groupBy("label").agg(F.min("least_id").alias("least_id"), F.max("no_id").alias("no_id")), "least")
-        ids = named.select("node", "label").join(least, "label").select(F.col("node.a").alias(self.c1), F.col("node.b").alias(self.c2), F.when(F.col("no_id") == 0, F.col("least_id")).alias("component_id"))
-        ids = self.work.stage(ids, "ids")
+        labels = self.work.stage(components(self.links(), self.work, "final"), "labels")
+        joined = labels.join(self.points, "node").select("node", "label", "least_id", "no_id")
+        least = joined.groupBy("label").agg(F.min("least_id").alias("least"), F.max("no_id").alias("none"))
+        named = self.points.join(labels.join(least, "label").select("node", "least", "none"), "node", "left")
+        component = F.when(F.coalesce("none", "no_id") == 0, F.coalesce("least", "least_id"))
+        ids = self.work.stage(named.select(F.col("node.a").alias(self.c1), F.col("node.b").alias(self.c2), component.alias("component_id")), "ids")
         own = [F.col(f"`{c}`") for c in self.rest]
         linked = self.rows.where(F.col(self.n) > 0).join(ids, [self.c1, self.c2]).select(*own, F.col(self.n).alias("n_shingles"), "component_id")
         empty = self.rows.where(F.col(self.n) == 0).select(*own, F.col(self.n).alias("n_shingles"), F.col(f"`{self.id_col}`").alias("component_id"))
