@@ -69,7 +69,60 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_exact_dedup": OP4}
+    """SQL for what SQL can express; the other queries are tested against brute force."""
+    return {"op3_quality_rules": OP3, "op4_exact_dedup": OP4, "op5_license_scan": _license_sql(), "op8_jaccard_join": OP8}
+
+
+OP3 = r"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
+w AS (SELECT doc_id, t, regexp_extract_all(t, '[^\x20\x09-\x0D]+') AS words FROM d),
+i AS (SELECT doc_id, words, unnest(range(1, len(words) - 1)) AS i FROM w),
+g AS (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, words[i], words[i + 1], words[i + 2]) AS c FROM i),
+r AS (SELECT doc_id, count(DISTINCT p) AS n_repeat_words FROM (SELECT doc_id, unnest([i, i + 1, i + 2]) AS p FROM g WHERE c > 1) GROUP BY doc_id),
+l AS (SELECT doc_id, count(*) AS n_lines, count(*) - count(DISTINCT line) AS n_dup_lines FROM (SELECT doc_id, unnest(string_split(t, chr(10))) AS line FROM d) WHERE regexp_matches(line, '[^\x20\x09-\x0D]') GROUP BY doc_id),
+m AS (SELECT w.doc_id, len(words) AS n_words, length(array_to_string(words, '')) AS word_chars, length(regexp_replace(t, '[^#*$%&|<>]', '', 'g')) AS n_symbols, coalesce(n_lines, 0) AS n_lines, coalesce(n_dup_lines, 0) AS n_dup_lines,
+  coalesce(n_repeat_words, 0) AS n_repeat_words, length(regexp_replace(t, '[^A-Za-z]', '', 'g')) AS n_letters, length(regexp_replace(t, '[^A-Z]', '', 'g')) AS n_upper FROM w LEFT JOIN r ON w.doc_id = r.doc_id LEFT JOIN l ON w.doc_id = l.doc_id),
+b AS (SELECT *, (n_words < 50) AS b0, (100 * n_repeat_words > 50 * n_words) AS b1, (100 * n_symbols > 10 * n_words) AS b2, (n_dup_lines > 1 AND 100 * n_dup_lines > 30 * n_lines) AS b3,
+  (word_chars < 2 * n_words OR word_chars > 20 * n_words) AS b4, (n_letters > 0 AND 100 * n_upper > 50 * n_letters) AS b5 FROM m)
+SELECT doc_id, CAST(n_words AS BIGINT) AS n_words, CAST(word_chars AS BIGINT) AS word_chars, CAST(n_symbols AS BIGINT) AS n_symbols, CAST(n_dup_lines AS BIGINT) AS n_dup_lines, CAST(n_repeat_words AS BIGINT) AS n_repeat_words,
+  b0 OR b1 AS base_failed, NOT (b0 OR b1 OR b2 OR b3 OR b4 OR b5) AS kept, CAST(b0 AS BIGINT) + 2 * CAST(b1 AS BIGINT) + 4 * CAST(b2 AS BIGINT) + 8 * CAST(b3 AS BIGINT) + 16 * CAST(b4 AS BIGINT) + 32 * CAST(b5 AS BIGINT) AS fail_bits FROM b
+"""
+
+OP8 = r"""
+WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS words FROM documents),
+s AS (SELECT DISTINCT doc_id, shingle FROM (
+  SELECT doc_id, array_to_string(words[i : i + 4], ' ') AS shingle FROM (SELECT doc_id, words, unnest(range(1, len(words) - 3)) AS i FROM w WHERE len(words) >= 5)
+  UNION ALL SELECT doc_id, array_to_string(words, ' ') FROM w WHERE len(words) BETWEEN 1 AND 4)),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+p AS (SELECT a.doc_id AS u, b.doc_id AS v, count(*) AS c FROM s a JOIN s b ON a.shingle = b.shingle AND a.doc_id < b.doc_id GROUP BY 1, 2),
+e AS (SELECT u, v FROM p JOIN n x ON x.doc_id = u JOIN n y ON y.doc_id = v WHERE 100 * c >= 80 * (x.n + y.n - c)),
+b AS (SELECT u, v FROM e UNION ALL SELECT v, u FROM e),
+r AS (SELECT u AS doc_id, v AS seen FROM b UNION SELECT r.doc_id, b.v FROM r JOIN b ON r.seen = b.u),
+c AS (SELECT doc_id, min(seen) AS least FROM r GROUP BY doc_id)
+SELECT w.doc_id, CAST(coalesce(n.n, 0) AS BIGINT) AS n_shingles, least(w.doc_id, coalesce(c.least, w.doc_id)) AS component_id FROM w LEFT JOIN n ON w.doc_id = n.doc_id LEFT JOIN c ON w.doc_id = c.doc_id
+"""
+
+
+def _license_sql() -> str:
+    quoted = lambda x: "'" + x.replace("'", "''") + "'"
+
+    def form(c: str) -> str:
+        x = f"regexp_replace(lower({c}), '(?m)^[ \\t*#/;-]*(copyright|©|\\(c\\))[^\\n]*$', ' ', 'g')"
+        for pattern, short in license_scan.SPELLINGS:
+            x = f"replace({x}, {quoted(pattern)}, {quoted(short)})"
+        marks = license_scan._PUNCTUATION
+        return f"trim(regexp_replace(translate({x}, {quoted(marks)}, {quoted(' ' * len(marks))}), '[ \\t\\n\\x0B\\f\\r]+', ' ', 'g'))"
+
+    known = ", ".join(f"({quoted(k)}, {quoted(t)})" for k, t in license_scan.KNOWN)
+    return f"""
+WITH k AS (SELECT DISTINCT license_id, sha256({form('t')}) AS digest FROM (VALUES {known}) x(license_id, t) WHERE length({form('t')}) > 0),
+d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
+u AS (SELECT doc_id, 'whole' AS kind, t AS unit FROM d
+  UNION ALL SELECT doc_id, 'paragraph', unnest(regexp_split_to_array(t, '\n[ \t\r]*\n')) FROM d WHERE contains(t, chr(10) || chr(10))
+  UNION ALL SELECT doc_id, 'line', unnest(string_split(t, chr(10))) FROM d WHERE contains(t, chr(10))),
+f AS (SELECT u.doc_id, kind, license_id FROM (SELECT doc_id, kind, sha256({form('unit')}) AS digest FROM u) u LEFT JOIN k ON u.digest = k.digest)
+SELECT doc_id, coalesce(array_to_string(list_sort(list_distinct(list(license_id) FILTER (license_id IS NOT NULL))), ','), '') AS license_ids, count(license_id) AS n_units, coalesce(bool_or(kind = 'whole' AND license_id IS NOT NULL), false) AS whole_text FROM f GROUP BY doc_id
+"""
 
 
 OP4 = """
