@@ -22,10 +22,18 @@ def shared_dir(spark: SparkSession) -> str:
     return (found or DEFAULT_SHARED).rstrip("/")
 
 
+#: Rows per batch to and from Python where the session has Spark's default: whole texts are long, and a batch of
+#: them is held several times over. The final, lazy step of an operator runs under it as well, so it stays set.
+BATCH_ROWS = 2000
+_BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
 class Workspace:
     """Tables of one operator call; they go when the application ends, or earlier by drop()."""
 
     def __init__(self, spark: SparkSession, tag: str):
+        if spark.conf.get(_BATCH, None) in (None, "10000"):
+            spark.conf.set(_BATCH, str(BATCH_ROWS))
         self.spark = spark
         self.root = f"{shared_dir(spark)}/{tag}-{uuid.uuid4().hex}"
         atexit.register(self.drop)

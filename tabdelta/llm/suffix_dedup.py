@@ -42,6 +42,8 @@ DIGIT = 128
 #: Contexts that one task sorts by itself; more are dealt out by their next digit.
 GROUP_ROWS = 200
 PIECE = 1 << 19
+#: Bytes of text per batch that goes back.
+FLUSH_BYTES = 4 << 20
 
 _BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
 _POS_BITS = np.uint64(20)
@@ -112,30 +114,85 @@ def needed(context: bytes, left: int, lo: int, hi: int, digit: int, room: int) -
     return context[left - lo : left + digit + room - hi]
 
 
+def agree(a: bytes, b: bytes) -> int:
+    """The length of the common prefix."""
+    n = min(len(a), len(b))
+    if a[:n] == b[:n]:
+        return n
+    lo = 0
+    while n - lo > 1:
+        mid = (lo + n) // 2
+        if a[lo:mid] == b[lo:mid]:
+            lo = mid
+        else:
+            n = mid
+    return lo
+
+
 def sort_group(rows: list[tuple[bytes, int]], lo: int, hi: int, digit: int, room: int) -> list[tuple[int, int, int]]:
-    """(row, first, last): windows starting first..last bytes before the anchor that another row repeats."""
-    found, stack = [], [(list(range(len(rows))), lo, hi)]
+    """(row, first, last): windows starting first..last bytes before the anchor that another row repeats.
+
+    Rows are held against one of them, on both sides of the digit at once. Two rows can
+    agree on more than each agrees with that one only if they part from it at the same
+    place with the same byte, so such rows are sorted further among themselves.
+    """
+    found: dict[int, list[tuple[int, int]]] = {}
+    before = [c[:left][::-1][:room] for c, left in rows]
+    after = [c[left + digit :][:room] for c, left in rows]
+    sides = []
+    if len(rows) > 3:
+        for part in (before, after):
+            flat = np.frombuffer(b"".join(x.ljust(room, b"\0") for x in part), np.uint8).reshape(len(rows), room)
+            sides.append((flat, np.array([len(x) for x in part], np.int64)))
+
+    def put(x: int, y: int, l: int, r: int) -> None:
+        first, last = max(lo, room - r), min(hi, l)
+        if first <= last:
+            found.setdefault(x, []).append((first, last))
+            found.setdefault(y, []).append((first, last))
+
+    def part(own: np.ndarray, side: int) -> tuple[np.ndarray, list[np.ndarray]]:
+        """How long each row agrees with the first, and the rows that part from it alike."""
+        flat, size = sides[side]
+        differs = flat[own[1:]] != flat[own[0]]
+        length = np.where(differs.any(1), differs.argmax(1), room)
+        length = np.minimum(length, np.minimum(size[own[1:]], size[own[0]]))
+        on = np.flatnonzero((length < room) & (length < size[own[1:]]))
+        key = length[on] << 8 | flat[own[1:][on], length[on]]
+        order = np.argsort(key, kind="stable")
+        cuts = np.flatnonzero(np.diff(key[order])) + 1
+        return length, [own[1:][on[g]] for g in np.split(order, cuts) if len(g) > 1]
+
+    groups: dict[bytes, list[int]] = {}
+    for m, row in enumerate(rows):
+        key = needed(*row, lo, hi, digit, room)
+        if key is not None:
+            groups.setdefault(key, []).append(m)
+    stack = [np.array(g) for g in groups.values() if len(g) > 1]
     while stack:
-        members, lo, hi = stack.pop()
-        groups: dict[bytes, list[int]] = {}
-        for m in members:
-            key = needed(*rows[m], lo, hi, digit, room)
-            if key is not None:
-                groups.setdefault(key, []).append(m)
-        for own in groups.values():
-            if len(own) < 2:
-                continue
-            if lo == hi:
-                found += [(m, lo, lo) for m in own]
-                continue
-            whole = {(min(left, hi), context[max(0, left - hi) : left + digit + room - lo]) for context, left in (rows[m] for m in own)}
-            if len(whole) == 1:
-                for m in own:
-                    context, left = rows[m]
-                    found.append((m, max(lo, room - (len(context) - left - digit)), min(hi, left)))
-                continue
-            stack += [(own, a, b) for a, b in _halves(lo, hi)]
-    return found
+        own = stack.pop()
+        if len(own) <= 3:
+            for i, x in enumerate(own.tolist()):
+                for y in own[:i].tolist():
+                    put(x, y, agree(before[x], before[y]), agree(after[x], after[y]))
+            continue
+        left, further = part(own, 0)
+        right, more = part(own, 1)
+        stack += further + more
+        for k in np.flatnonzero(np.maximum(lo, room - right) <= np.minimum(hi, left)).tolist():
+            put(int(own[k + 1]), int(own[0]), int(left[k]), int(right[k]))
+    out = []
+    for m, ranges in found.items():
+        ranges.sort()
+        first, last = ranges[0]
+        for a, b in ranges[1:]:
+            if a <= last + 1:
+                last = max(last, b)
+            else:
+                out.append((m, first, last))
+                first, last = a, b
+        out.append((m, first, last))
+    return out
 
 
 def repeated_spans(docs: DataFrame, work: Workspace, threshold: int = THRESHOLD, digit: int = DIGIT, group_rows: int = GROUP_ROWS) -> DataFrame:
@@ -279,8 +336,8 @@ def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
     def cut(batches):
         for b in batches:
-            lengths, removed, runs, kept = [], [], [], []
-            for t, f in zip(b.column(0).cast(pa.large_binary()), b.column(1)):
+            lengths, removed, runs, kept, start, size = [], [], [], [], 0, 0
+            for k, (t, f) in enumerate(zip(b.column(0).cast(pa.large_binary()), b.column(1))):
                 data, merged = t.as_py() or b"", []
                 for x in f.as_py() or ():
                     if merged and x["start"] <= merged[-1][1]:
@@ -296,6 +353,9 @@ def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
                 removed.append(sum(hi - lo for lo, hi in merged))
                 runs.append([{"start": lo, "end": hi} for lo, hi in merged])
                 kept.append(b"".join(parts))
-            yield pa.RecordBatch.from_arrays([*b.columns[2:], pa.array(lengths, pa.int64()), pa.array(removed, pa.int64()), pa.array(runs, kind), pa.array(kept, pa.binary())], names=[f.name for f in schema])
+                size += len(data)
+                if size > FLUSH_BYTES or k + 1 == b.num_rows:
+                    yield pa.RecordBatch.from_arrays([*b.slice(start, k + 1 - start).columns[2:], pa.array(lengths, pa.int64()), pa.array(removed, pa.int64()), pa.array(runs, kind), pa.array(kept, pa.binary())], names=[f.name for f in schema])
+                    lengths, removed, runs, kept, start, size = [], [], [], [], k + 1, 0
 
     return joined.mapInArrow(cut, schema)
