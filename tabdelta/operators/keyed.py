@@ -95,16 +95,31 @@ class KeyedDiff:
     def removed(self) -> DataFrame:
         return self.old.join(self.new.select(KEY).distinct(), KEY, "left_anti")
 
+    def matched(self) -> DataFrame:
+        """First rows of all keys in one full join: key, old, new, old_rid, new_rid, n_old, n_new, changed_cols."""
+        a = first_rows(self.old).select(KEY, F.col("row").alias("old"), F.col(ORDER).alias("old_rid"), F.col("copies").alias("n_old"))
+        b = first_rows(self.new).select(KEY, F.col("row").alias("new"), F.col(ORDER).alias("new_rid"), F.col("copies").alias("n_new"))
+        return with_changed(a.join(b, KEY, "full"), self.columns, self.keys, semantics=self.semantics)
+
     def result(self) -> DataFrame:
-        """All differences: status, key, rid, old, new, changed_cols."""
+        """All differences: status, key, rid, old, new, changed_cols.
+
+        The full join says all about keys with one row on their side; only keys that
+        one side lacks and the other has several times are looked up again, and these
+        lookups reuse the join's shuffles for the keys.
+        """
+        both = self.matched()
+        status = F.when(F.col("n_old").isNull(), "added").when(F.col("n_new").isNull(), "removed").when(F.size("changed_cols") > 0, "changed")
         none = F.array().cast("array<string>")
-        absent = lambda c: F.lit(None).cast(self.old.schema["row"].dataType).alias(c)
-        row = F.col("row")
-        return (
-            self.changed().select(F.lit("changed").alias("status"), F.col(KEY).alias("key"), F.col("old_rid").alias("rid"), "old", "new", "changed_cols")
-            .unionByName(self.added().select(F.lit("added").alias("status"), F.col(KEY).alias("key"), F.col(ORDER).alias("rid"), absent("old"), row.alias("new"), none.alias("changed_cols")))
-            .unionByName(self.removed().select(F.lit("removed").alias("status"), F.col(KEY).alias("key"), F.col(ORDER).alias("rid"), row.alias("old"), absent("new"), none.alias("changed_cols")))
-        )
+        known = both.withColumn("status", status).where("status = 'changed' OR (status = 'added' AND n_new = 1) OR (status = 'removed' AND n_old = 1)")
+        changed_cols = F.when(F.col("status") == "changed", F.col("changed_cols")).otherwise(none)
+        out = known.select("status", F.col(KEY).alias("key"), F.coalesce("old_rid", "new_rid").alias("rid"), "old", "new", changed_cols.alias("changed_cols"))
+        lone = F.when(F.col("n_old").isNull() & (F.col("n_new") > 1), "added").when(F.col("n_new").isNull() & (F.col("n_old") > 1), "removed")
+        many = both.select(KEY, lone.alias("status")).where(F.col("status").isNotNull())
+        sides = self.new.withColumn("status", F.lit("added")).unionByName(self.old.withColumn("status", F.lit("removed")))
+        rows = sides.join(many, [KEY, "status"], "left_semi")
+        here = lambda side: F.when(F.col("status") == side, F.col("row"))
+        return out.unionByName(rows.select("status", F.col(KEY).alias("key"), F.col(ORDER).alias("rid"), here("removed").alias("old"), here("added").alias("new"), none.alias("changed_cols")))
 
     def status(self) -> DataFrame:
         """A status for every key in one full join: key, status (changed, same, added, removed), n_old, n_new."""
