@@ -42,10 +42,11 @@ _LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
 
 
 def grams(data: bytes) -> np.ndarray:
-    """Slots of the byte trigrams of a text, letters lowered."""
-    raw = np.frombuffer(b" " + data.translate(_LOWER) + b" ", np.uint8).astype(np.uint32)
-    if len(raw) < 3:
+    """Slots of the byte trigrams of a text, letters lowered and blanks collapsed; none for a blank text."""
+    words = b" ".join(data.translate(_LOWER).split())
+    if not words:
         return np.zeros(0, np.uint32)
+    raw = np.frombuffer(b" " + words + b" ", np.uint8).astype(np.uint32)
     code = raw[:-2] << np.uint32(16) | raw[1:-1] << np.uint32(8) | raw[2:]
     return (code * np.uint32(2654435761)) >> np.uint32(32 - TABLE_BITS)
 
