@@ -19,6 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F, types as T
 
 from .bpe import default_path, json_bpe
+from .shared import Workspace
 
 RANGE = 1024
 
@@ -36,7 +37,9 @@ def token_lengths(docs: DataFrame, text_col: str = "text", tokenizer_path: str |
 
 
 def histogram(lengths: DataFrame) -> DataFrame:
-    return lengths.groupBy("n_tokens").agg(F.count(F.lit(1)).alias("n_docs"))
+    """Documents per length, written once: whatever is asked of it later reads a row per length and no text."""
+    counted = lengths.groupBy("n_tokens").agg(F.count(F.lit(1)).alias("n_docs"))
+    return Workspace(lengths.sparkSession, "token_counts").stage(counted, "histogram")
 
 
 def suffix_sums(hist: DataFrame, width: int = RANGE) -> DataFrame:
