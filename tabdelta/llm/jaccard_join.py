@@ -391,7 +391,9 @@ class JaccardJoin:
     def run(self) -> DataFrame:
         self.scan()
         self.cells()
+        self.work.tidy()
         self.fetch_sets()
+        self.work.tidy()
         labels = self.work.stage(components(self.links(), self.work, "final"), "labels")
         joined = labels.join(self.points, "node").select("node", "label", "least_id", "no_id")
         least = joined.groupBy("label").agg(F.min("least_id").alias("least"), F.max("no_id").alias("none"))
@@ -410,10 +412,22 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 
 
 def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row of every component, the one with the least id, with the columns of docs. Rows without words all stay."""
+    """One row of every component, the one with the least id, with the columns of docs.
+
+    Rows without words stay. Rows with equal id and text are one document: one of them stays.
+    """
     work = Workspace(docs.sparkSession, "one_of_each")
-    row, whole = fresh(docs.columns, "__row", "__id")
-    rows = work.stage(docs.withColumn(row, F.monotonically_increasing_id()), "rows")
-    slim = rows.select(F.struct(F.col(f"`{id_col}`").alias("id"), F.col(row).alias("row")).alias(whole), F.col(f"`{text_col}`").alias("text"))
-    stay = jaccard_components(slim, whole, "text").where(F.col(whole) == F.col("component_id")).select(F.col(f"{whole}.row").alias(row))
-    return rows.join(stay.hint("shuffle_hash"), row, "left_semi").drop(row).select([F.col(f"`{c}`") for c in docs.columns])
+    key = kid, h1, h2 = fresh([*docs.columns, "id"], "kid", "h1", "h2")
+    (whole,) = fresh([*docs.columns, *key], "whole")
+    text, own_id = F.col(f"`{text_col}`"), F.col(f"`{id_col}`")
+    named = lambda i, none: F.to_json(F.struct(i.alias("id"), none.alias("none")))
+    keyed = docs.withColumns({kid: named(own_id, text.isNull()), h1: F.xxhash64(text), h2: F.hash(text)})
+    join = JaccardJoin(keyed.select(F.struct(own_id.alias("id"), text.isNull().alias("none"), h1, h2).alias(whole), text.alias("text")), whole, "text", WORDS, CELL_ROWS, SMALL_CELL, CELL_PAIRS, SKETCH_BITS)
+    least = join.run().where(F.col(whole) == F.col("component_id"))
+    stay = work.stage(least.select(named(F.col(f"{whole}.id"), F.col(f"{whole}.none")).alias(kid), F.col(f"{whole}.{h1}").alias(h1), F.col(f"{whole}.{h2}").alias(h2)).distinct(), "stay")
+    join.work.drop()
+    work.tidy()
+    kept = keyed.join(stay.hint("shuffle_hash"), key, "left_semi")
+    if not keyed.groupBy(*key).agg(F.count(F.lit(1)).alias("n")).where("n > 1").isEmpty():
+        kept = kept.dropDuplicates(key)
+    return kept.select([F.col(f"`{c}`") for c in docs.columns])

@@ -9,6 +9,7 @@ reread and never a result. The folder is set here only when a session has none
 from __future__ import annotations
 
 import atexit
+import gc
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
@@ -44,6 +45,14 @@ class Workspace:
         df.write.mode("overwrite").parquet(path)
         return self.spark.read.schema(df.schema).parquet(path)
 
+    def tidy(self) -> None:
+        """Let Spark free the shuffle files of finished steps, which it does when the driver collects garbage.
+
+        Later steps start from written tables, so nothing needs those files again.
+        """
+        gc.collect()
+        self.spark._jvm.System.gc()
+
     def drop(self, name: str | None = None) -> None:
         try:
             jvm = self.spark._jvm
