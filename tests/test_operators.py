@@ -2,6 +2,7 @@ import random
 
 import pytest
 
+from tabdelta import queries
 from tabdelta.operators import report
 from tabdelta.operators.keyed import KEY, KeyedDiff
 from tabdelta.operators.keyless import KeylessDiff
@@ -119,3 +120,9 @@ def test_workbooks(spark):
 def test_key_is_part_of_result(spark):
     old, new = frame(spark, [("k1", "a")], ["k", "v"]), frame(spark, [("k1", "b")], ["k", "v"])
     assert KEY in KeyedDiff(old, new, ["k"]).changed().columns
+
+
+def test_comparable_names_reads_all_documents(spark, tmp_path):
+    spark.createDataFrame([(1, "Web"), (400, "Books"), (9_003, "Books")], "doc_id long, source string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = {r.name for r in queries.comparable_names(spark, str(tmp_path)).collect()}
+    assert got == {"Web_1.XLSX", "Books_0.XLSX", "Books_3.XLSX"}
