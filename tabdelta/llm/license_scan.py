@@ -52,6 +52,7 @@ KNOWN = (
     ("Unlicense", "This is free and unencumbered software released into the public domain."),
 )
 
+BLANK_LINE = r"\n[ \t\r]*\n"
 _PUNCTUATION = "!\"#$%'()*+,-./:;<=>?@[\\]^_`{|}~–—‘’“”•"
 
 
@@ -77,7 +78,7 @@ def license_scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     known = known_table(docs.sparkSession) if known is None else known
     text = F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit(""))
     unit = lambda x, kind: F.struct(x.alias("unit"), F.lit(kind).alias("kind"))
-    paragraphs = F.when(F.locate("\n\n", text) > 0, F.split(text, r"\n[ \t\r]*\n")).otherwise(F.array().cast("array<string>"))
+    paragraphs = F.when(F.rlike(text, F.lit(BLANK_LINE)), F.split(text, BLANK_LINE)).otherwise(F.array().cast("array<string>"))
     lines = F.when(F.locate("\n", text) > 0, F.split(text, "\n")).otherwise(F.array().cast("array<string>"))
     units = F.concat(F.array(unit(text, "whole")), F.transform(paragraphs, lambda x: unit(x, "paragraph")), F.transform(lines, lambda x: unit(x, "line")))
     exploded = docs.select(F.col(f"`{id_col}`").alias("id"), F.explode(units).alias("u")).select("id", F.col("u.kind").alias("kind"), F.sha2(canonical(F.col("u.unit")), 256).alias("digest"))

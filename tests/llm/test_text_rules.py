@@ -51,6 +51,13 @@ def test_license_scan(spark):
     assert license_scan.license_scan(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 
 
+def test_license_paragraphs_after_any_blank_line(spark):
+    isc = "Permission to use, copy, modify, and/or distribute this software for any purpose\nwith or without fee is hereby granted, provided that the above copyright notice\nand this permission notice appear in all copies."
+    rows = [(k, f"before{gap}{isc.replace(chr(10), end)}{gap}after") for k, (gap, end) in enumerate([("\n\n", "\n"), ("\r\n\r\n", "\r\n"), ("\n \n", "\n"), ("\n\t \r\n", "\n"), ("\n", "\n")])]
+    got = {r.doc_id: (r.license_ids, r.n_units, r.whole_text) for r in license_scan.license_scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {k: (["ISC"], 1, False) for k in range(4)} | {4: ([], 0, False)}
+
+
 KEY = b"a test key of some length"
 
 
