@@ -18,6 +18,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from . import license_texts
+
 MAX_KNOWN = 10_000
 
 #: Equivalent spellings, each pattern with the form that stands for it.
@@ -33,7 +35,8 @@ SPELLINGS = (
     ("(c)", "©"),
 )
 
-#: Short notices by which works declare their licence, and short licence texts.
+#: Short notices by which works declare their licence, standard headers and complete texts.
+#: BSD is the paragraph that opens every BSD licence; which of them it is, the whole text says, or the clause on names.
 KNOWN = (
     ("Apache-2.0", "Licensed under the Apache License, Version 2.0."),
     ("Apache-2.0", "Licensed under the Apache License, Version 2.0"),
@@ -48,8 +51,10 @@ KNOWN = (
     ("ISC", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies."),
     ("0BSD", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted."),
     ("MIT", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:"),
-    ("BSD-2-Clause", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:"),
+    ("BSD", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:"),
     ("Unlicense", "This is free and unencumbered software released into the public domain."),
+    *license_texts.headers(),
+    *license_texts.complete_texts(),
 )
 
 BLANK_LINE = r"\n[ \t\r]*\n"

@@ -1,5 +1,6 @@
 import random
 import re
+from pathlib import Path
 
 import pytest
 from hypothesis import given, settings, strategies as st
@@ -58,6 +59,18 @@ def test_license_paragraphs_after_any_blank_line(spark):
     assert got == {k: (["ISC"], 1, False) for k in range(4)} | {4: ([], 0, False)}
 
 
+def test_complete_licenses(spark):
+    read = lambda name: (Path(license_scan.__file__).parent / "licenses" / f"{name}.txt").read_text()
+    names = ["Apache-2.0", "GPL-2.0", "GPL-3.0", "LGPL-2.1", "LGPL-3.0", "MPL-2.0", "CC0-1.0", "MIT", "0BSD", "Unlicense"]
+    three = read("BSD-3-Clause")
+    two = three[: three.index("3. Neither")] + three[three.index("THIS SOFTWARE") :]
+    texts = {n: read(n) for n in names} | {"BSD-3-Clause": "Copyright (c) 2020 A. All rights reserved.\n\n" + three, "BSD-2-Clause": "BSD 2-Clause License\n\nCopyright 2020 A\nAll rights reserved.\n\n" + two}
+    rows = [*texts.items(), ("opening", three[: three.index("1.")]), ("title", "MIT License\n\nCopyright (c) 2020 A\n\n" + read("MIT")), ("cut", read("Apache-2.0").partition("   APPENDIX")[0]), ("crlf", read("GPL-3.0").replace("\n", "\r\n"))]
+    got = {r.doc_id: (set(r.license_ids), r.whole_text) for r in license_scan.license_scan(spark.createDataFrame(rows, "doc_id string, text string")).collect()}
+    want = {n: ({n}, True) for n in names} | {f"BSD-{k}-Clause": ({"BSD", f"BSD-{k}-Clause"}, True) for k in (2, 3)}
+    assert got == want | {"opening": ({"BSD"}, True), "title": ({"MIT"}, True), "cut": ({"Apache-2.0"}, True), "crlf": ({"GPL-3.0"}, True)}
+
+
 KEY = b"a test key of some length"
 
 
