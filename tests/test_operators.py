@@ -78,6 +78,23 @@ def test_reconcile_candidates_equal_brute_force_and_rounds_equal_the_rule(spark)
     assert sorted((x.ri, x.ai) for x in assign(pairs).collect()) == sorted(assign_in_order([(i, j, n) for (i, j), n in want.items()]))
 
 
+def test_many_like_rows_are_assigned(spark):
+    n = 300
+    schema = "a string, b string, c string"
+    rec = Reconciled(spark.createDataFrame([(k, "x", "y", "old") for k in range(n)], f"ri long, {schema}"), spark.createDataFrame([(k, "x", "y", "new") for k in range(n)], f"ai long, {schema}"), ["a", "b", "c"])
+    assert sorted((r.ri, r.ai) for r in rec.matches.collect()) == [(k, k) for k in range(n)]
+
+
+def test_groups_of_like_rows_follow_the_rule(spark):
+    rnd = random.Random(11)
+    for _ in range(2):
+        likes = [[(a, rnd.randint(1, 3)) for a in rnd.sample(range(30), rnd.randint(1, 25))] for _ in range(5)]
+        edges = [(r, a, n) for r in range(40) for a, n in likes[rnd.randrange(5)]]
+        for few in (0, 1000):
+            got = assign(spark.createDataFrame(edges, "ri long, ai long, n_equal int"), few=few)
+            assert sorted((x.ri, x.ai) for x in got.collect()) == sorted(assign_in_order(edges))
+
+
 def test_reconcile_empty_side(spark):
     schema = "a string, b string"
     rec = Reconciled(spark.createDataFrame([], f"ri long, {schema}"), spark.createDataFrame([(1, "x", "y")], f"ai long, {schema}"), ["a", "b"])
