@@ -301,7 +301,7 @@ def reconcile_edges(spark, sf_dir):
 @query()
 def reconcile_match(spark, sf_dir):
     removed, added = _reconcile_sides(spark, sf_dir)
-    return assign(candidate_pairs(removed, added, _CELLS, 0.75))
+    return assign(candidate_pairs(removed, added, _CELLS))
 
 
 # -- metadata ---------------------------------------------------------------------------------------------------

@@ -143,3 +143,8 @@ def test_comparable_names_reads_all_documents(spark, tmp_path):
     spark.createDataFrame([(1, "Web"), (400, "Books"), (9_003, "Books")], "doc_id long, source string").write.parquet(str(tmp_path / "documents.parquet"))
     got = {r.name for r in queries.comparable_names(spark, str(tmp_path)).collect()}
     assert got == {"Web_1.XLSX", "Books_0.XLSX", "Books_3.XLSX"}
+
+
+def test_reconcile_match_pairs_rows_with_half_of_their_cells(spark, tmp_path):
+    spark.createDataFrame([(1, 7, "AUTO", 10.0), (2, 7, "AUTO", 999.0), (4, 8, "AUTO", 500.0)], "c_custkey long, c_nationkey int, c_mktsegment string, c_acctbal double").write.parquet(str(tmp_path / "customer.parquet"))
+    assert [tuple(r) for r in queries.reconcile_match(spark, str(tmp_path)).collect()] == [(2, 1)]
