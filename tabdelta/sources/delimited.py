@@ -17,7 +17,8 @@ BOOK_EXTENSIONS = ("xlsx", "xlsm", "xls", "ods")
 ENCODINGS = ("utf-8-sig", "utf-8", "latin-1", "cp1252")
 SEPARATORS = {"tsv": ("\t", ",", ";", "|"), "": (",", "\t", ";", "|")}
 SAMPLE_BYTES = 1 << 20
-MAX_COLUMNS = 2000
+#: Spark's parser stops with an error on longer rows.
+MAX_COLUMNS = 20_480
 _SPARK_NAME = {"utf-8-sig": "UTF-8", "utf-8": "UTF-8", "latin-1": "ISO-8859-1", "cp1252": "windows-1252"}
 
 
@@ -57,24 +58,38 @@ def head(spark: SparkSession, path: str, size: int = SAMPLE_BYTES) -> bytes:
         stream.close()
 
 
+def widest(spark: SparkSession, path: str, width: int, options: dict) -> int:
+    """The cells of the widest row of a file, ``width`` at least. Rows of another width than the schema's are
+    those the reader reports, and only they are counted anew."""
+    if width > MAX_COLUMNS:
+        raise ValueError(f"{path} has rows of more than {MAX_COLUMNS} cells")
+    fields = [T.StructField(f"c{k}", T.StringType()) for k in range(width)]
+    rows = spark.read.csv(path, schema=T.StructType([*fields, T.StructField("__row", T.StringType())]), columnNameOfCorruptRecord="__row", **options)
+    sep = options["sep"]
+    cells = F.udf(lambda row: max(map(len, csv.reader(io.StringIO(row), delimiter=sep)), default=0), "int")
+    # The second sum needs every column: the reader checks no row's width where columns are pruned.
+    most = rows.select(F.max(F.when(F.col("__row").isNotNull(), cells("__row"))).alias("most"), F.bit_xor(F.xxhash64(*[f.name for f in fields])).alias("all")).first().most
+    return max(width, most or 0)
+
+
 def read_delimited(spark: SparkSession, path: str, keys=(), header: int | None = None, semantics: str = "v2", reference=()) -> tuple[str, DataFrame, int]:
     """(sheet name, table of text with __rid, 0-based header row) of one file.
 
     Rows may be longer or shorter than the header: the schema is as wide as the widest
-    sampled row, and short rows are padded with NULL. __rid grows in file order.
+    row of the whole file, and short rows are padded with NULL. A row of more than
+    MAX_COLUMNS cells is an error. __rid grows in file order.
     """
     encoding, sep, rows = sniff(head(spark, path), extension(path))
     grid = [[c if c.strip() else None for c in r] for r in rows if r]
-    width = min(MAX_COLUMNS, max((len(r) for r in grid), default=1))
+    options = {"sep": sep, "encoding": _SPARK_NAME[encoding], "header": False, "quote": '"', "escape": '"', "multiLine": True, "mode": "PERMISSIVE", "ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False, "maxColumns": MAX_COLUMNS}
+    width = widest(spark, path, max((len(r) for r in grid), default=1), options)
     at = header if header is not None else header_row([r + [None] * (width - len(r)) for r in grid[:ROWS_NEEDED]], keys, reference, semantics=semantics)
     named = grid[at] if at < len(grid) else []
     names = unique_names(list(named) + [None] * (width - len(named)))
     schema = T.StructType([T.StructField(f"c{k}", T.StringType()) for k in range(width)])
-    raw = spark.read.csv(path, schema=schema, sep=sep, encoding=_SPARK_NAME[encoding], header=False, quote='"', escape='"', multiLine=True, mode="PERMISSIVE", ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False)
+    raw = spark.read.csv(path, schema=schema, **options)
     numbered = raw.withColumn("__rid", F.monotonically_increasing_id())
-    full = F.lit(False)
-    for k in range(width):
-        full = full | F.col(f"c{k}").isNotNull()
+    full = F.coalesce(*[F.col(f"c{k}") for k in range(width)]).isNotNull()
     bom = F.regexp_replace("c0", "^﻿", "") if encoding == "utf-8-sig" else F.col("c0")
     body = numbered.withColumn("c0", bom).where(full).where(F.col("__rid") > at)
     return sheet_name(path), body.select(*[missing_words(F.col(f"c{k}")).alias(n) for k, n in enumerate(names)], "__rid"), at

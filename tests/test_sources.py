@@ -25,6 +25,16 @@ def test_delimited_ragged_rows_and_title(spark, tmp_path):
     assert rows == [("1", "Ann", "7"), ("2", "Bob", None), ("3", "Cy", "9"), ("4", None, "a, b")]
 
 
+def test_delimited_keeps_every_column(spark, tmp_path):
+    late, wide = tmp_path / "late.csv", tmp_path / "wide.csv"
+    late.write_text("ID,v\n" + "1,aaaaaaaaaaaaaaaaaaaa\n" * 60_000 + '2,b,,"x, y"\n')
+    _, df, _ = read_delimited(spark, str(late), header=0)
+    assert [tuple(r)[:4] for r in df.where("ID = '2'").collect()] == [("2", "b", None, "x, y")]
+    wide.write_text(",".join(f"n{k}" for k in range(2100)) + "\n" + ",".join(map(str, range(2100))) + "\n")
+    _, df, _ = read_delimited(spark, str(wide), header=0)
+    assert len(df.columns) == 2101 and df.select("n2099").first()[0] == "2099"
+
+
 def build(path):
     """A workbook with a title, a merged group row, a bold header, a hidden column and a hidden sheet."""
     ns = 'xmlns="http://schemas.openxmlformats.org/spreadsheetml/2006/main"'
