@@ -22,6 +22,7 @@ an empty result; an empty training sample is an error.
 from __future__ import annotations
 
 import re
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
@@ -80,16 +81,27 @@ class TextModel:
 
 
 def train(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", rows: int = TRAIN_ROWS) -> TextModel:
-    """Fit on the ``rows`` labelled rows whose hashed ids are least: a bounded sample that doesn't depend on file order."""
-    labelled = labelled.where(F.col(f"`{lang_col}`").isNotNull()).select(F.xxhash64(F.col(f"`{id_col}`"), F.col(f"`{text_col}`")).alias("h"), F.col(f"`{lang_col}`").alias("lang"), F.substring(F.col(f"`{text_col}`"), 1, TRAIN_BYTES).alias("text"))
-    n = labelled.count()
-    # Hashes below this bound number about twice the rows wanted, so tasks send few rows on, however many there are.
-    bound = (1 << 63) - 1 if n <= 4 * rows else -(1 << 63) + int(2 * rows / n * (1 << 64))
-    for least in (labelled.where(F.col("h") <= bound), labelled):
-        got = least.orderBy("h", "lang", F.length("text")).limit(rows).collect()
-        if len(got) >= min(rows, n):
-            break
-    return TextModel.fit([(r.lang, r.text) for r in got])
+    """Fit on a bounded sample that doesn't depend on file order: the ``rows`` labelled rows whose hashed ids are least,
+    and of each language that has under half an equal share of them, its own least up to that. Every language is known."""
+    labelled = labelled.where(F.col(f"`{lang_col}`").isNotNull() & (F.col(f"`{lang_col}`") != "")).select(F.xxhash64(F.col(f"`{id_col}`"), F.col(f"`{text_col}`")).alias("h"), F.col(f"`{lang_col}`").alias("lang"), F.substring(F.col(f"`{text_col}`"), 1, TRAIN_BYTES).alias("text"))
+    sizes = {r.lang: r.n for r in labelled.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}  # one row a language
+    n, share = sum(sizes.values()), max(1, rows // max(1, 2 * len(sizes)))
+    # Hashes below these bounds number about twice the rows wanted, so tasks send few rows on, however many there are.
+    below = lambda n, wanted: (1 << 63) - 1 if n <= 4 * wanted else -(1 << 63) + int(2 * wanted / n * (1 << 64))
+    order = ("h", "lang", F.length("text"))
+
+    def least(df: DataFrame, n: int, wanted: int) -> list:
+        for some in (df.where(F.col("h") <= below(n, wanted)), df):
+            got = some.orderBy(*order).limit(wanted).collect()
+            if len(got) >= min(wanted, n):
+                break
+        return got
+
+    got = least(labelled, n, rows)
+    have = Counter(r.lang for r in got)
+    few = [lang for lang in sorted(sizes) if have[lang] < min(share, sizes[lang])]
+    extra = [r for lang in few for r in least(labelled.where(F.col("lang") == lang), sizes[lang], share)]
+    return TextModel.fit([(r.lang, r.text) for r in [r for r in got if r.lang not in set(few)] + extra])
 
 
 def address_parts(url: Column) -> dict[str, Column]:

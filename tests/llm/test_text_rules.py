@@ -121,6 +121,12 @@ def test_language_accuracy_on_held_out_rows(spark):
     assert sum(got[r.doc_id] == r.lang for r in rows) >= 0.97 * len(rows)
 
 
+def test_rare_languages_are_known(spark):
+    rows = [(k, "the words of a text", "en") for k in range(3000)] + [(k, "sanoja jotka ovat suomea", "fi") for k in range(3000, 3002)]
+    model = language_id.train(spark.createDataFrame(rows, "doc_id long, text string, lang string"), rows=20)
+    assert model.languages == ("en", "fi")
+
+
 def test_language_evidence_without_text(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text", "lang")
     model = language_id.train(docs, rows=200)
