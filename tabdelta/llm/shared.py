@@ -18,9 +18,17 @@ DEFAULT_SHARED = "file:///tmp/checkpoints"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The shared folder the cluster names; a local default where it names none."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    return (found or DEFAULT_SHARED).rstrip("/")
+    """The shared folder: what the session names, else what setCheckpointDir() named. Only a local master, whose
+    executors and driver are one machine, may do without; elsewhere a missing folder is an error."""
+    if found := spark.conf.get("spark.checkpoint.dir", None):
+        return found.rstrip("/")
+    sc = spark.sparkContext
+    named = sc._jsc.sc().getCheckpointDir()
+    if named.isDefined():
+        return named.get().rstrip("/")
+    if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    return DEFAULT_SHARED
 
 
 #: Rows per batch to and from Python where the session has Spark's default: whole texts are long, and a batch of
@@ -84,5 +92,19 @@ def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+#: Rows of a join's build side that one task holds in a hash table.
+BUILD_ROWS = 500_000
+
+
+def probe(stream: DataFrame, build: DataFrame, on: list[str], how: str = "inner", build_rows: int = BUILD_ROWS) -> DataFrame:
+    """stream joined with a written table of small rows by hash, so that wide stream rows aren't sorted.
+
+    A hash table can't spill, so both sides are dealt to as many partitions as keep it under ``build_rows`` rows.
+    The keys of ``build`` must be near-unique: a task holds all build rows of a key.
+    """
+    parts = max(shuffle_partitions(stream.sparkSession), -(-build.count() // build_rows))
+    return stream.repartition(parts, *on).join(build.repartition(parts, *on).hint("shuffle_hash"), on, how)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
