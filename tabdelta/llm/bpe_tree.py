@@ -2,22 +2,30 @@
 
 A text is halved until a leaf is short, leaves are encoded, and neighbours are
 joined up the tree. A join re-encodes a window round the boundary that grows
-until both its ends are sync points: a blank after a non-blank. No match of the
-split pattern holds a non-blank followed by a blank and the pattern looks ahead
-only inside runs of blanks, so every sync point is a match boundary whatever
-stands beyond it, and tokens outside the window can't change. Joining is
-associative, with the empty list as its identity. Decoding concatenates token
-bytes up a tree of the same shape.
+until both its ends are sync points: places where the split pattern ends a match
+whatever stands further away, so tokens outside the window can't change. A sync
+point lies
+* before a blank that follows a non-blank: no match holds the two, and the pattern
+  looks ahead only inside runs of blanks;
+* before a digit or a mark that follows a letter, and before a letter or a mark that
+  follows a digit: no match holds two of these classes in this order;
+* before a digit that follows a mark, and before a letter that follows a mark other
+  than the apostrophe, which contractions start with.
+Only characters on whose class all Unicode versions agree count as letters, digits
+and marks. Joining is associative, with the empty list as its identity. Decoding
+concatenates token bytes up a tree of the same shape.
 
 Defined results: a null text counts as empty and has no tokens; every row gives one
 row, repeated rows included; columns named like a result column are replaced. A
-text without any sync point is re-encoded whole at each join, which is right but
-slower. Memory is that of one text and its ids.
+stretch without any sync point (one word of letters, however long) is re-encoded
+whole at the joins inside it, which is right but slower. Memory is that of one text
+and its ids.
 """
 
 from __future__ import annotations
 
 import base64
+import re
 from functools import lru_cache
 
 import numpy as np
@@ -25,7 +33,7 @@ import public_tokenizers
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types as T
 
-from .shared import without
+from .shared import fresh, without
 
 RANKS_FILE = "byte_bpe_50k.tiktoken"
 LEAF_CHARS = 4096
@@ -33,9 +41,18 @@ WINDOW_CHARS = 32
 _BLANKS = frozenset(" \t\n\r\x0b\x0c")
 
 
+#: Ranges of letters, digits and marks (neither letter, digit nor blank) old enough to be in every Unicode version.
+_LETTERS = "A-Za-z\xc0-\xd6\xd8-\xf6\xf8-\u024f\u0410-\u044f\u3041-\u3096\u30a1-\u30fa\u4e00-\u9fa5\uac00-\ud7a3"
+_DIGITS = "0-9"
+_MARKS = "!-/:-@\\[-`{-~\u3001\u3002\uff01\uff0c\uff1a\uff1b\uff1f"
+_SYNC = re.compile(f"[{_LETTERS}][{_DIGITS}{_MARKS}]|[{_DIGITS}][{_LETTERS}{_MARKS}]|[{_MARKS}][{_DIGITS}]|(?!')[{_MARKS}][{_LETTERS}]")
+
+
 def is_sync(text: str, at: int) -> bool:
     """Whether a match boundary lies before text[at] in every text that has these two characters here."""
-    return text[at] in _BLANKS and not text[at - 1].isspace()
+    if text[at] in _BLANKS:
+        return not text[at - 1].isspace()
+    return _SYNC.match(text, at - 1, at + 1) is not None
 
 
 class TreeBpe:
@@ -105,7 +122,8 @@ def encode_decode(docs: DataFrame, text_col: str = "text", ranks_path: str | Non
     """docs without the text, with n_tokens, token_ids and decoded (the bytes the ids stand for)."""
     path = ranks_path or default_path()
     kept = without(docs, "n_tokens", "token_ids", "decoded", text_col)
-    source = docs.select(F.col(f"`{text_col}`").cast("string").alias("__text__"), *[F.col(f"`{c}`") for c in kept.columns])
+    (own_text,) = fresh(kept.columns, "text")
+    source = docs.select(F.col(f"`{text_col}`").cast("string").alias(own_text), *[F.col(f"`{c}`") for c in kept.columns])
     schema = T.StructType([*kept.schema, T.StructField("n_tokens", T.LongType()), T.StructField("token_ids", T.ArrayType(T.IntegerType())), T.StructField("decoded", T.BinaryType())])
 
     def run(batches):

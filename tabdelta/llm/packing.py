@@ -16,7 +16,8 @@ of documents. Ids of sequences and step groups carry the task's number.
 
 Defined results: a null text counts as empty and yields its end token alone; rows
 are packed one by one, so repeated rows and null or equal ids are kept; extra
-columns are ignored; an empty table gives no pieces.
+columns are ignored; an id column named like a column of the pieces comes back with
+an underscore before its name; an empty table gives no pieces.
 """
 
 from __future__ import annotations
@@ -27,6 +28,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F, types as T
 
 from .bpe import default_path, json_bpe
+from .shared import fresh
 
 TIERS = (128, 256, 512, 1024)
 END_TOKEN = 0
@@ -144,7 +146,8 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tokeni
     path, tiers = tokenizer_path or default_path(), tuple(sorted(tiers))
     if any(t & (t - 1) for t in tiers):
         raise ValueError("tiers must be powers of two, else full windows would be padded")
-    source = docs.select(F.col(f"`{id_col}`"), F.col(f"`{text_col}`").cast("string"))
+    own_id, own_text = fresh(PIECES.names, id_col, text_col)
+    source = docs.select(F.col(f"`{id_col}`").alias(own_id), F.col(f"`{text_col}`").cast("string").alias(own_text))
     schema = T.StructType([source.schema[0], *PIECES])
 
     def run(batches):

@@ -20,7 +20,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
-from .shared import without
+from .shared import fresh, without
 
 #: Bit number of each rule. Numbers are never reused; new rules are appended.
 RULES = ("few_words", "repeated_windows", "symbols", "repeated_lines", "word_length", "shouting")
@@ -102,7 +102,8 @@ def ledger(docs: DataFrame, text_col: str = "text", keep: list[str] | None = Non
     """One row per document: the columns ``keep`` (all by default), measurements and ``fail_bits``."""
     kept = without(docs, *[f.name for f in MEASURES], "fail_bits")
     names = kept.columns if keep is None else [k for k in keep if k in kept.columns]
-    source = docs.select(F.col(f"`{text_col}`").cast("string").alias("__text__"), *[F.col(f"`{c}`") for c in names])
+    (own_text,) = fresh(names, "text")
+    source = docs.select(F.col(f"`{text_col}`").cast("string").alias(own_text), *[F.col(f"`{c}`") for c in names])
     schema = T.StructType([f for f in kept.select([F.col(f"`{c}`") for c in names]).schema] + list(MEASURES))
 
     def run(batches):
