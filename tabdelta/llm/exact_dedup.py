@@ -7,6 +7,10 @@ third of all rows costs one representative per window and never meets in one
 task as rows. The rows and their representatives are written to spill files in
 the shared folder.
 
+Between them a salted level takes the texts that still have more than HOT_REPS
+representatives: each is dealt by its hash and a salt to as many tables as keep every
+one to HOT_REPS, so no task reads a representative for each window there is.
+
 Level 1 deals the representatives to buckets by a hash of the text and fills one
 table per bucket. A bucket whose distinct texts exceed the table's bound is
 written back, already merged, and dealt again by another hash at the next level,
@@ -26,7 +30,7 @@ import hashlib
 import pyarrow as pa
 import xxhash
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, functions as F, types as T
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from .shared import Workspace, fresh, shuffle_partitions, without
 
@@ -36,6 +40,8 @@ TABLE_BYTES = 48 << 20
 #: Bytes of distinct text that a bucket is planned for.
 BUCKET_BYTES = 12 << 20
 MAX_LEVELS = 16
+#: Representatives of one text that one task merges, and that one row of a finished group lists.
+HOT_REPS = 1000
 
 RESULT = ("keep_id", "group_size", "kept", "text_sha256")
 
@@ -84,10 +90,11 @@ def _better(a, b) -> bool:
 
 def combine(docs: DataFrame, id_col: str, text_col: str, window_bytes: int = WINDOW_BYTES) -> tuple[DataFrame, dict[str, str]]:
     """Level 0: every row with its number and that of its representative; representatives carry the window's totals."""
-    names = dict(zip(("row", "rep", "n", "sha", "hash", "bytes"), fresh(docs.columns, "__row", "__rep", "__n", "__sha", "__hash", "__bytes")))
+    names = dict(zip(("row", "rep", "n", "sha", "hash", "bytes"), fresh([*docs.columns, *RESULT], "__row", "__rep", "__n", "__sha", "__hash", "__bytes")))
     L = T.LongType()
     schema = T.StructType(list(docs.schema) + [T.StructField(names["row"], L), T.StructField(names["rep"], L), T.StructField(names["n"], L), T.StructField(names["sha"], T.StringType()), T.StructField(names["hash"], L), T.StructField(names["bytes"], L)])
-    at_id, at_text = docs.columns.index(id_col), docs.columns.index(text_col)
+    low = [x.lower() for x in docs.columns]
+    at_id, at_text = low.index(id_col.lower()), low.index(text_col.lower())
 
     def run(batches):
         row = TaskContext.get().partitionId() << 40
@@ -135,22 +142,28 @@ def combine(docs: DataFrame, id_col: str, text_col: str, window_bytes: int = WIN
     return docs.mapInArrow(run, schema), names
 
 
-def resolve(reps: DataFrame, id_type: T.DataType, buckets: int, level: int, table_bytes: int) -> DataFrame:
-    """One level: a table per bucket. Rows come out closed (a final group) or open (merged, for the next level)."""
+def resolve(reps: DataFrame, id_type: T.DataType, buckets: int, level: int, table_bytes: int, salts: Column | None = None) -> DataFrame:
+    """One level: a table per bucket. Rows come out closed (a final group) or open (merged, for the next level).
+
+    A closed group is a row per HOT_REPS of its representatives. With ``salts`` (a number per row) equal texts are
+    dealt to several tables, so every row comes out open.
+    """
     schema = T.StructType([T.StructField("reps", T.ArrayType(T.LongType())), T.StructField("best_id", id_type), T.StructField("best_row", T.LongType()), T.StructField("n", T.LongType()), T.StructField("sha", T.StringType()), T.StructField("hash", T.LongType()), T.StructField("text", T.StringType()), T.StructField("bytes", T.LongType())])
 
     def run(batches):
         arrow = [pa.list_(pa.int64()), None, pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int64()]
 
         def entries(table, best, n, sha, reps, is_open, kind):
-            for lo in range(0, len(n), 2000):
-                hi = min(lo + 2000, len(n))
-                text = table.content[lo:hi] if is_open else [None] * (hi - lo)
-                cols = [reps[lo:hi], [b[0] for b in best[lo:hi]], [b[1] for b in best[lo:hi]], n[lo:hi], sha[lo:hi], [_signed(h) for h in table.hashes[lo:hi]], pa.array(text, pa.binary()).cast(pa.string()), [len(c) for c in table.content[lo:hi]]]
+            step = 1 << 60 if is_open else HOT_REPS  # an open entry stays one row, for the next level counts it once
+            parts = [(e, at) for e in range(len(n)) for at in range(0, len(reps[e]), step)]
+            for lo in range(0, len(parts), 2000):
+                own = parts[lo : lo + 2000]
+                text = [table.content[e] if is_open else None for e, _ in own]
+                cols = [[reps[e][at : at + step] for e, at in own], [best[e][0] for e, _ in own], [best[e][1] for e, _ in own], [n[e] for e, _ in own], [sha[e] for e, _ in own], [_signed(table.hashes[e]) for e, _ in own], pa.array(text, pa.binary()).cast(pa.string()), [len(table.content[e]) for e, _ in own]]
                 yield pa.RecordBatch.from_arrays([pa.array(c, t or kind) if not isinstance(c, pa.Array) else c for c, t in zip(cols, arrow)], names=[f.name for f in schema])
 
         table, best, n, sha, reps = OpenTable(), [], [], [], []
-        overflowed, kind = False, None
+        overflowed, kind = salts is not None, None
         for b in batches:
             kind = b.column(1).type
             cols = [b.column(k).to_pylist() for k in range(6)] + [b.column(6).cast(pa.large_binary())]
@@ -164,7 +177,7 @@ def resolve(reps: DataFrame, id_type: T.DataType, buckets: int, level: int, tabl
                     reps.append(own)
                 else:
                     n[e] += m
-                    reps[e] = reps[e] + own
+                    reps[e] += own
                     if _better((bid, brow), best[e]):
                         best[e] = (bid, brow)
                 if table.bytes > table_bytes and len(n) > 1:
@@ -174,7 +187,24 @@ def resolve(reps: DataFrame, id_type: T.DataType, buckets: int, level: int, tabl
         if n:
             yield from entries(table, best, n, sha, reps, overflowed, kind)
 
-    return reps.select([f.name for f in schema][:7]).repartition(buckets, F.xxhash64("hash", F.lit(level))).mapInArrow(run, schema)
+    deal = [F.xxhash64("hash", F.lit(level))] if salts is None else ["hash", salts]
+    own = [f.name for f in schema][:7]
+    return reps.repartition(buckets, *deal).select(own).mapInArrow(run, schema)
+
+
+def merge_hot(left: DataFrame, id_type: T.DataType, work: Workspace, table_bytes: int) -> DataFrame:
+    """Representatives with those of frequent texts merged by salt, again until no text has more than HOT_REPS."""
+    for turn in range(MAX_LEVELS):
+        hot = work.stage(left.groupBy("hash").agg(F.count(F.lit(1)).alias("m"), F.sum("bytes").alias("size")).where(F.col("m") > HOT_REPS), f"hot{turn}")
+        total = hot.agg(F.sum("m").alias("m")).first().m
+        if not total:
+            return left
+        rows = left.join(hot.select("hash", "m"), "hash")
+        salt = F.pmod(F.xxhash64("best_row"), F.ceil(F.col("m") / HOT_REPS))
+        parts = max(shuffle_partitions(left.sparkSession), -(-total // HOT_REPS))
+        merged = work.stage(resolve(rows.withColumn("salt", salt), id_type, parts, 0, table_bytes, F.col("salt")), f"merged{turn}")
+        left = left.join(hot.select("hash"), "hash", "left_anti").select(merged.columns).unionByName(merged)
+    return left
 
 
 def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window_bytes: int = WINDOW_BYTES, table_bytes: int = TABLE_BYTES, bucket_bytes: int = BUCKET_BYTES) -> DataFrame:
@@ -186,7 +216,8 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     rows = work.stage(level0, "rows")
     left = rows.where(F.col(c["n"]).isNotNull()).select(
         F.array(c["rep"]).alias("reps"), F.col(f"`{id_col}`").alias("best_id"), F.col(c["row"]).alias("best_row"), F.col(c["n"]).alias("n"), F.col(c["sha"]).alias("sha"), F.col(c["hash"]).alias("hash"), F.col(f"`{text_col}`").alias("text"), F.col(c["bytes"]).alias("bytes"))
-    id_type, closed, done = docs.schema[id_col].dataType, None, False
+    id_type, closed, done = docs.select(F.col(f"`{id_col}`")).schema[0].dataType, None, False
+    left = merge_hot(left, id_type, work, table_bytes)
     for level in range(1, MAX_LEVELS + 1):
         total = left.agg(F.sum("bytes")).first()[0] or 0
         buckets = max(shuffle_partitions(spark), -(-total // bucket_bytes)) * (1 if level == 1 else 2**level)
@@ -198,14 +229,15 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
             break
     if not done:
         raise RuntimeError(f"buckets still exceed {table_bytes} bytes after {MAX_LEVELS} levels")
-    groups = closed.select(F.explode("reps").alias(c["rep"]), F.col("best_id").alias("keep_id"), F.col("best_row").alias("__best"), F.col("n").alias("group_size"), F.col("sha").alias("text_sha256"))
+    (best,) = fresh([*docs.columns, *c.values(), *RESULT], "best")
+    groups = closed.select(F.explode("reps").alias(c["rep"]), F.col("best_id").alias("keep_id"), F.col("best_row").alias(best), F.col("n").alias("group_size"), F.col("sha").alias("text_sha256"))
     joined = rows.drop(c["n"], c["sha"], c["hash"], c["bytes"]).join(groups, c["rep"])
-    return joined.withColumn("kept", F.col(c["row"]) == F.col("__best")).select(*[F.col(f"`{x}`") for x in docs.columns], *RESULT)
+    return joined.withColumn("kept", F.col(c["row"]) == F.col(best)).select(*[F.col(f"`{x}`") for x in docs.columns], *RESULT)
 
 
 def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per distinct text, with the columns of docs."""
     names = docs.columns
-    plain = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text"), F.struct(*[F.col(f"`{c}`") for c in names if c not in (text_col,)]).alias("rest"))
+    plain = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text"), F.struct(*[F.col(f"`{c}`") for c in names if c.lower() != text_col.lower()]).alias("rest"))
     kept = exact_dedup(plain, "id", "text").where("kept")
-    return kept.select([F.col("text").alias(c) if c == text_col else F.col(f"rest.`{c}`").alias(c) for c in names])
+    return kept.select([F.col("text").alias(c) if c.lower() == text_col.lower() else F.col(f"rest.`{c}`").alias(c) for c in names])
