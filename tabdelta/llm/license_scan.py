@@ -10,12 +10,20 @@ Defined results: one row per distinct id (a null id is a value of its own), with
 empty list where nothing matches; null texts count as empty; rows with equal ids
 are one document, so repeated rows change nothing; extra columns are ignored; an
 empty table gives an empty result. Known texts that normalise to nothing never
-match. The known table is broadcast: it is bounded by MAX_KNOWN rows of digests,
-and a longer one is joined by shuffle.
+match. The known table is broadcast where counting it finds at most MAX_KNOWN rows of
+digests; a longer one is joined by shuffle.
+
+Normalising is the dear part, so units that can't match are left out before it:
+every known text has a word that a unit of the same normal form must hold as it
+stands (see ``needles``), and a unit with none of these words matches nothing.
 """
 
 from __future__ import annotations
 
+import re
+from collections import Counter
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from . import license_texts
@@ -71,22 +79,72 @@ def canonical(text: Column) -> Column:
     return F.trim(F.regexp_replace(x, r"[ \t\n\x0B\f\r]+", " "))
 
 
+def needles(known=KNOWN) -> tuple[str, ...]:
+    """Letter sequences of which the lower case of every text that matches a known one holds at least one.
+
+    A word of a normal form stands in the text itself if no equivalent spelling can have made a part of it: the
+    letters of a word follow each other in the text, too, since all else only puts blanks in or takes them out.
+    Words with "license" are the exception, and stand there with it or with its other spelling.
+    """
+    spelled = {w for _, form in SPELLINGS for w in re.findall("[a-z]+", form)} - {"license"}
+    texts = []
+    for _, text in known:
+        words = set()
+        for w in set(re.findall(r"(?<![^ ])[a-z]{5,}(?![^ ])", plain_canonical(text))):
+            if not any(x in w for x in spelled):
+                words.add(w)
+        if words:
+            texts.append(words)
+        elif plain_canonical(text):
+            return ()  # a text without such a word: nothing can be left out
+    found: list[str] = []
+    while texts:
+        counts = Counter(w for words in texts for w in words)
+        best = min(counts, key=lambda w: (-counts[w], -len(w), w))
+        found.append(best)
+        texts = [words for words in texts if best not in words]
+    return tuple(sorted({x for w in found for x in ((w, w.replace("license", "licence")) if "license" in w else (w,))}))
+
+
+def plain_canonical(text: str) -> str:
+    """The normal form of one known text, on the driver."""
+    x = text.lower()
+    if "copyright" in x or "©" in x or "(c)" in x:
+        x = re.sub(r"(?m)^[ \t*#/;-]*(copyright|©|\(c\))[^\n]*$", " ", x)
+    for pattern, form in SPELLINGS:
+        x = x.replace(pattern, form)
+    return " ".join(x.translate({ord(c): " " for c in _PUNCTUATION}).split())
+
+
 def known_table(spark: SparkSession, known=KNOWN) -> DataFrame:
     """Distinct (digest, license_id) of known texts."""
     t = spark.createDataFrame(list(known), "license_id string, text string")
     return t.select(canonical(F.col("text")).alias("c"), "license_id").where(F.length("c") > 0).select(F.sha2("c", 256).alias("digest"), "license_id").distinct()
 
 
-def license_scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", known: DataFrame | None = None, n_known: int | None = None) -> DataFrame:
-    """Per id: license_ids (sorted), n_units (matching units) and whole_text (whether an entire document matched)."""
-    bounded = known is None or (n_known is not None and n_known <= MAX_KNOWN)
+def license_scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", known: DataFrame | None = None) -> DataFrame:
+    """Per id: license_ids (sorted), n_units (matching units) and whole_text (whether an entire document matched).
+
+    ``known``: (digest, license_id) in place of the table of KNOWN.
+    """
+    words = needles() if known is None else ()
+    bounded = known is None or known.limit(MAX_KNOWN + 1).count() <= MAX_KNOWN
     known = known_table(docs.sparkSession) if known is None else known
     text = F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit(""))
     unit = lambda x, kind: F.struct(x.alias("unit"), F.lit(kind).alias("kind"))
-    paragraphs = F.when(F.rlike(text, F.lit(BLANK_LINE)), F.split(text, BLANK_LINE)).otherwise(F.array().cast("array<string>"))
-    lines = F.when(F.locate("\n", text) > 0, F.split(text, "\n")).otherwise(F.array().cast("array<string>"))
-    units = F.concat(F.array(unit(text, "whole")), F.transform(paragraphs, lambda x: unit(x, "paragraph")), F.transform(lines, lambda x: unit(x, "line")))
-    exploded = docs.select(F.col(f"`{id_col}`").alias("id"), F.explode(units).alias("u")).select("id", F.col("u.kind").alias("kind"), F.sha2(canonical(F.col("u.unit")), 256).alias("digest"))
-    found = exploded.join(F.broadcast(known) if bounded else known, "digest", "left")
+    none = F.array().cast("array<string>")
+
+    def may_match(x: Column) -> Column:
+        low = F.lower(x)
+        return reduce(lambda a, b: a | b, (F.contains(low, F.lit(w)) for w in words)) if words else F.lit(True)
+
+    paragraphs = F.when(F.rlike(text, F.lit(BLANK_LINE)), F.split(text, BLANK_LINE)).otherwise(none)
+    lines = F.when(F.locate("\n", text) > 0, F.split(text, "\n")).otherwise(none)
+    units = lambda parts, kind: F.transform(F.filter(parts, may_match), lambda x: unit(x, kind))
+    found = F.when(may_match(text), F.concat(F.array(unit(text, "whole")), units(paragraphs, "paragraph"), units(lines, "line")))
+    exploded = docs.select(F.col(f"`{id_col}`").alias("id"), F.explode_outer(found).alias("u"))
+    digest = F.when(F.col("u.unit").isNotNull(), F.sha2(canonical(F.col("u.unit")), 256))
+    exploded = exploded.select("id", F.col("u.kind").alias("kind"), digest.alias("digest"))
+    joined = exploded.join(F.broadcast(known) if bounded else known, "digest", "left")
     matched = F.col("license_id").isNotNull()
-    return found.groupBy("id").agg(F.sort_array(F.collect_set("license_id")).alias("license_ids"), F.count(F.when(matched, 1)).alias("n_units"), F.max(F.coalesce(matched & (F.col("kind") == "whole"), F.lit(False))).alias("whole_text")).withColumnRenamed("id", id_col)
+    return joined.groupBy("id").agg(F.sort_array(F.collect_set("license_id")).alias("license_ids"), F.count(F.when(matched, 1)).alias("n_units"), F.max(F.coalesce(matched & (F.col("kind") == "whole"), F.lit(False))).alias("whole_text")).withColumnRenamed("id", id_col)

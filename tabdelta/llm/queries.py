@@ -36,7 +36,8 @@ def op5_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return token_counts.suffix_sums(token_counts.histogram(token_counts.token_lengths(table(spark, sf_dir, "documents"))))
+    """Suffix sums of every length, totals under each context limit, and quantiles."""
+    return token_counts.report(token_counts.suffix_sums(token_counts.histogram(token_counts.token_lengths(table(spark, sf_dir, "documents")))))
 
 
 def op7_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -50,7 +51,7 @@ def op8_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pii.pseudonymise(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return pii.pseudonymise(table(spark, sf_dir, "documents").select("doc_id", "text"), key=pii.DEMO_KEY)
 
 
 def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -118,7 +119,7 @@ def _license_sql() -> str:
 WITH k AS (SELECT DISTINCT license_id, sha256({form('t')}) AS digest FROM (VALUES {known}) x(license_id, t) WHERE length({form('t')}) > 0),
 d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
 u AS (SELECT doc_id, 'whole' AS kind, t AS unit FROM d
-  UNION ALL SELECT doc_id, 'paragraph', unnest(regexp_split_to_array(t, '\n[ \t\r]*\n')) FROM d WHERE contains(t, chr(10) || chr(10))
+  UNION ALL SELECT doc_id, 'paragraph', unnest(regexp_split_to_array(t, '\n[ \t\r]*\n')) FROM d WHERE regexp_matches(t, '\n[ \t\r]*\n')
   UNION ALL SELECT doc_id, 'line', unnest(string_split(t, chr(10))) FROM d WHERE contains(t, chr(10))),
 f AS (SELECT u.doc_id, kind, license_id FROM (SELECT doc_id, kind, sha256({form('unit')}) AS digest FROM u) u LEFT JOIN k ON u.digest = k.digest)
 SELECT doc_id, coalesce(array_to_string(list_sort(list_distinct(list(license_id) FILTER (license_id IS NOT NULL))), ','), '') AS license_ids, count(license_id) AS n_units, coalesce(bool_or(kind = 'whole' AND license_id IS NOT NULL), false) AS whole_text FROM f GROUP BY doc_id

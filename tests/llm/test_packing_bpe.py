@@ -119,6 +119,15 @@ def test_tree_join_is_associative():
             assert left == right == enc(text)
 
 
+def test_texts_without_blanks_have_sync_points():
+    t = tree(64, 4)
+    for part, most in (("日本語のテスト。", 40), ("f(x1,y2){return[a-b,'c'];}", 40), ("aB3dE5gH7jK9", 40)):
+        text = part * 500
+        assert t.encode(text) == t.encoding.encode_ordinary(text)
+        a, b = t._stable(text, 0, len(text) // 2, len(text))
+        assert b - a <= most
+
+
 def test_encode_decode_rows(spark):
     df = spark.createDataFrame([(k, t, "x") for k, t in enumerate(ODD)], "doc_id long, text string, decoded string")
     rows = {r.doc_id: r for r in bpe_tree.encode_decode(df, leaf=64, flush_bytes=50).collect()}
@@ -134,19 +143,34 @@ def test_length_histogram_and_suffix_sums(spark):
     texts = [" ".join(["word"] * rnd.randint(0, 60)) for _ in range(120)] + [None]
     lengths = [len(reference().encode(t or "", add_special_tokens=False).ids) for t in texts]
     hist = token_counts.histogram(token_counts.token_lengths(spark.createDataFrame([(t, 1) for t in texts], "text string, n_docs int")))
-    sums = token_counts.suffix_sums(hist, width=8)
-    got = {r.n_tokens: r for r in sums.collect()}
-    assert set(got) == set(lengths)
-    for L, r in got.items():
-        ge = [x for x in lengths if x >= L]
-        assert (r.docs_ge, r.tokens_ge, r.docs_lt) == (len(ge), sum(ge), len(lengths) - len(ge))
-        assert r.truncated_total == sum(min(x, L) for x in lengths) and r.tokens_lost == sum(max(0, x - L) for x in lengths)
-        s = sorted(lengths)
-        assert s[r.rank_lo - 1] == s[r.rank_hi - 1] == L
-    for limit in (0, 7, 33, 1000):
-        x = token_counts.truncated_total(sums, limit).first()
-        assert (x.tokens_kept, x.docs_cut) == (sum(min(v, limit) for v in lengths), sum(v > limit for v in lengths))
-    for q in (0.0, 0.5, 0.9, 1.0):
-        assert token_counts.quantile(sums, q).first().n_tokens == sorted(lengths)[max(1, -(-int(q * 1000) * len(lengths) // 1000)) - 1]
+    for width, levels in ((8, 1), (3, 2)):
+        sums = token_counts.suffix_sums(hist, width=width, levels=levels)
+        got = {r.n_tokens: r for r in sums.collect()}
+        assert set(got) == set(lengths)
+        for L, r in got.items():
+            ge = [x for x in lengths if x >= L]
+            assert (r.docs_ge, r.tokens_ge, r.docs_lt) == (len(ge), sum(ge), len(lengths) - len(ge))
+            assert r.truncated_total == sum(min(x, L) for x in lengths) and r.tokens_lost == sum(max(0, x - L) for x in lengths)
+            s = sorted(lengths)
+            assert s[r.rank_lo - 1] == s[r.rank_hi - 1] == L
+    limits, shares = (0, 7, 33, 1000), (0.0, 0.5, 0.9, 1.0)
+    for x in token_counts.truncated_totals(sums, limits).collect():
+        assert (x.tokens_kept, x.docs_cut) == (sum(min(v, x.limit) for v in lengths), sum(v > x.limit for v in lengths))
+    for x in token_counts.quantiles(sums, shares).collect():
+        assert x.n_tokens == sorted(lengths)[max(1, -(-int(x.share * 1000) * len(lengths) // 1000)) - 1]
+    whole = token_counts.report(sums, limits, shares).collect()
+    assert [sum(r.asked == k for r in whole) for k in ("length", "limit", "quantile")] == [len(got), 4, 4]
     empty = token_counts.suffix_sums(token_counts.histogram(token_counts.token_lengths(spark.createDataFrame([], "text string"))))
-    assert empty.count() == 0 and token_counts.quantile(empty, 0.5).first().n_tokens is None
+    assert empty.count() == 0 and token_counts.report(empty).count() == 0
+
+
+def test_registered_token_counts_equal_brute_force(spark):
+    from tabdelta.llm import queries
+
+    sf = "/root/testdata/sf0.001"
+    n = sorted(len(reference().encode(r.text or "", add_special_tokens=False).ids) for r in spark.read.parquet(f"{sf}/documents.parquet").select("text").collect())
+    rows = queries.op6_token_counts(spark, sf).collect()
+    by = lambda kind: [r for r in rows if r.asked == kind]
+    assert sorted((r.n_tokens, r.n_docs, r.docs_ge, r.tokens_ge) for r in by("length")) == [(x, n.count(x), sum(y >= x for y in n), sum(y for y in n if y >= x)) for x in sorted(set(n))]
+    assert {r.n_tokens: (r.truncated_total, r.tokens_lost, r.docs_cut) for r in by("limit")} == {x: (sum(min(y, x) for y in n), sum(max(0, y - x) for y in n), sum(y > x for y in n)) for x in token_counts.LIMITS}
+    assert {r.share: r.n_tokens for r in by("quantile")} == {q: n[max(1, -(-round(q * 100) * len(n) // 100)) - 1] for q in token_counts.SHARES}

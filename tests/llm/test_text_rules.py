@@ -1,3 +1,4 @@
+import hashlib
 import random
 import re
 from pathlib import Path
@@ -59,6 +60,26 @@ def test_license_paragraphs_after_any_blank_line(spark):
     assert got == {k: (["ISC"], 1, False) for k in range(4)} | {4: ([], 0, False)}
 
 
+def test_needles_are_in_every_known_text_however_it_is_spelled(spark):
+    words = license_scan.needles()
+    assert 0 < len(words) <= 12
+    swap = [(form, pattern) for pattern, form in license_scan.SPELLINGS if form.strip()]
+    for _, text in license_scan.KNOWN:
+        variants = [text, text.upper(), *(text.lower().replace(form.strip(" "), pattern) for form, pattern in swap)]
+        for v in variants:
+            if license_scan.plain_canonical(v) == license_scan.plain_canonical(text):
+                assert any(w in v.lower() for w in words)
+    assert license_scan.needles((("X", "a b c d"),)) == ()
+    want = {(r.license_id, r.digest) for r in license_scan.known_table(spark).collect()}
+    assert want == {(k, hashlib.sha256(c.encode()).hexdigest()) for k, t in license_scan.KNOWN if (c := license_scan.plain_canonical(t))}
+
+
+def test_license_table_of_the_caller(spark):
+    docs = spark.createDataFrame([(1, "Ours: do as you like."), (2, "other")], "doc_id long, text string")
+    known = spark.createDataFrame([("Ours", "ours do as you like")], "license_id string, c string").selectExpr("sha2(c, 256) AS digest", "license_id")
+    assert {r.doc_id: r.license_ids for r in license_scan.license_scan(docs, known=known).collect()} == {1: ["Ours"], 2: []}
+
+
 def test_complete_licenses(spark):
     read = lambda name: (Path(license_scan.__file__).parent / "licenses" / f"{name}.txt").read_text()
     names = ["Apache-2.0", "GPL-2.0", "GPL-3.0", "LGPL-2.1", "LGPL-3.0", "MPL-2.0", "CC0-1.0", "MIT", "0BSD", "Unlicense"]
@@ -90,7 +111,7 @@ def card(rnd):
 def test_values_keep_their_format_and_come_back():
     rnd, maps = random.Random(6), pii.Pseudonyms(KEY)
     c = card(rnd)
-    values = [("card", c), ("card", "-".join(c[i : i + 4] for i in (0, 4, 8, 12))), ("email", "the.72+x@mail3.example.com"), ("phone", "+1 (017) 555-7713"), ("ip", "169.122.221.182"), ("date", "2024-02-29"), ("date", "31.12.1999"), ("ssn", "123-45-6789"), ("iban", "DE89 3704 0044 0532 0130 00"), ("secret", 'token = "04dbebab91ab85687d33eeaaf9ac699e1188f962'), ("secret", "password: abcDEF123456_-xyz99")]
+    values = [("card", c), ("card", "-".join(c[i : i + 4] for i in (0, 4, 8, 12))), ("email", "the.72+x@mail3.example.com"), ("phone", "+1 (017) 555-7713"), ("ip", "169.122.221.182"), ("date", "2024-02-29"), ("date", "31.12.1999"), ("date", "12/25/1990"), ("date", "05/06/2001"), ("ssn", "123-45-6789"), ("iban", "DE89 3704 0044 0532 0130 00"), ("secret", 'token = "04dbebab91ab85687d33eeaaf9ac699e1188f962'), ("secret", "password: abcDEF123456_-xyz99")]
     for kind, v in values:
         out = maps.swap(kind, v)
         assert out != v and len(out) == len(v) or kind == "ip"
@@ -109,7 +130,7 @@ def test_texts_stay_linked_and_clean_ones_alone(spark):
     assert swapped in got[1].text and swapped in got[2].text and bad in got[2].text and "the.72@" not in got[2].text
     assert got[3].text is None and got[4].text == rows[3][1] and got[4].n_pseudonyms == 0 and got[2].n_card == 1
     assert pii.pseudonymise_text(got[2].text, KEY, back=True)[0] == rows[1][1]
-    assert pii.pseudonymise(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+    assert pii.pseudonymise(spark.createDataFrame([], "doc_id long, text string"), key=KEY).count() == 0
 
 
 def test_language_accuracy_on_held_out_rows(spark):
@@ -140,4 +161,4 @@ def test_language_evidence_without_text(spark):
     assert got[102].language in model.languages and 0 < got[102].posterior <= 1
     assert language_id.identify(spark.createDataFrame([], "page_id long, url string, html string"), model, "html", url_col="url", markup=True).count() == 0
     with pytest.raises(ValueError):
-        language_id.TextModel.fit([])
+        language_id.TextModel.fit({})
