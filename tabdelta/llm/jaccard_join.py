@@ -36,7 +36,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from .components import components, spread
-from .shared import Workspace, fresh, shuffle_partitions, without
+from .shared import Workspace, fresh, probe, shuffle_partitions, without
 
 WORDS = 5
 #: Similarity of at least NUM/DEN links two documents.
@@ -162,8 +162,11 @@ class JaccardJoin:
         self.rows = found.where(F.col(self.chunk).isNull()).drop(self.chunk, self.counts)
         self.sketch = self.sum_sketch(found.where(F.col(self.chunk).isNotNull()).select(F.col(self.chunk).alias("chunk"), F.col(self.counts).alias("counts")))
         some = self.rows.where(F.col(self.n) > 0)
-        self.points = self.work.stage(some.groupBy(F.struct(F.col(self.c1).alias("a"), F.col(self.c2).alias("b")).alias("node")).agg(
-            F.min(F.col(f"`{self.id_col}`")).alias("least_id"), F.min(F.struct(F.col(self.k1).alias("k1"), F.col(self.k2).alias("k2"))).alias("k"), F.max(F.when(F.col(f"`{self.id_col}`").isNull(), 1).otherwise(0)).alias("no_id"), F.max(self.n).alias("n")), "points")
+        # Points are numbered once, as they are written, so that all later steps group and join by one long. k1 and k2
+        # name one of the point's documents: the two first() see the same rows, and neither is ever null.
+        points = some.groupBy(F.col(self.c1).alias("a"), F.col(self.c2).alias("b")).agg(
+            F.min(F.col(f"`{self.id_col}`")).alias("least_id"), F.first(self.k1).alias("k1"), F.first(self.k2).alias("k2"), F.max(F.when(F.col(f"`{self.id_col}`").isNull(), 1).otherwise(0)).alias("no_id"), F.max(self.n).alias("n"))
+        self.points = self.work.stage(points.withColumn("node", F.monotonically_increasing_id()), "points")
 
     def sum_sketch(self, rows: DataFrame) -> np.ndarray:
         """The sketch of all tasks: summed within the tasks that read it, then by chunk, streaming; 4 bytes a slot reach the driver."""
@@ -295,21 +298,26 @@ class JaccardJoin:
         total = self.points.agg(F.sum("n")).first()[0] or 0
         parts = max(shuffle_partitions(self.spark), -(-total // (5 * 1_000_000)))
         rows = self.docs.select(self.text).mapInArrow(prefixes, schema).repartition(parts, "s", "salt").sortWithinPartitions("s", "salt", F.desc("pr"), "c1", "c2").mapInArrow(group, out_schema)
-        node, pivot = F.struct(F.col("c1").alias("a"), F.col("c2").alias("b")), F.struct(F.col("p1").alias("a"), F.col("p2").alias("b"))
-        found = self.work.stage(rows.select("s", "salted", node.alias("x"), "n", "pos", "pr", F.struct("ppr", pivot.alias("p"), "pn", "ppos").alias("head")), "parts")
+        found = self.work.stage(rows.select("s", "salted", "c1", "c2", "n", "pos", "pr", F.struct("ppr", "p1", "p2", "pn", "ppos").alias("head")), "parts")
         plain = found
         if not found.where("salted").isEmpty():
             tops = self.work.stage(found.where("salted").groupBy("s").agg(F.max("head").alias("top")), "tops")
             one = found.where("salted").join(tops, "s").withColumn("head", F.col("top")).drop("top")
             plain = self.work.stage(found.where("not salted").unionByName(one), "cells")
-        self.members = plain.select("s", "x", "n", "pos", "pr", F.col("head.p").alias("p"), F.col("head.pn").alias("pn"), F.col("head.ppos").alias("ppos"))
+        number = lambda a, b, name: self.points.select(F.col("a").alias(a), F.col("b").alias(b), F.col("node").alias(name))
+        plain = plain.select("s", "c1", "c2", "n", "pos", "pr", F.col("head.p1").alias("p1"), F.col("head.p2").alias("p2"), F.col("head.pn").alias("pn"), F.col("head.ppos").alias("ppos"))
+        numbered = plain.join(number("c1", "c2", "x"), ["c1", "c2"]).drop("c1", "c2").join(number("p1", "p2", "p"), ["p1", "p2"])
+        self.members = self.work.stage(numbered.select("s", "x", "n", "pos", "pr", "p", "pn", "ppos"), "members")
+        for name in ("parts", "tops", "cells"):
+            self.work.drop(name)
 
     # -- comparisons --------------------------------------------------------------------------------------------
     def fetch_sets(self) -> None:
         """The sets of all points in cells, each from one of its documents."""
         words = self.words
-        wanted = self.members.select(F.col("x").alias("node")).distinct().join(self.points, "node").select("node", F.col("k.k1").alias(self.k1), F.col("k.k2").alias(self.k2))
-        texts = self.docs.select(self.k1, self.k2, self.text).join(wanted.hint("shuffle_hash"), [self.k1, self.k2]).select("node", self.text)
+        wanted = self.members.select(F.col("x").alias("node")).distinct().join(self.points, "node").select("node", F.col("k1").alias(self.k1), F.col("k2").alias(self.k2))
+        wanted = self.work.stage(wanted, "wanted")
+        texts = probe(self.docs.select(self.k1, self.k2, self.text), wanted, [self.k1, self.k2]).select("node", self.text)
 
         def run(batches):
             shingles = Shingles(words)
@@ -399,7 +407,7 @@ class JaccardJoin:
         least = joined.groupBy("label").agg(F.min("least_id").alias("least"), F.max("no_id").alias("none"))
         named = self.points.join(labels.join(least, "label").select("node", "least", "none"), "node", "left")
         component = F.when(F.coalesce("none", "no_id") == 0, F.coalesce("least", "least_id"))
-        ids = self.work.stage(named.select(F.col("node.a").alias(self.c1), F.col("node.b").alias(self.c2), component.alias("component_id")), "ids")
+        ids = self.work.stage(named.select(F.col("a").alias(self.c1), F.col("b").alias(self.c2), component.alias("component_id")), "ids")
         own = [F.col(f"`{c}`") for c in self.rest]
         linked = self.rows.where(F.col(self.n) > 0).join(ids, [self.c1, self.c2]).select(*own, F.col(self.n).alias("n_shingles"), "component_id")
         empty = self.rows.where(F.col(self.n) == 0).select(*own, F.col(self.n).alias("n_shingles"), F.col(f"`{self.id_col}`").alias("component_id"))
@@ -427,7 +435,7 @@ def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     stay = work.stage(least.select(named(F.col(f"{whole}.id"), F.col(f"{whole}.none")).alias(kid), F.col(f"{whole}.{h1}").alias(h1), F.col(f"{whole}.{h2}").alias(h2)).distinct(), "stay")
     join.work.drop()
     work.tidy()
-    kept = keyed.join(stay.hint("shuffle_hash"), key, "left_semi")
+    kept = probe(keyed, stay, key, "left_semi")
     if not keyed.groupBy(*key).agg(F.count(F.lit(1)).alias("n")).where("n > 1").isEmpty():
         kept = kept.dropDuplicates(key)
     return kept.select([F.col(f"`{c}`") for c in docs.columns])

@@ -99,11 +99,11 @@ BUILD_ROWS = 500_000
 def probe(stream: DataFrame, build: DataFrame, on: list[str], how: str = "inner", build_rows: int = BUILD_ROWS) -> DataFrame:
     """stream joined with a written table of small rows by hash, so that wide stream rows aren't sorted.
 
-    A hash table can't spill, so both sides are dealt to as many partitions as keep it under ``build_rows`` rows.
-    The keys of ``build`` must be near-unique: a task holds all build rows of a key.
+    A hash table can't spill, so this holds only while the counted rows of ``build`` come to at most ``build_rows``
+    for each shuffle partition; beyond that Spark's own choice, a sort that spills, is left alone.
     """
-    parts = max(shuffle_partitions(stream.sparkSession), -(-build.count() // build_rows))
-    return stream.repartition(parts, *on).join(build.repartition(parts, *on).hint("shuffle_hash"), on, how)
+    fits = build.count() <= build_rows * shuffle_partitions(stream.sparkSession)
+    return stream.join(build.hint("shuffle_hash") if fits else build, on, how)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -35,7 +35,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F, types as T
 
-from .shared import Workspace, fresh, without
+from .shared import Workspace, fresh, probe, without
 
 THRESHOLD = 400
 DIGIT = 128
@@ -242,8 +242,9 @@ def repeated_spans(docs: DataFrame, work: Workspace, threshold: int = THRESHOLD,
     # Pass 3: further digits, for first digits that continue in several ways.
     several = work.stage(classes.groupBy("first").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("first"), "several")
     wanted = classes.join(several, "first", "left_semi").select("x.k1", "x.k2", F.struct("x.p", "first", (F.col("n") > 1).alias("done")).alias("a"))
-    wanted = wanted.groupBy("k1", "k2").agg(F.collect_list("a").alias("a"))
-    texts = docs.select("k1", "k2", "text").join(wanted.hint("shuffle_hash"), ["k1", "k2"])
+    # A list holds the anchors of one text, at most one for each of its bytes.
+    wanted = work.stage(wanted.groupBy("k1", "k2").agg(F.collect_list("a").alias("a")), "wanted")
+    texts = probe(docs.select("k1", "k2", "text"), wanted, ["k1", "k2"])
 
     def contexts(batches):
         for b in batches:
@@ -329,7 +330,7 @@ def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     keyed = docs.select(*[F.col(f"`{c}`") for c in rest], F.xxhash64(F.col(f"`{id_col}`"), text).alias(c1), F.hash(text).alias(c2), text.alias(ct))
     spans = repeated_spans(keyed.select(F.col(c1).alias("k1"), F.col(c2).alias("k2"), F.col(ct).alias("text")), work, threshold, digit, group_rows)
     per_doc = work.stage(spans.groupBy("k1", "k2").agg(F.sort_array(F.collect_set(F.struct("start", "end"))).alias(cf)), "spans").select(F.col("k1").alias(c1), F.col("k2").alias(c2), cf)
-    joined = keyed.join(per_doc.hint("shuffle_hash"), [c1, c2], "left").select(ct, cf, *[F.col(f"`{c}`") for c in rest])
+    joined = probe(keyed, per_doc, [c1, c2], "left").select(ct, cf, *[F.col(f"`{c}`") for c in rest])
     span = T.ArrayType(T.StructType([T.StructField("start", T.LongType()), T.StructField("end", T.LongType())]))
     schema = T.StructType([*joined.select([F.col(f"`{c}`") for c in rest]).schema, T.StructField("n_bytes", T.LongType()), T.StructField("n_removed", T.LongType()), T.StructField("spans", span), T.StructField("kept", T.BinaryType())])
     kind = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
