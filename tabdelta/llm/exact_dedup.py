@@ -148,6 +148,7 @@ def resolve(reps: DataFrame, id_type: T.DataType, buckets: int, level: int, tabl
     A closed group is a row per HOT_REPS of its representatives. With ``salts`` (a number per row) equal texts are
     dealt to several tables, so every row comes out open.
     """
+    salted = salts is not None
     schema = T.StructType([T.StructField("reps", T.ArrayType(T.LongType())), T.StructField("best_id", id_type), T.StructField("best_row", T.LongType()), T.StructField("n", T.LongType()), T.StructField("sha", T.StringType()), T.StructField("hash", T.LongType()), T.StructField("text", T.StringType()), T.StructField("bytes", T.LongType())])
 
     def run(batches):
@@ -163,7 +164,7 @@ def resolve(reps: DataFrame, id_type: T.DataType, buckets: int, level: int, tabl
                 yield pa.RecordBatch.from_arrays([pa.array(c, t or kind) if not isinstance(c, pa.Array) else c for c, t in zip(cols, arrow)], names=[f.name for f in schema])
 
         table, best, n, sha, reps = OpenTable(), [], [], [], []
-        overflowed, kind = salts is not None, None
+        overflowed, kind = salted, None
         for b in batches:
             kind = b.column(1).type
             cols = [b.column(k).to_pylist() for k in range(6)] + [b.column(6).cast(pa.large_binary())]
@@ -187,7 +188,7 @@ def resolve(reps: DataFrame, id_type: T.DataType, buckets: int, level: int, tabl
         if n:
             yield from entries(table, best, n, sha, reps, overflowed, kind)
 
-    deal = [F.xxhash64("hash", F.lit(level))] if salts is None else ["hash", salts]
+    deal = ["hash", salts] if salted else [F.xxhash64("hash", F.lit(level))]
     own = [f.name for f in schema][:7]
     return reps.repartition(buckets, *deal).select(own).mapInArrow(run, schema)
 
