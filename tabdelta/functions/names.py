@@ -107,11 +107,11 @@ def similarity_column(a: Column, b: Column) -> Column:
     return ratio(a, b)
 
 
-def looks_numeric(c: Column) -> Column:
-    """Digits with at most one point and one minus sign anywhere."""
-    return F.regexp_replace(F.regexp_replace(c, r"^([^.]*)\.", "$1"), r"^([^-]*)-", "$1").rlike(r"^\d+$")
+def looks_numeric(name: str) -> Column:
+    """Of a column: digits with at most one point and one minus sign anywhere."""
+    return F.regexp_replace(F.regexp_replace(name, r"^([^.]*)\.", "$1"), r"^([^-]*)-", "$1").rlike(r"^\d+$")
 
 
-def looks_like_name(c: Column) -> Column:
-    """Text of under 40 characters that starts with a letter."""
-    return (F.length(c) < 40) & F.trim(c).rlike(r"^[A-Za-z]")
+def looks_like_name(name: str) -> Column:
+    """Of a column: text of under 40 characters that starts with a letter."""
+    return (F.length(name) < 40) & F.trim(name).rlike(r"^[A-Za-z]")

@@ -6,12 +6,15 @@ never shown, so any rendering that keeps unequal numbers apart will do.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, functions as F
 
 # The vocabulary of logical cells, of missing cells in files, and of blanks.
 TRUE_WORDS = ("TRUE", "T", "YES", "Y", "1", "1.0", "CHECK", "CHECKED", "CHECKMARK", "✓", "✔", "ON", "ENABLED", "ACTIVE")
 FALSE_WORDS = ("FALSE", "F", "NO", "N", "0", "0.0", "CROSS", "UNCHECKED", "✗", "✘", "X", "OFF", "DISABLED", "INACTIVE")
 NA_WORDS = ("", "#N/A", "#N/A N/A", "#NA", "-1.#IND", "-1.#QNAN", "-NaN", "-nan", "1.#IND", "1.#QNAN", "<NA>", "N/A", "NA", "NULL", "NaN", "None", "n/a", "nan", "null")
+_ASCII_BLANKS = ("\t", "\n", "\x0b", "\x0c", "\r", "\x1c", "\x1d", "\x1e", "\x1f")
 BLANKS = r"[\s\u001c-\u001f\u0085\u00a0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]"
 #: Python's grammar of finite float literals, after comma became point.
 NUMBER = r"^[+-]?([0-9](_?[0-9])*(\.([0-9](_?[0-9])*)?)?|\.[0-9](_?[0-9])*)([eE][+-]?[0-9](_?[0-9])*)?$"
@@ -26,7 +29,9 @@ def strip_blanks(c: Column) -> Column:
 def _word(c: Column, semantics: str) -> Column:
     """The cell in capitals, blanks in order; v2 collapses inner blanks and takes the text ``nan`` as missing."""
     if semantics == "v2":
-        return F.coalesce(F.when(~c.isin("", "nan"), F.upper(F.trim(F.regexp_replace(c, f"{BLANKS}+", " ")))), F.lit(""))
+        # Most cells hold no blank but single spaces; byte searches tell, and spare them the regular expression.
+        odd = reduce(lambda a, b: a | b, (F.contains(c, F.lit(m)) for m in (*_ASCII_BLANKS, "  ")), F.octet_length(c) != F.length(c))
+        return F.coalesce(F.when(~c.isin("", "nan"), F.upper(F.trim(F.when(odd, F.regexp_replace(c, f"{BLANKS}+", " ")).otherwise(c)))), F.lit(""))
     if semantics == "v1":
         return F.coalesce(F.upper(strip_blanks(c)), F.lit("NAN"))
     raise ValueError(f"unknown semantics {semantics!r}")
@@ -34,8 +39,9 @@ def _word(c: Column, semantics: str) -> Column:
 
 def _number(word: Column) -> Column:
     """The word as a number in Python's grammar, commas being points; null for other text."""
-    point = F.replace(word, F.lit(","), F.lit("."))
-    return F.when(point.rlike(NUMBER), F.replace(point, F.lit("_"), F.lit("")).try_cast("double"))
+    point, start = F.replace(word, F.lit(","), F.lit(".")), F.substring(word, 1, 1)
+    may_be = (start >= "+") & (start <= "9") & ~F.contains(word, F.lit(" "))  # signs, point, comma and digits lie there
+    return F.when(may_be & point.rlike(NUMBER), F.replace(point, F.lit("_"), F.lit("")).try_cast("double"))
 
 
 def _form(word: Column, number: Column) -> Column:
@@ -72,11 +78,6 @@ def canonical_frame(df: DataFrame, columns: list[str] | None = None, semantics:
     return done.select([F.col(f"__c_{chosen.index(c)}").alias(c) if c in chosen else F.col(f"`{c}`") for c in df.columns])
 
 
-def as_strings(df: DataFrame) -> DataFrame:
-    """Every column as text, missing cells kept as NULL."""
-    return df.select([F.col(f"`{c}`").cast("string").alias(c) for c in df.columns])
-
-
 def missing_words(c: Column) -> Column:
     """A cell as read from a file: the vocabulary of missing values becomes NULL."""
     return F.when(~c.isin(*NA_WORDS), c)

@@ -95,31 +95,31 @@ class KeyedDiff:
     def removed(self) -> DataFrame:
         return self.old.join(self.new.select(KEY).distinct(), KEY, "left_anti")
 
-    def matched(self) -> DataFrame:
-        """First rows of all keys in one full join: key, old, new, old_rid, new_rid, n_old, n_new, changed_cols."""
-        a = first_rows(self.old).select(KEY, F.col("row").alias("old"), F.col(ORDER).alias("old_rid"), F.col("copies").alias("n_old"))
-        b = first_rows(self.new).select(KEY, F.col("row").alias("new"), F.col(ORDER).alias("new_rid"), F.col("copies").alias("n_new"))
-        return with_changed(a.join(b, KEY, "full"), self.columns, self.keys, semantics=self.semantics)
+    def key_table(self) -> DataFrame:
+        """Per key: its rows on each side, and the least order number of each; one pre-aggregated shuffle for both sides."""
+        one = lambda df, old: df.select(KEY, F.when(F.lit(old), F.col(ORDER)).alias("o"), F.when(F.lit(not old), F.col(ORDER)).alias("n"), F.lit(int(old)).alias("is_old"))
+        both = one(self.old, True).unionAll(one(self.new, False))
+        return both.groupBy(KEY).agg(F.sum("is_old").alias("n_old"), F.sum(1 - F.col("is_old")).alias("n_new"), F.min("o").alias("old_rid"), F.min("n").alias("new_rid"))
 
     def result(self) -> DataFrame:
         """All differences: status, key, rid, old, new, changed_cols.
 
-        The full join says all about keys with one row on their side; only keys that
-        one side lacks and the other has several times are looked up again, and these
-        lookups reuse the join's shuffles for the keys.
+        The rows of both sides meet the key table in one join: all rows of keys that one side lacks stay, and the first
+        rows of the others, which are paired where they already lie together.
         """
-        both = self.matched()
-        status = F.when(F.col("n_old").isNull(), "added").when(F.col("n_new").isNull(), "removed").when(F.size("changed_cols") > 0, "changed")
+        rows = self.old.select("*", F.lit(True).alias("is_old")).unionByName(self.new.select("*", F.lit(False).alias("is_old")))
+        lone = (F.col("n_old") == 0) | (F.col("n_new") == 0)
+        first = F.col(ORDER) == F.when(F.col("is_old"), F.col("old_rid")).otherwise(F.col("new_rid"))
+        met = rows.join(self.key_table(), KEY).where(lone | first)
+        # A lone row is a group of its own; the two first rows of another key are one.
+        met = met.withColumn("own", F.when(lone, F.monotonically_increasing_id())).withColumn("rid", F.when(lone, F.col(ORDER)).otherwise(F.col("old_rid")))
+        side = lambda old, name: F.max(F.when(F.col("is_old") == old, F.col("row"))).alias(name)  # noqa: E731  of rows with equal order numbers the greatest
+        both = met.groupBy(KEY, "n_old", "n_new", "own", "rid").agg(side(True, "old"), side(False, "new"))
+        both = with_changed(both, self.columns, self.keys, semantics=self.semantics)
+        status = F.when(F.col("n_old") == 0, "added").when(F.col("n_new") == 0, "removed").when(F.size("changed_cols") > 0, "changed")
+        found = both.withColumn("status", status).where(F.col("status").isNotNull())
         none = F.array().cast("array<string>")
-        known = both.withColumn("status", status).where("status = 'changed' OR (status = 'added' AND n_new = 1) OR (status = 'removed' AND n_old = 1)")
-        changed_cols = F.when(F.col("status") == "changed", F.col("changed_cols")).otherwise(none)
-        out = known.select("status", F.col(KEY).alias("key"), F.coalesce("old_rid", "new_rid").alias("rid"), "old", "new", changed_cols.alias("changed_cols"))
-        lone = F.when(F.col("n_old").isNull() & (F.col("n_new") > 1), "added").when(F.col("n_new").isNull() & (F.col("n_old") > 1), "removed")
-        many = both.select(KEY, lone.alias("status")).where(F.col("status").isNotNull())
-        sides = self.new.withColumn("status", F.lit("added")).unionByName(self.old.withColumn("status", F.lit("removed")))
-        rows = sides.join(many, [KEY, "status"], "left_semi")
-        here = lambda side: F.when(F.col("status") == side, F.col("row"))
-        return out.unionByName(rows.select("status", F.col(KEY).alias("key"), F.col(ORDER).alias("rid"), here("removed").alias("old"), here("added").alias("new"), none.alias("changed_cols")))
+        return found.select("status", F.col(KEY).alias("key"), "rid", "old", "new", F.when(F.col("status") == "changed", F.col("changed_cols")).otherwise(none).alias("changed_cols"))
 
     def status(self) -> DataFrame:
         """A status for every key in one full join: key, status (changed, same, added, removed), n_old, n_new."""
@@ -132,13 +132,9 @@ class KeyedDiff:
 
     def duplicate_keys(self) -> DataFrame:
         """Keys with several rows on a side; only their first rows are compared."""
-        return self.status().where((F.col("n_old") > 1) | (F.col("n_new") > 1)).select("key", "n_old", "n_new")
+        return self.key_table().where((F.col("n_old") > 1) | (F.col("n_new") > 1)).select(F.col(KEY).alias("key"), "n_old", "n_new")
 
     def column_report(self) -> DataFrame:
         """Columns that only one side has."""
         spark = self.old.sparkSession
         return spark.createDataFrame([(c, "old") for c in self.old_only] + [(c, "new") for c in self.new_only], "column string, side string")
-
-
-def keyed_diff(old: DataFrame, new: DataFrame, keys: list[str], order: str | None = None, semantics: str = "v2") -> DataFrame:
-    return KeyedDiff(old, new, keys, order, semantics).result()

@@ -46,11 +46,9 @@ class KeylessDiff:
         self.old, self.new = valued(old, left, order, semantics), valued(new, right, order, semantics)
 
     def counts(self) -> DataFrame:
-        """Per value: its copies on each side, where they differ."""
-        a = self.old.groupBy("value").agg(F.count(F.lit(1)).alias("n_old"))
-        b = self.new.groupBy("value").agg(F.count(F.lit(1)).alias("n_new"))
-        both = a.join(b, "value", "full").select("value", F.coalesce("n_old", F.lit(0)).alias("n_old"), F.coalesce("n_new", F.lit(0)).alias("n_new"))
-        return both.where(F.col("n_old") != F.col("n_new"))
+        """Per value: its copies on each side, where they differ; one pre-aggregated shuffle for both sides."""
+        both = self.old.select("value", F.lit(1).alias("o"), F.lit(0).alias("n")).unionAll(self.new.select("value", F.lit(0), F.lit(1)))
+        return both.groupBy("value").agg(F.sum("o").alias("n_old"), F.sum("n").alias("n_new")).where("n_old != n_new")
 
     def _side(self, mine: DataFrame, theirs: DataFrame, grew: Column) -> DataFrame:
         if not self.comparable:
@@ -67,3 +65,15 @@ class KeylessDiff:
 
     def removed(self) -> DataFrame:
         return self._side(self.old, self.new, F.col("n_old") > F.col("n_new"))
+
+    def both(self) -> DataFrame:
+        """Added and removed rows in one: status, ORDER and a struct of the compared columns.
+
+        In ``count`` mode values are counted once for both sides, and the rows of both sides meet the counts in one join.
+        """
+        cut = lambda df, status: df.select(F.lit(status).alias("status"), ORDER, F.struct(*[F.col(f"row.`{c}`").alias(c) for c in self.columns]).alias("row"), *(["value"] if "value" in df.columns else []))
+        if self.multiset != "count" or not self.comparable:
+            return cut(self.added(), "added").unionByName(cut(self.removed(), "removed"))
+        rows = cut(self.new, "added").unionByName(cut(self.old, "removed"))
+        grew = self.counts().select("value", F.when(F.col("n_new") > F.col("n_old"), "added").otherwise("removed").alias("status"))
+        return rows.join(grew, ["value", "status"], "left_semi").drop("value")

@@ -27,34 +27,42 @@ def uniqueness_frame(old: DataFrame, new: DataFrame, columns: list[str]) -> Data
 
 
 def named_like(key: str, old: list[str], new: list[str], semantics: str = "v2") -> tuple[str, str] | None:
-    """The pair of columns whose names are most like the key's, both by at least MIN_SIMILARITY."""
+    """The pair of columns whose names are most like the key's, both by at least MIN_SIMILARITY.
+
+    Of columns whose names come to the same, the last stands for all; of pairs that are equally like, the first is taken.
+    """
+    left, right = ({key_name(c, semantics): c for c in columns} for columns in (old, new))
     want, best, score = key_name(key, semantics), None, 0.0
-    for a in old:
-        ra = similarity(want, key_name(a, semantics))
+    theirs = [(rb, b) for n, b in right.items() if (rb := similarity(want, n)) >= MIN_SIMILARITY]
+    for n, a in left.items():
+        ra = similarity(want, n)
         if ra < MIN_SIMILARITY:
             continue
-        for b in new:
-            rb = similarity(want, key_name(b, semantics))
-            if rb >= MIN_SIMILARITY and (ra + rb) / 2 > score:
+        for rb, b in theirs:
+            if (ra + rb) / 2 > score:
                 best, score = (a, b), (ra + rb) / 2
     return best
 
 
 def choose_key(old: DataFrame, new: DataFrame, keys: list[str], semantics: str = "v2", composite: bool = False) -> tuple[list[str], str]:
-    """The key columns (OLD's names) and a description; no columns where none is valid.
+    """The key columns (OLD's names) and a description by the keys as they were asked for; no columns where none is valid.
 
     One column is chosen, the most unique; with ``composite`` all valid ones are.
     """
     if not keys:
         return [], "No keys provided"
-    pairs = [p for k in keys if (p := named_like(k, old.columns, new.columns, semantics))]
-    candidates = [a for a, _ in pairs if a in new.columns]
-    candidates = list(dict.fromkeys(candidates))
-    if not candidates:
+    asked: dict[str, str] = {}  # column -> the key that found it first
+    for k in keys:
+        pair = named_like(k, old.columns, new.columns, semantics)
+        if pair and pair[0] in new.columns:
+            asked.setdefault(pair[0], k)
+    if not asked:
         return [], "No valid keys found"
+    candidates = list(asked)
     u_old, u_new = uniqueness(old, candidates), uniqueness(new, candidates)
     scores = {c: (u_old[c] + u_new[c]) / 2 for c in candidates}
+    said = lambda c: f"'{asked[c]}' ({scores[c]:.0%} unique)"
     if composite and len(candidates) > 1:
-        return candidates, "Key: " + ", ".join(f"'{c}' ({scores[c]:.0%} unique)" for c in candidates)
+        return candidates, "Key: " + ", ".join(map(said, candidates))
     best = max(candidates, key=lambda c: scores[c])  # the first of equals
-    return [best], f"Key: '{best}' ({scores[best]:.0%} unique)"
+    return [best], f"Key: {said(best)}"

@@ -14,10 +14,6 @@ def summary(diff: DataFrame) -> DataFrame:
     return diff.agg(*[F.count(F.when(F.col("status") == s, 1)).alias(f"n_{s}") for s in ("changed", "added", "removed")])
 
 
-def summary_by(diff: DataFrame, *by: str) -> DataFrame:
-    return diff.groupBy(*by, "status").agg(F.count(F.lit(1)).alias("n"))
-
-
 def run_summary(results: DataFrame) -> DataFrame:
     """From rows (pair_id, n_changed, n_added, n_removed): pairs compared, pairs that differ, whether all agree."""
     differs = (F.col("n_changed") + F.col("n_added") + F.col("n_removed")) > 0

@@ -6,19 +6,18 @@ is memoised by content, so comparing the same files again costs no parsing.
 
 from __future__ import annotations
 
-import hashlib
 import logging
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from ..functions.names import extension, extension_column, sheet_name_column
+from ..functions.names import extension_column, header_index, parse_keys, sheet_name_column
 from ..operators import report
 from ..sources.delimited import is_delimited, read_delimited
 from ..sources.workbook import catalog, read_workbook
 from .compare import WorkbookResult, combined, compare_workbooks
-from .headers import merge_detected
+from .headers import effective_rows, merge_detected
 from .pairing import THRESHOLD, Pair, pair_files, unmatched, with_manual
 
 log = logging.getLogger(__name__)
@@ -31,39 +30,60 @@ def describe_files(spark: SparkSession, glob: str, side: str) -> DataFrame:
     return files.select(F.lit(side).alias("side"), "path", name.alias("name"), extension_column(name).alias("ext"), sheet_name_column(name).alias("sheet"), "length", F.sha2("content", 256).alias("digest"))
 
 
+#: Options that say how a workbook is read; all others of compare_files say how tables are compared.
+READING = ("sheets", "hidden_columns", "password", "on_error")
+
+
 @dataclass
 class TableCache:
     """Tables of files already read, by content and reading options; clear() forgets and unpersists them."""
 
     known: dict = field(default_factory=dict)
 
-    def get(self, key: tuple, read: Callable) -> tuple:
+    def get(self, path: str, version: tuple, options: tuple, read: Callable) -> tuple:
+        """What was read of this version of the file with these options; other versions are forgotten."""
+        for key in [k for k in self.known if k[0] == path and k[1] != version]:
+            self._forget(key)
+        key = (path, version, options)
         if key not in self.known:
             tables, rows = read()
             self.known[key] = {s: t.persist() for s, t in tables.items()}, rows
         return self.known[key]
 
+    def _forget(self, key: tuple) -> None:
+        for t in self.known.pop(key)[0].values():
+            t.unpersist(blocking=True)
+
     def clear(self) -> None:
-        for tables, _ in self.known.values():
-            for t in tables.values():
-                t.unpersist()
-        self.known.clear()
+        for key in list(self.known):
+            self._forget(key)
+
+
+def file_version(spark: SparkSession, path: str) -> tuple:
+    """What changes when a file does: length, time, and a digest of the content (by lines, in parallel, for text)."""
+    spark.catalog.refreshByPath(path)
+    files = spark.read.format("binaryFile").load(path)
+    if not is_delimited(path):
+        return tuple(files.select(F.sha2("content", 256), F.unix_micros("modificationTime")).first())
+    lines = spark.read.text(path).withColumn("at", F.monotonically_increasing_id())
+    text = lines.select(F.xxhash64("value", "at").alias("h")).agg(F.count(F.lit(1)), F.coalesce(F.bit_xor("h"), F.lit(0))).first()
+    return (*files.select("length", F.unix_micros("modificationTime")).first(), *text)
 
 
-def read_file(spark: SparkSession, path: str, keys=(), header_overrides: dict[str, int] | None = None, cache: TableCache | None = None, semantics: str = "v2", **options) -> tuple[dict[str, DataFrame], dict[str, int]]:
-    """Tables and 0-based header rows of one file of any supported kind."""
+def read_file(spark: SparkSession, path: str, keys=(), header_overrides: dict[str, int] | None = None, cache: TableCache | None = None, semantics: str = "v2", **reading) -> tuple[dict[str, DataFrame], dict[str, int]]:
+    """Tables and 0-based header rows of one file of any supported kind; ``reading``: options of read_workbook."""
 
     def read():
         if is_delimited(path):
-            row = next(iter(header_overrides.values()), None) if header_overrides else None
-            name, df, at = read_delimited(spark, path, keys, None if row is None else row - 1, semantics)
+            row = next(iter(effective_rows({}, header_overrides).values()), None)
+            name, df, at = read_delimited(spark, path, keys, None if row is None else header_index(row), semantics)
             return {name: df}, {name: at}
-        return read_workbook(spark, path, keys, header_overrides=header_overrides, semantics=semantics, **options)
+        return read_workbook(spark, path, keys, header_overrides=header_overrides, semantics=semantics, **reading)
 
     if cache is None:
         return read()
-    digest = spark.read.format("binaryFile").load(path).select(F.sha2("content", 256)).first()[0] if not is_delimited(path) else hashlib.sha256(path.encode()).hexdigest()
-    return cache.get((digest, extension(path), tuple(keys), tuple(sorted((header_overrides or {}).items())), semantics, tuple(sorted(options.items()))), read)
+    options = (tuple(keys), tuple(sorted((header_overrides or {}).items())), semantics, tuple(sorted(reading.items())))
+    return cache.get(path, file_version(spark, path), options, read)
 
 
 def propose_headers(spark: SparkSession, paths: Sequence[str], keys=()) -> dict[str, int]:
@@ -105,22 +125,24 @@ def compare_files(spark: SparkSession, old: Sequence[str], new: Sequence[str], k
     """Compare files paired by name.
 
     header_overrides: per side ("old", "new"), 1-based rows by sheet. new_header
-    ``inherit`` reads NEW sheets at the header rows found in OLD.
+    ``inherit`` reads NEW sheets at the header rows found in OLD. Options named in
+    READING go to the workbook reader, all others to the comparison.
     """
+    reading = {k: options.pop(k) for k in READING if k in options}
     if new_header not in ("detect", "inherit"):
         raise ValueError("new_header is detect or inherit")
     base = lambda p: p.rsplit("/", 1)[-1]
     left, right = {base(p): p for p in old}, {base(p): p for p in new}
     pairs = with_manual(pair_files(list(left), list(right), threshold, ignore_suffix), list(manual))
-    wanted = [k.strip() for k in keys.split(",") if k.strip()] if isinstance(keys, str) else list(keys)
+    wanted = parse_keys(keys) if isinstance(keys, str) else list(keys)
     results, errors = {}, {}
     for done, pair in enumerate(pairs):
         name = f"{pair.old} / {pair.new}"
         try:
             own = header_overrides or {}
-            a, rows = read_file(spark, left[pair.old], wanted, own.get("old"), cache, semantics)
+            a, rows = read_file(spark, left[pair.old], wanted, own.get("old"), cache, semantics, **reading)
             there = {s: r + 1 for s, r in rows.items()} if new_header == "inherit" else own.get("new")
-            b, _ = read_file(spark, right[pair.new], wanted, there, cache, semantics)
+            b, _ = read_file(spark, right[pair.new], wanted, there, cache, semantics, **reading)
             results[name] = compare_workbooks(a, b, wanted, semantics=semantics, **options)
         except Exception as e:  # noqa: BLE001  one unreadable pair is reported and doesn't stop the rest
             errors[name] = f"{type(e).__name__}: {e}"

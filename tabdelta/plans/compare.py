@@ -17,6 +17,7 @@ from ..operators.keyed import ORDER, KeyedDiff, common_columns, with_changed, wi
 from ..operators.keyless import KeylessDiff
 from ..operators.keys import choose_key
 from ..operators.reconcile import Reconciled
+from ..operators.staging import staged
 from .align import align
 
 
@@ -67,8 +68,11 @@ def compare_tables(old: DataFrame, new: DataFrame, keys: str | list[str] = (), s
     if mode == "exact":
         plain = lambda df, side: df.select(F.lit(side).alias("status"), F.lit("").alias("key"), F.lit(None).cast("long").alias("rid"), *_sides(df, side, columns))
         return SheetResult(sheet, description, plain(diff.added(), "added").unionByName(plain(diff.removed(), "removed")), columns, cut, "keyless")
-    pick = lambda df, rid: df.select(F.col(ORDER).alias(rid), *[F.col(f"row.`{c}`").alias(c) for c in columns])
-    removed, added = pick(diff.removed(), "ri"), pick(diff.added(), "ai")
+    found = diff.both()
+    if reconcile and semantics != "v1" and columns:
+        found = staged(found)  # rows are numbered here for the last time, whatever their source does when it is read again
+    pick = lambda side, rid: found.where(F.col("status") == side).select(F.col(ORDER).alias(rid), *[F.col(f"row.`{c}`").alias(c) for c in columns])
+    removed, added = pick("removed", "ri"), pick("added", "ai")
     whole = F.struct(*[F.col(f"`{c}`") for c in columns])
     none = F.array().cast("array<string>")
     pieces = []

@@ -17,6 +17,8 @@ SCAN_ROWS = 15
 LOOK_AHEAD = 8
 #: Rows a reader must deliver for any decision here.
 ROWS_NEEDED = SCAN_ROWS + LOOK_AHEAD
+#: How much each sign of a header counts, and what is taken off per row above and for a merged group label.
+BOLD, FILL, ALL_TEXT, UNIQUE, NAME_LIKE, STEADY, NOT_NUMERIC, PER_ROW, GROUP_LABEL = 3.0, 1.5, 1.0, 1.0, 1.0, 1.0, 0.5, 0.1, 2.5
 
 
 @dataclass
@@ -51,7 +53,8 @@ def by_keys(grid: Sequence[Sequence], keys: Sequence[str]) -> int | None:
 
 
 def numeric_text(value) -> bool:
-    return not isinstance(value, str) and not isinstance(value, bool) or str(value).strip().replace(".", "", 1).replace("-", "", 1).isdigit()
+    """Digits with at most one point and one minus sign anywhere."""
+    return str(value).replace(".", "", 1).replace("-", "", 1).isdigit()
 
 
 def score_row(grid: Sequence[Sequence], i: int, styles: Styles) -> float | None:
@@ -66,13 +69,13 @@ def score_row(grid: Sequence[Sequence], i: int, styles: Styles) -> float | None:
     bold = sum((i, c) in styles.bold for c in at) / n
     fill = n / max(1, len(row))
     all_text = len(texts) == n
-    unique = len({str(v).strip() for v in values}) == n
+    unique = len({str(v) for v in values}) / n
     name_like = sum(len(v) < 40 and bool(re.match(r"[A-Za-z]", v.strip())) for v in texts) / n
     numbers = sum(numeric_text(v) for v in values) / n
     below = [len(filled(r)) for r in grid[i + 1 : i + 1 + LOOK_AHEAD]]
     steady = 1 / (1 + stdev(below)) if len(below) > 1 else 0.0
-    score = 3 * bold + 1.5 * fill + all_text + unique + name_like + steady + 0.5 * (1 - numbers) - 0.1 * i
-    return score - 2.5 * any(lo == hi == i for lo, hi, _, _ in styles.merges)
+    score = BOLD * bold + FILL * fill + ALL_TEXT * all_text + UNIQUE * unique + NAME_LIKE * name_like + STEADY * steady + NOT_NUMERIC * (1 - numbers) - PER_ROW * i
+    return score - GROUP_LABEL * any(lo == hi == i for lo, hi, _, _ in styles.merges)
 
 
 def by_score(grid: Sequence[Sequence], styles: Styles | None = None) -> int:

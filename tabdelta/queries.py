@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from hashlib import md5
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+import pandas as pd
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from .fixtures import LINEITEM_SQL, ORDERS_SQL, SHIFT, lineitem_pair, orders_pair, table
 from .functions import names
@@ -13,7 +15,7 @@ from .operators import report
 from .operators.keyed import KEY, ORDER, KeyedDiff
 from .operators.keyless import KeylessDiff
 from .operators.keys import choose_key, uniqueness_frame
-from .operators.reconcile import assign, assign_in_order, candidate_pairs
+from .operators.reconcile import assign, candidate_pairs
 from .plans.headers import by_score
 from .plans.pairing import pair_files, unmatched, with_manual
 
@@ -305,7 +307,7 @@ def reconcile_match(spark, sf_dir):
 
 
 # -- metadata ---------------------------------------------------------------------------------------------------
-@query("""WITH f AS (SELECT DISTINCT source, doc_id % 4 AS y FROM documents WHERE doc_id < 400)
+@query("""WITH f AS (SELECT DISTINCT source, doc_id % 4 AS y FROM documents)
 SELECT source || '_' || CAST(y AS VARCHAR) || '.XLSX' AS name, lower(source) AS short, lower(source) || '_' || CAST(y AS VARCHAR) AS long FROM f""")
 def comparable_names(spark, sf_dir):
     f = table(spark, sf_dir, "documents").select("source", (F.col("doc_id") % 4).cast("string").alias("y")).distinct()
@@ -313,29 +315,81 @@ def comparable_names(spark, sf_dir):
     return f.select(name.alias("name"), names.comparable_column(name, True).alias("short"), names.comparable_column(name).alias("long"))
 
 
-@query("""SELECT * FROM (VALUES ('report_2023.xlsx', 'report_2024.xlsx', 'auto'), ('payroll.csv', 'Payroll.csv', 'auto'), ('notes.txt', 'anything.ods', 'manual')) t(old, new, origin)""")
+@query("""SELECT upper(md5(n_name)) || '_2023.xlsx' AS old, md5(n_name) || CASE WHEN n_nationkey % 5 = 0 THEN '.ods' ELSE '_2024.csv' END AS new, CASE WHEN n_nationkey % 5 = 0 THEN 'manual' ELSE 'auto' END AS origin FROM nation""")
 def pair_matching(spark, sf_dir):
-    old, new = ["report_2023.xlsx", "payroll.csv", "budget.xlsx", "notes.txt"], ["Payroll.csv", "report_2024.xlsx", "anything.ods", "zebra.csv"]
-    pairs = with_manual(pair_files(old, new), [("notes.txt", "anything.ods")])
+    """Files of all nations (digests, so that no two are alike), every fifth of them paired by hand."""
+    rows = [(md5(r.n_name.encode()).hexdigest().upper(), r.n_nationkey % 5 == 0) for r in table(spark, sf_dir, "nation").orderBy("n_nationkey").collect()]  # a file list
+    old = [f"{n}_2023.xlsx" for n, _ in rows]
+    new = {n: f"{n.lower()}.ods" if by_hand else f"{n.lower()}_2024.csv" for n, by_hand in rows}
+    pairs = with_manual(pair_files(old, list(new.values())), [(f"{n}_2023.xlsx", new[n]) for n, by_hand in rows if by_hand])
     return spark.createDataFrame([(p.old, p.new, p.origin) for p in pairs], "old string, new string, origin string")
 
 
-@query("SELECT * FROM (VALUES ('budget.xlsx', 'old'), ('zebra.csv', 'new')) t(name, side)")
+@query("""SELECT n_name || '.xlsx' AS name, CASE WHEN n_regionkey = 3 THEN 'old' ELSE 'new' END AS side FROM nation WHERE n_regionkey IN (1, 3)""")
 def unmatched_files(spark, sf_dir):
-    old, new = ["report_2023.xlsx", "payroll.csv", "budget.xlsx"], ["Payroll.csv", "report_2024.xlsx", "zebra.csv"]
-    left, right = unmatched(old, new, pair_files(old, new))
+    """Files of which the nations of a region each are missing on one side."""
+    rows = table(spark, sf_dir, "nation").orderBy("n_nationkey").collect()  # a file list
+    old, new = ([f"{r.n_name}.xlsx" for r in rows if r.n_regionkey != missing] for missing in (1, 3))
+    left, right = unmatched(old, new, pair_files(old, new, 0.99))
     return spark.createDataFrame([(n, "old") for n in left] + [(n, "new") for n in right], "name string, side string")
 
 
-@query("SELECT * FROM (VALUES (0, 'A'), (1, 'A_2'), (2, 'A_1'), (3, 'Unnamed_3'), (4, 'b')) t(i, name)")
+@query("""SELECT c_custkey, CASE WHEN r = 0 THEN c_mktsegment ELSE c_mktsegment || '_' || CAST(r AS VARCHAR) END AS name
+FROM (SELECT c_custkey, c_mktsegment, row_number() OVER (PARTITION BY c_mktsegment ORDER BY c_custkey) - 1 AS r FROM customer)""")
 def dedup_names(spark, sf_dir):
-    return spark.createDataFrame(list(enumerate(names.unique_names(["A", "A", "A_1", None, " b "]))), "i int, name string")
+    """Market segments as the header cells of a sheet with a column for each customer."""
+    rows = table(spark, sf_dir, "customer").select("c_custkey", "c_mktsegment").orderBy("c_custkey").collect()  # a header row
+    return spark.createDataFrame(list(zip([r.c_custkey for r in rows], names.unique_names([f" {r.c_mktsegment} " for r in rows]))), "c_custkey long, name string")
 
 
-@query("SELECT 1 AS header_row")
+_GRIDS = """c AS (SELECT *, c_custkey % 40 AS g, row_number() OVER (PARTITION BY c_custkey % 40 ORDER BY c_custkey) AS r FROM customer),
+cells AS (
+  SELECT g, r + g % 4 AS i, unnest([0, 1, 2, 3]) AS c, unnest([CAST(c_custkey AS VARCHAR), c_name, CAST(c_nationkey AS VARCHAR), CASE WHEN c_custkey % 7 <> 0 THEN c_mktsegment END]) AS v FROM c WHERE r <= 20
+  UNION ALL SELECT DISTINCT g, g % 4, unnest([0, 1, 2, 3]), unnest(['ID', 'Customer Name', CASE WHEN g % 3 = 0 THEN 'ID' ELSE 'Nation' END, 'Segment']) FROM c
+  UNION ALL SELECT DISTINCT g, unnest(range(g % 4)), 0, 'List ' || CAST(g AS VARCHAR) FROM c
+  UNION ALL SELECT DISTINCT g, unnest(range(g % 4)), 1, CASE WHEN g % 2 = 0 THEN '2024' END FROM c)"""
+
+
+@query(f"""WITH {_GRIDS},
+rows AS (SELECT g, i, count(v) AS n, count(DISTINCT v) AS d, count(*) FILTER (WHERE v IS NOT NULL AND length(v) < 40 AND regexp_matches(trim(v), '^[A-Za-z]')) AS named,
+  count(*) FILTER (WHERE regexp_matches(regexp_replace(regexp_replace(v, '\.', ''), '-', ''), '^[0-9]+$')) AS numbers FROM cells GROUP BY g, i),
+ahead AS (SELECT a.g, a.i, count(b.n) AS k, stddev_samp(b.n) AS sd FROM rows a LEFT JOIN rows b ON a.g = b.g AND b.i BETWEEN a.i + 1 AND a.i + 8 GROUP BY a.g, a.i),
+scored AS (SELECT r.g, r.i, round(1.5 * n / 4 + 1 + d / n + named / n + CASE WHEN k > 1 THEN 1 / (1 + sd) ELSE 0 END + 0.5 * (1 - numbers / n) - 0.1 * r.i, 9) AS score FROM rows r JOIN ahead a ON r.g = a.g AND r.i = a.i WHERE n >= 2 AND r.i < 15)
+SELECT g AS grid, CAST(header_row AS INTEGER) AS header_row FROM (SELECT g, i AS header_row, row_number() OVER (PARTITION BY g ORDER BY score DESC, i) AS place FROM scored) WHERE place = 1""")
 def header_score(spark, sf_dir):
-    grid = [["Quarterly list", None, None, None], ["ID", "Employee Name", "Code", "Active"], ["1", "Ann", "77", "Y"], ["2", "Bob", "78", "N"], ["3", "Cy", "79", "Y"]]
-    return spark.createDataFrame([(by_score(grid),)], "header_row int")
+    """The header row of forty sheets of customers, with up to three rows above the header; some headers repeat a name."""
+    c = table(spark, sf_dir, "customer").withColumn("grid", F.col("c_custkey") % 40)
+    c = c.withColumn("r", F.row_number().over(Window.partitionBy("grid").orderBy("c_custkey"))).where("r <= 20")
+    cells = F.array(F.col("c_custkey").cast("string"), F.col("c_name"), F.col("c_nationkey").cast("string"), F.when(F.col("c_custkey") % 7 != 0, F.col("c_mktsegment")))
+
+    def find(rows):
+        g = int(rows["grid"].iloc[0])
+        body = [list(x) for x in rows.sort_values("r")["cells"]]
+        above = [[f"List {g}", "2024" if g % 2 == 0 else None, None, None]] * (g % 4)
+        at = by_score([*above, ["ID", "Customer Name", "ID" if g % 3 == 0 else "Nation", "Segment"], *body])
+        return pd.DataFrame({"grid": [g], "header_row": [at]})
+
+    return c.select("grid", "r", cells.alias("cells")).groupBy("grid").applyInPandas(find, "grid long, header_row int")
+
+
+_SHAPES = "SELECT doc_id, 1 AS form, source AS v FROM documents UNION ALL SELECT doc_id, 2, CAST(n_chars AS VARCHAR) || CASE doc_id % 4 WHEN 0 THEN '.5' WHEN 1 THEN '-' WHEN 2 THEN '.' ELSE 'x' END FROM documents UNION ALL SELECT doc_id, 3, left(text, 1 + doc_id % 60) FROM documents"
+
+
+@query(f"SELECT doc_id, form, coalesce(regexp_matches(regexp_replace(regexp_replace(v, '\.', ''), '-', ''), '^[0-9]+$'), false) AS numeric, coalesce(length(v) < 40 AND regexp_matches(ltrim(v, ' '), '^[A-Za-z]'), false) AS name_like FROM ({_SHAPES})")
+def cell_shapes(spark, sf_dir):
+    """Which cells look like numbers and which like column names: the signs that header rows are told by."""
+    d, k = table(spark, sf_dir, "documents"), F.col("doc_id") % 4
+    tail = F.when(k == 0, ".5").when(k == 1, "-").when(k == 2, ".").otherwise("x")
+    long = d.select("doc_id", F.posexplode(F.array("source", F.concat(F.col("n_chars").cast("string"), tail), F.expr("left(text, int(1 + doc_id % 60))"))).alias("p", "v"))
+    sure = lambda c: F.coalesce(c, F.lit(False))
+    return long.select("doc_id", (F.col("p") + 1).alias("form"), sure(names.looks_numeric("v")).alias("numeric"), sure(names.looks_like_name("v")).alias("name_like"))
+
+
+@query("""SELECT * FROM (VALUES ('o_clerk', 'old'), ('o_note', 'new')) t("column", side)""")
+def column_report(spark, sf_dir):
+    """Columns that one side lacks: the answer depends on the schemas alone."""
+    old, new = orders_pair(spark, sf_dir)
+    return KeyedDiff(old.withColumn("o_clerk", F.lit("x")), new.withColumn("o_note", F.lit("y")), ["o_orderkey"]).column_report()
 
 
 @query()

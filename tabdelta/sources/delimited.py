@@ -1,10 +1,17 @@
-"""Delimited text: sniffing on a bounded sample, then a plain Spark scan."""
+"""Delimited text: a look at the head, one pass over the lines, then a plain Spark scan.
+
+The pass over the lines decides what the whole file needs: its encoding, whether a
+quoted cell may hold a line break (else the file is split among tasks), and the
+width of its widest row.
+"""
 
 from __future__ import annotations
 
 import csv
 import io
+import re
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from ..functions.names import extension, sheet_name, unique_names
@@ -16,9 +23,13 @@ TEXT_EXTENSIONS = ("csv", "txt", "tsv")
 BOOK_EXTENSIONS = ("xlsx", "xlsm", "xls", "ods")
 ENCODINGS = ("utf-8-sig", "utf-8", "latin-1", "cp1252")
 SEPARATORS = {"tsv": ("\t", ",", ";", "|"), "": (",", "\t", ";", "|")}
+#: What is read of a file to find separator and header; doubled until it holds the rows these need.
 SAMPLE_BYTES = 1 << 20
-#: Spark's parser stops with an error on longer rows.
+#: Cells that Spark's parser makes room for in files whose rows span lines; it stops with an error on longer rows.
 MAX_COLUMNS = 20_480
+_FIELD = 2**31 - 1
+#: What Java's trim() takes off: Spark's reader passes over lines that hold nothing else.
+_TRIMMED = "".join(map(chr, range(33)))
 _SPARK_NAME = {"utf-8-sig": "UTF-8", "utf-8": "UTF-8", "latin-1": "ISO-8859-1", "cp1252": "windows-1252"}
 
 
@@ -26,17 +37,30 @@ def is_delimited(path: str) -> bool:
     return extension(path) in TEXT_EXTENSIONS
 
 
-def sniff(sample: bytes, ext: str = "csv") -> tuple[str, str, list[list[str]]]:
-    """(encoding, separator, rows) of the first combination that gives rows of more than one column."""
+def records(text: str, sep: str, spanning: bool) -> list[list[str]]:
+    """The rows that Spark's reader delivers from a text."""
+    csv.field_size_limit(_FIELD)
+    if spanning:
+        return [r for r in csv.reader(io.StringIO(text, newline=""), delimiter=sep) if r]
+    return list(csv.reader((x for x in re.split("\r\n|\n|\r", text) if x.strip(_TRIMMED)), delimiter=sep))
+
+
+def sniff(sample: bytes, ext: str = "csv", utf8: bool | None = None, spanning: bool = True) -> tuple[str, str, list[list[str]]]:
+    """(encoding, separator, rows) of the first combination that gives rows of more than one column.
+
+    ``utf8``: whether the whole file is known to be (or not to be) UTF-8; None leaves it to the sample.
+    """
     cut = sample[: sample.rfind(b"\n") + 1] or sample
     fallback = None
     for encoding in ENCODINGS:
+        if utf8 is not None and encoding.startswith("utf-8") != utf8:
+            continue
         try:
             text = cut.decode(encoding)
         except UnicodeDecodeError:
             continue
         for sep in SEPARATORS.get(ext, SEPARATORS[""]):
-            rows = list(csv.reader(io.StringIO(text), delimiter=sep))
+            rows = records(text, sep, spanning)
             if max(map(len, rows), default=0) > 1:
                 return encoding, sep, rows
             fallback = fallback or (encoding, sep, rows)
@@ -58,17 +82,50 @@ def head(spark: SparkSession, path: str, size: int = SAMPLE_BYTES) -> bytes:
         stream.close()
 
 
-def widest(spark: SparkSession, path: str, width: int, options: dict) -> int:
-    """The cells of the widest row of a file, ``width`` at least. Rows of another width than the schema's are
-    those the reader reports, and only they are counted anew."""
-    if width > MAX_COLUMNS:
-        raise ValueError(f"{path} has rows of more than {MAX_COLUMNS} cells")
-    fields = [T.StructField(f"c{k}", T.StringType()) for k in range(width)]
-    rows = spark.read.csv(path, schema=T.StructType([*fields, T.StructField("__row", T.StringType())]), columnNameOfCorruptRecord="__row", **options)
+def whole_head(spark: SparkSession, path: str) -> bytes:
+    """As much of the file's head as holds the rows that a decision needs, or all of it."""
+    size = SAMPLE_BYTES
+    while True:
+        data = head(spark, path, size)
+        if len(data) < size or data.count(b"\n") > 2 * ROWS_NEEDED:
+            return data
+        size *= 2
+
+
+def scan_lines(spark: SparkSession, path: str) -> tuple[bool, bool]:
+    """(utf8, spanning): whether all lines are UTF-8, and whether a row may span lines - a line with an odd number of quotes."""
+    lines = spark.read.text(path)
+    quotes = F.octet_length("value") - F.octet_length(F.replace("value", F.lit('"'), F.lit("")))
+    got = lines.agg(F.coalesce(F.min(F.is_valid_utf8("value")), F.lit(True)).alias("utf8"), F.coalesce(F.max(quotes % 2 == 1), F.lit(False)).alias("odd")).first()
+    return got.utf8, got.odd
+
+
+def widest(spark: SparkSession, path: str, width: int, options: dict, encoding: str) -> int:
+    """The cells of the widest row of a file, ``width`` at least.
+
+    Lines without quotes are counted by their separators; other lines are parsed. Where rows span lines, those are
+    parsed whose width isn't the schema's, which the reader reports.
+    """
     sep = options["sep"]
-    cells = F.udf(lambda row: max(map(len, csv.reader(io.StringIO(row), delimiter=sep)), default=0), "int")
+
+    @F.pandas_udf("int")
+    def cells(rows: pd.Series) -> pd.Series:
+        csv.field_size_limit(_FIELD)
+        return rows.map(lambda row: 0 if row is None else max(map(len, csv.reader(io.StringIO(row, newline=""), delimiter=sep)), default=0))
+
+    if not options["multiLine"]:
+        lines = spark.read.text(path)
+        quoted = F.contains("value", F.lit('"'))
+        plain = F.length("value") - F.length(F.replace("value", F.lit(sep), F.lit(""))) + 1
+        by_count = lines.where(~quoted).agg(F.max(plain).cast("int").alias("w"))
+        text = F.col("value") if encoding.startswith("utf-8") else F.decode(F.col("value").cast("binary"), _SPARK_NAME[encoding])
+        by_parse = lines.where(quoted).select(cells(text).alias("w")).agg(F.max("w").alias("w"))
+        most = by_count.unionAll(by_parse).agg(F.max("w").alias("w")).first().w
+        return max(width, most or 0)
+    fields = [T.StructField(f"c{k}", T.StringType()) for k in range(width)]
+    rows = spark.read.csv(path, schema=T.StructType([*fields, T.StructField("__row", T.StringType())]), columnNameOfCorruptRecord="__row", maxColumns=max(MAX_COLUMNS, width), **options)
     # The second sum needs every column: the reader checks no row's width where columns are pruned.
-    most = rows.select(F.max(F.when(F.col("__row").isNotNull(), cells("__row"))).alias("most"), F.bit_xor(F.xxhash64(*[f.name for f in fields])).alias("all")).first().most
+    most = rows.select(F.when(F.col("__row").isNotNull(), cells("__row")).alias("w"), F.xxhash64(*[f.name for f in fields]).alias("h")).agg(F.max("w").alias("most"), F.bit_xor("h").alias("all")).first().most
     return max(width, most or 0)
 
 
@@ -76,20 +133,23 @@ def read_delimited(spark: SparkSession, path: str, keys=(), header: int | None =
     """(sheet name, table of text with __rid, 0-based header row) of one file.
 
     Rows may be longer or shorter than the header: the schema is as wide as the widest
-    row of the whole file, and short rows are padded with NULL. A row of more than
-    MAX_COLUMNS cells is an error. __rid grows in file order.
+    row of the whole file, and short rows are padded with NULL. The encoding is that of
+    the whole file: UTF-8 if all of it is, else Latin-1. Only a file whose rows may span
+    lines is read by one task, and there a row of more than MAX_COLUMNS cells is an
+    error. __rid grows in file order.
     """
-    encoding, sep, rows = sniff(head(spark, path), extension(path))
-    grid = [[c if c.strip() else None for c in r] for r in rows if r]
-    options = {"sep": sep, "encoding": _SPARK_NAME[encoding], "header": False, "quote": '"', "escape": '"', "multiLine": True, "mode": "PERMISSIVE", "ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False, "maxColumns": MAX_COLUMNS}
-    width = widest(spark, path, max((len(r) for r in grid), default=1), options)
+    utf8, spanning = scan_lines(spark, path)
+    encoding, sep, rows = sniff(whole_head(spark, path), extension(path), utf8, spanning)
+    grid = [[c if c.strip() else None for c in r] for r in rows]
+    options = {"sep": sep, "encoding": _SPARK_NAME[encoding], "header": False, "quote": '"', "escape": '"', "multiLine": spanning, "mode": "PERMISSIVE", "ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False}
+    width = widest(spark, path, max((len(r) for r in grid), default=1), options, encoding)
     at = header if header is not None else header_row([r + [None] * (width - len(r)) for r in grid[:ROWS_NEEDED]], keys, reference, semantics=semantics)
     named = grid[at] if at < len(grid) else []
     names = unique_names(list(named) + [None] * (width - len(named)))
     schema = T.StructType([T.StructField(f"c{k}", T.StringType()) for k in range(width)])
-    raw = spark.read.csv(path, schema=schema, **options)
+    raw = spark.read.csv(path, schema=schema, maxColumns=max(MAX_COLUMNS, width), **options)
     numbered = raw.withColumn("__rid", F.monotonically_increasing_id())
     full = F.coalesce(*[F.col(f"c{k}") for k in range(width)]).isNotNull()
-    bom = F.regexp_replace("c0", "^﻿", "") if encoding == "utf-8-sig" else F.col("c0")
+    bom = F.regexp_replace("c0", "^\ufeff", "") if encoding == "utf-8-sig" else F.col("c0")
     body = numbered.withColumn("c0", bom).where(full).where(F.col("__rid") > at)
     return sheet_name(path), body.select(*[missing_words(F.col(f"c{k}")).alias(n) for k, n in enumerate(names)], "__rid"), at

@@ -1,7 +1,8 @@
 """Workbooks (xlsx, xlsm, ods) from their zipped XML, without third-party packages.
 
-A Python Data Source reads one sheet per partition into a long grid; the bytes come
-through Spark's binaryFile scan where a file is outside the local file system.
+``read_grids`` reads any number of files of any store into one long grid, a task per
+file; the bytes come through Spark's binaryFile scan. A Python Data Source does the
+same for one local file, a sheet per partition.
 Legacy xls and encrypted files need a decoder the caller registers; without one
 they are an error, never an empty workbook.
 """
@@ -15,11 +16,12 @@ from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 from xml.etree import ElementTree as ET
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
-from ..functions.names import extension, unique_names
+from ..functions.names import extension, header_index, unique_names
 from ..functions.normalize import missing_words
-from ..plans.headers import ROWS_NEEDED, Styles, header_row
+from ..plans.headers import ROWS_NEEDED, Styles, effective_rows, header_row
 
 _OLE = b"\xd0\xcf\x11\xe0\xa1\xb1\x1a\xe1"
 
@@ -100,26 +102,27 @@ def open_book(data: bytes, password: str | None = None) -> bytes:
     raise ValueError("an encrypted or legacy workbook: register DECODERS['decrypt'] and give a password, or DECODERS['xls']")
 
 
-def parse_book(data: bytes, ext: str, password: str | None = None, max_rows: int | None = None) -> list[Sheet]:
+def parse_book(data: bytes, ext: str, password: str | None = None, max_rows: int | None = None, only: str | None = None, styled: bool = True) -> list[Sheet]:
+    """The sheets of a workbook, or the one named ``only``; without ``styled`` fonts and number formats aren't read."""
     if ext == "xls" and data.startswith(_OLE) and "xls" in DECODERS:
         return DECODERS["xls"](data)
     data = open_book(data, password)
     if ext == "xls" and not data.startswith(b"PK"):
         raise ValueError("legacy xls needs DECODERS['xls']")
     with zipfile.ZipFile(io.BytesIO(data)) as z:
-        return list(_ods(z, max_rows) if ext == "ods" else _xlsx(z, max_rows))
+        return [s for s in (_ods(z, max_rows) if ext == "ods" else _xlsx(z, max_rows, only, styled)) if only in (None, s.name)]
 
 
-def _xlsx(z: zipfile.ZipFile, max_rows: int | None) -> Iterator[Sheet]:
+def _xlsx(z: zipfile.ZipFile, max_rows: int | None, only: str | None, styled: bool) -> Iterator[Sheet]:
     names = set(z.namelist())
     strings = []
     if "xl/sharedStrings.xml" in names:
         for item in ET.fromstring(z.read("xl/sharedStrings.xml")):
             strings.append("".join(t.text or "" for t in item.iter() if _local(t.tag) == "t"))
-    bold, dates = _styles(z) if "xl/styles.xml" in names else ([], [])
+    bold, dates = _styles(z) if styled and "xl/styles.xml" in names else ([], [])
     relations = {r.get("Id"): r.get("Target") for r in ET.fromstring(z.read("xl/_rels/workbook.xml.rels"))}
     for s in ET.fromstring(z.read("xl/workbook.xml")).iter():
-        if _local(s.tag) != "sheet":
+        if _local(s.tag) != "sheet" or only not in (None, s.get("name")):
             continue
         rid = next(v for k, v in s.attrib.items() if _local(k) == "id")
         target = relations[rid].lstrip("/")
@@ -263,18 +266,17 @@ def register(spark: SparkSession) -> None:
             self.max_rows = int(options["maxRows"]) if "maxRows" in options else None
             self.visible = options.get("sheets", "all") == "visible"
 
-        def _read(self, max_rows):
+        def _read(self, max_rows, only=None):
             with open(self.path.removeprefix("file://"), "rb") as f:
-                return parse_book(f.read(), extension(self.path), self.password, max_rows)
+                return parse_book(f.read(), extension(self.path), self.password, max_rows, only)
 
         def partitions(self):
             return [SheetPartition(s.name) for s in self._read(1) if s.visible or not self.visible]
 
         def read(self, partition):
-            for s in self._read(self.max_rows):
-                if s.name == partition.name:
-                    for (r, c), (value, text, bold) in sorted(s.cells.items()):
-                        yield s.name, r, c, value, text, bold
+            for s in self._read(self.max_rows, partition.name):
+                for (r, c), (value, text, bold) in sorted(s.cells.items()):
+                    yield s.name, r, c, value, text, bold
 
     class WorkbookGrid(DataSource):
         @classmethod
@@ -290,6 +292,22 @@ def register(spark: SparkSession) -> None:
     spark.dataSource.register(WorkbookGrid)
 
 
+def read_grids(spark: SparkSession, glob: str, visible: bool = False, password: str | None = None, max_rows: int | None = None) -> DataFrame:
+    """The long grid of every workbook that matches, with its path; a file is parsed by one task, wherever it lies."""
+    files = spark.read.format("binaryFile").load(glob).select("path", "content")
+    schema = T.StructType([T.StructField("path", T.StringType()), *GRID])
+
+    def run(batches):
+        for b in batches:
+            for path, content in zip(b.column(0).to_pylist(), b.column(1)):
+                for s in parse_book(content.as_py(), extension(path), password, max_rows):
+                    rows = [(path, s.name, r, c, *v) for (r, c), v in sorted(s.cells.items())] if s.visible or not visible else []
+                    for lo in range(0, len(rows), 50_000):
+                        yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows[lo : lo + 50_000]), (pa.string(), pa.string(), pa.int32(), pa.int32(), pa.string(), pa.bool_(), pa.bool_()))], names=schema.names)
+
+    return files.mapInArrow(run, schema)
+
+
 def catalog(spark: SparkSession, path: str, keys=(), password: str | None = None, semantics: str = "v2") -> dict[str, int]:
     """1-based header rows proposed per sheet, from the first rows alone."""
     book = parse_book(_bytes(spark, path), extension(path), password, ROWS_NEEDED)
@@ -299,20 +317,25 @@ def catalog(spark: SparkSession, path: str, keys=(), password: str | None = None
 def read_workbook(spark: SparkSession, path: str, keys=(), sheets: str = "all", hidden_columns: str = "drop", header_overrides: dict[str, int] | None = None, password: str | None = None, semantics: str = "v2", on_error: str = "raise") -> tuple[dict[str, DataFrame], dict[str, int]]:
     """({sheet: table of text with __rid}, {sheet: 0-based header row}) of one workbook.
 
-    ``on_error='fallback'`` reads a sheet whose header can't be found with row 0 as header.
+    Overrides are 1-based rows within 1..100. Where the workbook can't be read so, ``on_error='fallback'`` reads it
+    once more without styles, with row 0 as header, and returns no header rows.
     """
-    tables, rows = {}, {}
-    for s in parse_book(_bytes(spark, path), extension(path), password):
-        if sheets == "visible" and not s.visible:
-            continue
-        try:
-            at = header_overrides[s.name] - 1 if header_overrides and s.name in header_overrides else header_row(s.grid(ROWS_NEEDED), keys, styles=s.styles(), semantics=semantics)
-        except Exception:
-            if on_error == "raise":
-                raise
-            at = 0
-        tables[s.name], rows[s.name] = sheet_table(spark, s, at, hidden_columns), at
-    return tables, rows
+    data, ext = _bytes(spark, path), extension(path)
+    effective_rows({}, header_overrides)
+    hidden = lambda s: sheets == "visible" and not s.visible
+    try:
+        tables, rows = {}, {}
+        for s in parse_book(data, ext, password):
+            if hidden(s):
+                continue
+            given = (header_overrides or {}).get(s.name)
+            at = header_index(given) if given else header_row(s.grid(ROWS_NEEDED), keys, styles=s.styles(), semantics=semantics)
+            tables[s.name], rows[s.name] = sheet_table(spark, s, at, hidden_columns), at
+        return tables, rows
+    except Exception:
+        if on_error != "fallback":
+            raise
+        return {s.name: sheet_table(spark, s, 0, hidden_columns) for s in parse_book(data, ext, password, styled=False) if not hidden(s)}, {}
 
 
 def sheet_table(spark: SparkSession, s: Sheet, header: int, hidden_columns: str = "drop") -> DataFrame:

@@ -31,6 +31,26 @@ def test_files_to_results(spark, tmp_path):
     assert describe_files(spark, str(tmp_path / "old" / "*.csv"), "old").select("sheet").orderBy("sheet").collect() == [("alone",), ("staff_2023",)]
 
 
+def test_reading_options_and_rewritten_files(spark, tmp_path):
+    (tmp_path / "old").mkdir()
+    (tmp_path / "new").mkdir()
+    build(str(tmp_path / "old/book.xlsx"))
+    build(str(tmp_path / "new/book.xlsx"))
+    got = compare_files(spark, [str(tmp_path / "old/book.xlsx")], [str(tmp_path / "new/book.xlsx")], "ID", sheets="visible", hidden_columns="keep", on_error="raise")
+    assert not got.errors and [s.sheet for s in got.results["book.xlsx / book.xlsx"].sheets] == ["Main"]
+    assert "Secret" in got.results["book.xlsx / book.xlsx"].sheets[0].columns
+    old, new, cache = tmp_path / "old/t.csv", tmp_path / "new/t.csv", TableCache()
+    old.write_text("ID,v\n1,a\n2,b\n")
+    new.write_text("ID,v\n1,a\n2,c\n")
+    count = lambda: compare_files(spark, [str(old)], [str(new)], "ID", cache=cache).differences().count()
+    assert count() == 1
+    new.write_text("ID,v\n1,x\n2,y\n3,z\n")
+    assert count() == 3 and len(cache.known) == 2
+    cache.clear()
+    bad = compare_files(spark, [str(old)], [str(new)], "ID", header_overrides={"old": {"t": 0}})
+    assert list(bad.errors) == ["t.csv / t.csv"]
+
+
 def test_stream_of_batches(spark, tmp_path):
     src, out = str(tmp_path / "in"), str(tmp_path / "out")
     spark.createDataFrame([("1", "a", 0), ("2", "x", 1), ("3", "c", 2)], "k string, v string, __rid long").write.parquet(src)

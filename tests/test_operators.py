@@ -106,7 +106,9 @@ def test_key_choice(spark):
     new = spark.createDataFrame([("1", "b"), ("3", "b")], "emp_id string, kind string")
     assert choose_key(old, new, []) == ([], "No keys provided")
     assert choose_key(old, new, ["nothing"]) == ([], "No valid keys found")
-    assert choose_key(old, new, ["kind", "Emp ID_1"]) == (["emp_id"], "Key: 'emp_id' (100% unique)")
+    assert choose_key(old, new, ["kind", "Emp ID_1"]) == (["emp_id"], "Key: 'Emp ID_1' (100% unique)")
+    twice = spark.createDataFrame([("1", "2")], "ID string, id_1 string")
+    assert choose_key(twice, twice, ["id"])[0] == ["id_1"]
 
 
 def test_truncation_bounds(spark):
@@ -148,3 +150,47 @@ def test_comparable_names_reads_all_documents(spark, tmp_path):
 def test_reconcile_match_pairs_rows_with_half_of_their_cells(spark, tmp_path):
     spark.createDataFrame([(1, 7, "AUTO", 10.0), (2, 7, "AUTO", 999.0), (4, 8, "AUTO", 500.0)], "c_custkey long, c_nationkey int, c_mktsegment string, c_acctbal double").write.parquet(str(tmp_path / "customer.parquet"))
     assert [tuple(r) for r in queries.reconcile_match(spark, str(tmp_path)).collect()] == [(2, 1)]
+
+
+def test_reconcile_match_equals_brute_force(spark):
+    sf = "/root/testdata/sf0.001"
+    sides = [df.orderBy(df.columns[0]).collect() for df in queries._reconcile_sides(spark, sf)]
+    like = lambda x, y: sum(str(x[c]).upper() == str(y[c]).upper() for c in queries._CELLS)
+    taken, want = set(), []
+    for r in sides[0]:
+        best, at = 0, None
+        for a in sides[1]:
+            if a.ai not in taken and like(r, a) > best:
+                best, at = like(r, a), a.ai
+        if best >= 2:
+            taken.add(at)
+            want.append((r.ri, at))
+    assert sorted(tuple(x) for x in queries.reconcile_match(spark, sf).collect()) == sorted(want)
+
+
+def matching(a, b):
+    """Characters in the longest common block, leftmost in a and then in b, and in what lies left and right of it."""
+    best = (0, 0, 0)
+    for i in range(len(a)):
+        for j in range(len(b)):
+            k = 0
+            while i + k < len(a) and j + k < len(b) and a[i + k] == b[j + k]:
+                k += 1
+            if k > best[0]:
+                best = (k, i, j)
+    k, i, j = best
+    return k and k + matching(a[:i], b[:j]) + matching(a[i + k :], b[j + k :])
+
+
+def test_seq_similarity_equals_brute_force(spark):
+    sf = "/root/testdata/sf0.001"
+    got = {r.p_partkey: r.ratio for r in queries.seq_similarity(spark, sf).collect()}
+    for r in spark.read.parquet(f"{sf}/part.parquet").collect():
+        a, b = r.p_name.lower(), r.p_type.lower()
+        assert got[r.p_partkey] == pytest.approx(2 * matching(a, b) / (len(a) + len(b)))
+
+
+def test_two_thousand_ties(spark):
+    n = 2000
+    edges = spark.range(n).selectExpr("id AS ri").join(spark.range(n).selectExpr("id AS ai", "2 AS n_equal"))
+    assert sorted((r.ri, r.ai) for r in assign(edges).collect()) == [(k, k) for k in range(n)]

@@ -14,6 +14,12 @@ def test_header_by_score_keys_and_reference():
     assert header_row(GRID, semantics="v1") == 1
 
 
+def test_a_repeated_name_does_not_cost_a_header_its_row():
+    names = [f"Name {k}" for k in range(11)] + ["Name 3"]
+    grid = [names, *[[str(10 * r + c) if c else f"Ann {r}" for c in range(12)] for r in range(6)]]
+    assert by_score(grid) == 0
+
+
 def test_styles_decide():
     grid = [["a", "b", "c"], ["d", "e", "f"], ["1", "2", "3"], ["4", "5", "6"]]
     assert by_score(grid) == 0

@@ -3,7 +3,7 @@ import zipfile
 import pytest
 
 from tabdelta.operators.keyed import KeyedDiff
-from tabdelta.sinks.xlsx import write_changes
+from tabdelta.sinks.xlsx import write_changes, write_result
 from tabdelta.sources import workbook
 from tabdelta.sources.delimited import read_delimited, sniff
 from tabdelta.sources.workbook import catalog, parse_book, read_workbook, register
@@ -35,6 +35,60 @@ def test_delimited_keeps_every_column(spark, tmp_path):
     assert len(df.columns) == 2101 and df.select("n2099").first()[0] == "2099"
 
 
+def test_delimited_encoding_and_long_cells_of_the_whole_file(spark, tmp_path):
+    late, wide, broken = tmp_path / "late.csv", tmp_path / "wide.csv", tmp_path / "broken.csv"
+    late.write_bytes(b"ID,v\n" + b"1,aaaaaaaaaaaaaaaaaaaa\n" * 60_000 + "2,café\n".encode("latin-1"))
+    _, df, _ = read_delimited(spark, str(late), header=0)
+    assert df.where("ID = '2'").first().v == "café"
+    wide.write_text("ID,v\n1,x\n2," + "y" * 200_000 + '\n3,"' + "z," * 100_000 + '"\n')
+    _, df, _ = read_delimited(spark, str(wide), header=0)
+    assert df.columns == ["ID", "v", "__rid"] and {r.ID: len(r.v) for r in df.collect()} == {"1": 1, "2": 200_000, "3": 200_000}
+    broken.write_text('\n  \nID,v\n1,"a\nb"\n2,"c ""d"", e",f\n')
+    _, df, at = read_delimited(spark, str(broken), header=1)
+    assert [tuple(r)[:3] for r in df.orderBy("__rid").collect()] == [("1", "a\nb", None), ("2", 'c "d", e', "f")]
+
+
+def test_delimited_files_are_split(spark, tmp_path):
+    f = tmp_path / "big.csv"
+    f.write_text("ID,v\n" + "".join(f"{k},{'x' * 90}\n" for k in range(60_000)))
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "1m")
+    try:
+        _, df, _ = read_delimited(spark, str(f))
+        assert df.rdd.getNumPartitions() > 3
+        ids = [r.ID for r in df.select("ID", "__rid").orderBy("__rid").collect()]
+        assert ids == [str(k) for k in range(60_000)]
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+
+
+def test_header_overrides_are_held_to_their_bounds(spark, tmp_path):
+    path = str(tmp_path / "b.xlsx")
+    build(path)
+    for row in (0, 101):
+        with pytest.raises(ValueError):
+            read_workbook(spark, path, header_overrides={"Main": row})
+
+
+def test_broken_styles_fall_back_to_plain_cells(spark, tmp_path):
+    good, bad = str(tmp_path / "b.xlsx"), str(tmp_path / "bad.xlsx")
+    build(good)
+    with zipfile.ZipFile(good) as a, zipfile.ZipFile(bad, "w") as b:
+        for n in a.namelist():
+            b.writestr(n, "<broken" if n.endswith("styles.xml") else a.read(n))
+    with pytest.raises(Exception):
+        read_workbook(spark, bad)
+    tables, rows = read_workbook(spark, bad, on_error="fallback")
+    assert rows == {} and tables["Main"].count() == 3
+
+
+def test_grids_of_many_workbooks(spark, tmp_path):
+    build(str(tmp_path / "a.xlsx"))
+    build(str(tmp_path / "b.xlsx"))
+    grid = workbook.read_grids(spark, str(tmp_path / "*.xlsx"), visible=True)
+    assert grid.select("path").distinct().count() == 2 and grid.where("bold").count() == 8
+
+
 def build(path):
     """A workbook with a title, a merged group row, a bold header, a hidden column and a hidden sheet."""
     ns = 'xmlns="http://schemas.openxmlformats.org/spreadsheetml/2006/main"'
@@ -104,3 +158,14 @@ def test_export_reads_back(spark, tmp_path):
     assert (first.name, second.name) == ("Old Values", "New Values")
     assert {first.cells[r, 1][0] for r in (1, 2) if (r, 1) in first.cells} == {"1 < 2"}
     assert {second.cells[r, 1][0] for r in (1, 2)} == {"9", "x"}
+
+
+def test_whole_result_as_a_workbook(spark, tmp_path):
+    schema = "k string, v string, __rid long"
+    old = spark.createDataFrame([("a", "1", 0), ("b", "2", 1), ("d", None, 2)], schema)
+    new = spark.createDataFrame([("a", "9", 0), ("c", "3", 1)], schema)
+    path = str(tmp_path / "all.xlsx")
+    assert write_result(KeyedDiff(old, new, ["k"]).result(), ["k", "v"], path) == {"changed": 1, "added": 1, "removed": 2}
+    book = {s.name: s for s in parse_book(open(path, "rb").read(), "xlsx")}
+    assert list(book) == ["Old Values", "New Values", "Added", "Removed"]
+    assert book["Added"].cells[1, 0][0] == "c" and {book["Removed"].cells[r, 0][0] for r in (1, 2)} == {"b", "d"}
