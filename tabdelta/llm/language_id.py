@@ -37,6 +37,8 @@ from .shared import Workspace, fresh, without
 #: Bound on the labelled rows the text model is fitted on; their texts are read whole.
 TRAIN_ROWS = 2000
 TABLE_BITS = 16
+#: Tasks that count the sample's trigrams.
+COUNT_TASKS = 4
 #: Trigrams looked up at a time.
 _PIECE = 1 << 20
 TEXT_EVIDENCE = 60
@@ -130,7 +132,8 @@ def train(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", l
             at = np.flatnonzero(c)
             yield pa.RecordBatch.from_arrays([pa.array([lang] * len(at)), pa.array(at, pa.int32()), pa.array(c[at], pa.int64())], names=["lang", "slot", "n"])
 
-    counted = sample.select("lang", "times", "text").mapInArrow(count, "lang string, slot int, n long").groupBy("lang", "slot").agg(F.sum("n").alias("n"))
+    few = sample.select("lang", "times", "text").coalesce(COUNT_TASKS)  # a bounded sample; each task sends a row per slot and language
+    counted = few.mapInArrow(count, "lang string, slot int, n long").groupBy("lang", "slot").agg(F.sum("n").alias("n"))
     counts = {lang: np.zeros(1 << TABLE_BITS, np.int64) for _, lang in chosen}
     found = counted.toArrow()  # at most 2^TABLE_BITS rows a language
     for lang in counts:
