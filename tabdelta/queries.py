@@ -352,7 +352,7 @@ cells AS (
 
 @query(f"""WITH {_GRIDS},
 rows AS (SELECT g, i, count(v) AS n, count(DISTINCT v) AS d, count(*) FILTER (WHERE v IS NOT NULL AND length(v) < 40 AND regexp_matches(trim(v), '^[A-Za-z]')) AS named,
-  count(*) FILTER (WHERE regexp_matches(regexp_replace(regexp_replace(v, '\.', ''), '-', ''), '^[0-9]+$')) AS numbers FROM cells GROUP BY g, i),
+  count(*) FILTER (WHERE regexp_matches(regexp_replace(regexp_replace(v, '[.]', ''), '-', ''), '^[0-9]+$')) AS numbers FROM cells GROUP BY g, i),
 ahead AS (SELECT a.g, a.i, count(b.n) AS k, stddev_samp(b.n) AS sd FROM rows a LEFT JOIN rows b ON a.g = b.g AND b.i BETWEEN a.i + 1 AND a.i + 8 GROUP BY a.g, a.i),
 scored AS (SELECT r.g, r.i, round(1.5 * n / 4 + 1 + d / n + named / n + CASE WHEN k > 1 THEN 1 / (1 + sd) ELSE 0 END + 0.5 * (1 - numbers / n) - 0.1 * r.i, 9) AS score FROM rows r JOIN ahead a ON r.g = a.g AND r.i = a.i WHERE n >= 2 AND r.i < 15)
 SELECT g AS grid, CAST(header_row AS INTEGER) AS header_row FROM (SELECT g, i AS header_row, row_number() OVER (PARTITION BY g ORDER BY score DESC, i) AS place FROM scored) WHERE place = 1""")
@@ -375,7 +375,7 @@ def header_score(spark, sf_dir):
 _SHAPES = "SELECT doc_id, 1 AS form, source AS v FROM documents UNION ALL SELECT doc_id, 2, CAST(n_chars AS VARCHAR) || CASE doc_id % 4 WHEN 0 THEN '.5' WHEN 1 THEN '-' WHEN 2 THEN '.' ELSE 'x' END FROM documents UNION ALL SELECT doc_id, 3, left(text, 1 + doc_id % 60) FROM documents"
 
 
-@query(f"SELECT doc_id, form, coalesce(regexp_matches(regexp_replace(regexp_replace(v, '\.', ''), '-', ''), '^[0-9]+$'), false) AS numeric, coalesce(length(v) < 40 AND regexp_matches(ltrim(v, ' '), '^[A-Za-z]'), false) AS name_like FROM ({_SHAPES})")
+@query(f"SELECT doc_id, form, coalesce(regexp_matches(regexp_replace(regexp_replace(v, '[.]', ''), '-', ''), '^[0-9]+$'), false) AS numeric, coalesce(length(v) < 40 AND regexp_matches(ltrim(v, ' '), '^[A-Za-z]'), false) AS name_like FROM ({_SHAPES})")
 def cell_shapes(spark, sf_dir):
     """Which cells look like numbers and which like column names: the signs that header rows are told by."""
     d, k = table(spark, sf_dir, "documents"), F.col("doc_id") % 4
