@@ -2,7 +2,8 @@
 
 ``read_grids`` reads any number of files of any store into one long grid, a task per
 file; the bytes come through Spark's binaryFile scan. A Python Data Source does the
-same for one local file, a sheet per partition.
+same for one file, a sheet per partition; its workers have no session, so it opens the
+file as a local path or through Arrow's file systems (file, hdfs, s3, gs, abfs).
 Legacy xls and encrypted files need a decoder the caller registers; without one
 they are an error, never an empty workbook.
 """
@@ -17,6 +18,7 @@ from dataclasses import dataclass, field
 from xml.etree import ElementTree as ET
 
 import pyarrow as pa
+import pyarrow.fs
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from ..functions.names import extension, header_index, unique_names
@@ -252,6 +254,16 @@ def _bytes(spark: SparkSession, path: str) -> bytes:
     return bytes(row.content)
 
 
+def _open(path: str) -> bytes:
+    """One workbook's bytes without a session: a plain local path, or a URI that Arrow's file systems know."""
+    if not re.match(r"[A-Za-z][A-Za-z0-9+.-]*:/", path):
+        with open(path, "rb") as f:
+            return f.read()
+    store, inner = pyarrow.fs.FileSystem.from_uri(path)
+    with store.open_input_stream(inner, compression=None) as f:
+        return f.read()
+
+
 def register(spark: SparkSession) -> None:
     """Make ``spark.read.format('workbook_grid').option('path', ..)`` available: the long grid, a sheet per partition."""
     from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
@@ -267,8 +279,7 @@ def register(spark: SparkSession) -> None:
             self.visible = options.get("sheets", "all") == "visible"
 
         def _read(self, max_rows, only=None):
-            with open(self.path.removeprefix("file://"), "rb") as f:
-                return parse_book(f.read(), extension(self.path), self.password, max_rows, only)
+            return parse_book(_open(self.path), extension(self.path), self.password, max_rows, only)
 
         def partitions(self):
             return [SheetPartition(s.name) for s in self._read(1) if s.visible or not self.visible]

@@ -3,7 +3,7 @@ import zipfile
 import pytest
 
 from tabdelta.operators.keyed import KeyedDiff
-from tabdelta.sinks.xlsx import write_changes, write_result
+from tabdelta.sinks.xlsx import export_name, write_changes, write_result
 from tabdelta.sources import workbook
 from tabdelta.sources.delimited import read_delimited, sniff
 from tabdelta.sources.workbook import catalog, parse_book, read_workbook, register
@@ -123,8 +123,13 @@ def test_grid_source(spark, tmp_path):
     path = str(tmp_path / "b.xlsx")
     build(path)
     register(spark)
-    grid = spark.read.format("workbook_grid").option("path", path).option("sheets", "visible").load()
-    assert grid.where("bold").count() == 4 and grid.select("sheet").distinct().count() == 1
+    for name in (path, f"file://{path}", f"file:{path}"):
+        grid = spark.read.format("workbook_grid").option("path", name).option("sheets", "visible").load()
+        assert grid.where("bold").count() == 4 and grid.select("sheet").distinct().count() == 1
+
+
+def test_export_name():
+    assert export_name(2, "Q1/Q2: sales") == "Pair2_Q1_Q2_ sales_changes.xlsx"
 
 
 def test_ods(tmp_path):
