@@ -334,12 +334,13 @@ def unmatched_files(spark, sf_dir):
     return spark.createDataFrame([(n, "old") for n in left] + [(n, "new") for n in right], "name string, side string")
 
 
-@query("""SELECT c_custkey, CASE WHEN r = 0 THEN c_mktsegment ELSE c_mktsegment || '_' || CAST(r AS VARCHAR) END AS name
-FROM (SELECT c_custkey, c_mktsegment, row_number() OVER (PARTITION BY c_mktsegment ORDER BY c_custkey) - 1 AS r FROM customer)""")
+@query("""SELECT n_nationkey, CASE WHEN r = 0 THEN r_name ELSE r_name || '_' || CAST(r AS VARCHAR) END AS name
+FROM (SELECT n_nationkey, r_name, row_number() OVER (PARTITION BY r_name ORDER BY n_nationkey) - 1 AS r FROM nation JOIN region ON n_regionkey = r_regionkey)""")
 def dedup_names(spark, sf_dir):
-    """Market segments as the header cells of a sheet with a column for each customer."""
-    rows = table(spark, sf_dir, "customer").select("c_custkey", "c_mktsegment").orderBy("c_custkey").collect()  # a header row
-    return spark.createDataFrame(list(zip([r.c_custkey for r in rows], names.unique_names([f" {r.c_mktsegment} " for r in rows]))), "c_custkey long, name string")
+    """Regions as the header cells of a sheet with a column for each nation."""
+    nations, regions = table(spark, sf_dir, "nation"), table(spark, sf_dir, "region")
+    rows = nations.join(regions, F.col("n_regionkey") == F.col("r_regionkey")).select("n_nationkey", "r_name").orderBy("n_nationkey").collect()  # a header row
+    return spark.createDataFrame(list(zip([r.n_nationkey for r in rows], names.unique_names([f" {r.r_name} " for r in rows]))), "n_nationkey int, name string")
 
 
 _GRIDS = """c AS (SELECT *, c_custkey % 40 AS g, row_number() OVER (PARTITION BY c_custkey % 40 ORDER BY c_custkey) AS r FROM customer),
