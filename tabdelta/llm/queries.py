@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import bpe_tree, exact_dedup, jaccard_join, language_id, license_scan, packing, pii, quality_rules, suffix_dedup, token_counts
+from . import bpe_tree, exact_dedup, filter_audit, jaccard_join, language_id, license_scan, packing, pii, quality_rules, source_divergence, suffix_dedup, token_counts, warc
 from .shared import table
 
 
@@ -65,13 +65,25 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return of_docs.withColumn("page_id", no_id).unionByName(of_pages.withColumn("doc_id", no_id))
 
 
+def op11_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.round_trip(table(spark, sf_dir, "pages"))
+
+
+def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.filter_audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op13_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return source_divergence.divergence(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_packing, op2_bpe_tree, op3_quality_rules, op4_exact_dedup, op5_license_scan, op6_token_counts, op7_suffix_dedup, op8_jaccard_join, op9_pii, op10_language_id)}
+    return {f.__name__: f for f in (op1_packing, op2_bpe_tree, op3_quality_rules, op4_exact_dedup, op5_license_scan, op6_token_counts, op7_suffix_dedup, op8_jaccard_join, op9_pii, op10_language_id, op11_warc, op12_filter_audit, op13_source_divergence)}
 
 
 def oracle_sql() -> dict[str, str]:
     """SQL for what SQL can express; the other queries are tested against brute force."""
-    return {"op3_quality_rules": OP3, "op4_exact_dedup": OP4, "op5_license_scan": _license_sql(), "op8_jaccard_join": OP8}
+    return {"op3_quality_rules": OP3, "op4_exact_dedup": OP4, "op5_license_scan": _license_sql(), "op8_jaccard_join": OP8, "op11_warc": OP11, "op12_filter_audit": OP12, "op13_source_divergence": OP13}
 
 
 OP3 = r"""
@@ -132,3 +144,48 @@ g AS (SELECT text, max(doc_id) AS keep_id, count(*) AS group_size FROM d GROUP B
 SELECT d.doc_id, g.keep_id, g.group_size, d.doc_id = g.keep_id AS kept, sha256(d.text) AS text_sha256
 FROM d JOIN g ON d.text = g.text
 """
+
+OP12 = r"""
+WITH RECURSIVE d AS (SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS t FROM documents),
+l AS (SELECT doc_id, max(quality) = 1 AS good, max(toxic) = 1 AS toxic FROM labels WHERE doc_id IS NOT NULL GROUP BY doc_id),
+m AS (SELECT t, min(doc_id) AS least FROM d GROUP BY t),
+w AS (SELECT d.*, m.least, regexp_extract_all(d.t, '[^\x20\x09-\x0D]+') AS words FROM d JOIN m USING (t)),
+x AS (SELECT part, coalesce(good, false) AS good, coalesce(toxic, false) AS toxic, {'A': len(words) < 200, 'B': 100 * len(list_distinct(words)) < 50 * len(words),
+  'C': 100 * length(regexp_replace(t, '[^A-Z]', '', 'g')) > 2 * length(t), 'D': regexp_matches(t, '[#$%&*|]'), 'E': coalesce(w.doc_id > least, false)} AS f FROM w LEFT JOIN l ON w.doc_id = l.doc_id),
+y AS (SELECT part, good, toxic, list_filter(['A', 'B', 'C', 'D', 'E'], lambda k: CASE k WHEN 'A' THEN f.A WHEN 'B' THEN f.B WHEN 'C' THEN f.C WHEN 'D' THEN f.D ELSE f.E END) AS fails FROM x),
+z AS (SELECT part, fails, count(*) AS n, count(*) FILTER (good) AS good, count(*) FILTER (toxic) AS toxic FROM y GROUP BY part, fails),
+o AS (SELECT '' AS filter_order UNION ALL SELECT filter_order || c FROM o, (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS c) WHERE NOT contains(filter_order, c)),
+s AS (SELECT filter_order, step, substr(filter_order, step, 1) AS own, [filter_order[i] FOR i IN range(1, step)] AS before FROM (SELECT filter_order, unnest([1, 2, 3, 4, 5]) AS step FROM o WHERE length(filter_order) = 5))
+SELECT part, filter_order, CAST(step AS INTEGER) AS step, CAST(coalesce(sum(n) FILTER (NOT list_has_any(fails, list_append(before, own))), 0) AS BIGINT) AS kept,
+  CAST(coalesce(sum(n) FILTER (list_contains(fails, own) AND NOT list_has_any(fails, before)), 0) AS BIGINT) AS removed,
+  CAST(coalesce(sum(n) FILTER (list_contains(fails, own) AND list_has_any(fails, before)), 0) AS BIGINT) AS redundant,
+  CAST(coalesce(sum(n) FILTER (fails = [own]), 0) AS BIGINT) AS unique_fails,
+  CAST(coalesce(sum(good) FILTER (list_contains(fails, own) AND NOT list_has_any(fails, before)), 0) AS BIGINT) AS good_lost,
+  CAST(coalesce(sum(toxic) FILTER (list_contains(fails, own) AND NOT list_has_any(fails, before)), 0) AS BIGINT) AS toxic_lost,
+  CAST(coalesce(sum(n * (120 // greatest(len(fails), 1))) FILTER (list_contains(fails, own)), 0) AS BIGINT) AS shapley
+FROM z CROSS JOIN s GROUP BY part, filter_order, step, own
+"""
+
+OP13 = r"""
+WITH d AS (SELECT row_number() OVER () AS r, coalesce(lang, '') AS lang, coalesce(source, '') AS source, coalesce(text, '') AS t FROM documents),
+w AS (SELECT r, lang, source, unnest(regexp_extract_all(translate(t, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM d),
+k AS (SELECT lang, term, count(*) AS n FROM w GROUP BY lang, term HAVING count(DISTINCT r) >= 30),
+g AS (SELECT DISTINCT lang, source FROM d),
+c AS (SELECT w.lang, w.source, w.term, count(*) AS n FROM w JOIN k ON w.lang = k.lang AND w.term = k.term GROUP BY ALL),
+v AS (SELECT lang, count(*) AS v, sum(n) AS total FROM k GROUP BY lang),
+a AS (SELECT g.lang, g.source, k.term, coalesce(c.n, 0) AS n, k.n AS all_n FROM g JOIN k ON g.lang = k.lang LEFT JOIN c ON c.lang = g.lang AND c.source = g.source AND c.term = k.term),
+b AS (SELECT *, sum(n) OVER (PARTITION BY lang, source) AS total FROM a),
+p AS (SELECT b.lang, b.source, b.term, b.n, 1 + CAST((CAST(1000000000 AS HUGEINT) * (b.n + 5)) // (b.total + 5 * v.v) AS BIGINT) AS p, 1 + CAST((CAST(1000000000 AS HUGEINT) * (b.all_n + 5)) // (v.total + 5 * v.v) AS BIGINT) AS q FROM b JOIN v ON b.lang = v.lang),
+f AS (SELECT x.lang, x.source, y.source AS item, sum(abs(x.p - y.p)) AS f FROM p x JOIN p y ON x.lang = y.lang AND x.term = y.term AND x.source <> y.source GROUP BY ALL),
+r AS (SELECT x.lang, x.source, 'pair' AS part, y.source AS item, CAST(coalesce(f.f, 0) AS BIGINT) AS value FROM g x JOIN g y ON x.lang = y.lang AND x.source <> y.source LEFT JOIN f ON f.lang = x.lang AND f.source = x.source AND f.item = y.source
+  UNION ALL SELECT lang, source, 'term', term, p - q FROM p WHERE n > 0 AND p > q)
+SELECT * FROM (SELECT *, CAST(row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS INTEGER) AS rank FROM r) WHERE part = 'pair' OR rank <= 50
+"""
+
+OP11 = """
+WITH p AS (SELECT page_id, coalesce(html, '') AS t FROM pages),
+f AS (SELECT t, min(page_id) AS least FROM p GROUP BY t),
+h AS (SELECT page_id, t, sha1(t) AS x, CASE WHEN page_id IS DISTINCT FROM least AND least IS NOT NULL THEN least END AS refers_to FROM p JOIN f USING (t))
+SELECT page_id, CAST(strlen(t) AS BIGINT) AS payload_bytes, CASE WHEN refers_to IS NULL THEN 'response' ELSE 'revisit' END AS record_type, refers_to,
+  array_to_string([substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + ((CAST('0x' || substr(x, 1 + 5 * (i // 4), 5) AS BIGINT) >> (15 - 5 * (i % 4))) & 31), 1) FOR i IN range(32)], '') AS payload_digest FROM h
+"""
