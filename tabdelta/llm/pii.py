@@ -37,12 +37,12 @@ KINDS = ("email", "card", "iban", "phone", "ssn", "ip", "date", "secret")
 PATTERNS = {
     "email": r"(?<![\w.+-])[A-Za-z0-9_+-][\w.+-]{0,63}@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}",
     "secret": r"(?i:\b(?:token|secret|api_?key|password)\b[\"']?\s*[:=]\s*[\"']?)[A-Za-z0-9_\-]{16,}",
-    "iban": r"\b[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?\b",
-    "phone": r"(?<![\w+])(?:\+\d{1,3}[ .-]?)?\(\d{3}\)[ .-]?\d{3}[ .-]\d{4}(?!\w)|(?<![\w+])\+\d{1,3}(?:[ .-]\d{2,4}){2,4}(?!\w)|(?<![\w.-])\d{3}[.-]\d{3}[.-]\d{4}(?![\w.-]*\d)",
-    "ssn": r"(?<![\w-])\d{3}-\d{2}-\d{4}(?![\w-])",
-    "date": r"(?<![\w/.-])(?:\d{4}-\d{2}-\d{2}|\d{2}/\d{2}/\d{4}|\d{2}\.\d{2}\.\d{4})(?![\w/-])",
-    "ip": r"(?<![\w.])\d{1,3}(?:\.\d{1,3}){3}(?![\w]|\.\d)",
-    "card": r"(?<!\d)(?:\d{4}([ -])\d{4}\1\d{4}\1\d{1,7}|\d{13,19})(?!\d)",
+    "iban": r"\b[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?\b",
+    "phone": r"(?<![\w+])(?:\+[0-9]{1,3}[ .-]?)?\([0-9]{3}\)[ .-]?[0-9]{3}[ .-][0-9]{4}(?!\w)|(?<![\w+])\+[0-9]{1,3}(?:[ .-][0-9]{2,4}){2,4}(?!\w)|(?<![\w.-])[0-9]{3}[.-][0-9]{3}[.-][0-9]{4}(?![\w.-]*[0-9])",
+    "ssn": r"(?<![\w-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![\w-])",
+    "date": r"(?<![\w/.-])(?:[0-9]{4}-[0-9]{2}-[0-9]{2}|[0-9]{2}/[0-9]{2}/[0-9]{4}|[0-9]{2}\.[0-9]{2}\.[0-9]{4})(?![\w/-])",
+    "ip": r"(?<![\w.])[0-9]{1,3}(?:\.[0-9]{1,3}){3}(?![\w]|\.[0-9])",
+    "card": r"(?<![0-9])(?:[0-9]{4}([ -])[0-9]{4}\1[0-9]{4}\1[0-9]{1,7}|[0-9]{13,19})(?![0-9])",
 }
 
 
@@ -151,13 +151,21 @@ class Pseudonyms:
         body = value[len(head) :]
         if not any(c.isdigit() for c in body):
             return None
-        return head + self._by_class(body, "secret", back, (_HEX,) if all(c in _HEX for c in body) else _CLASSES)
+        of_hex = lambda x: all(c in _HEX for c in x)
+        classes, own = ((_HEX,), lambda x: any(c.isdigit() for c in x)) if of_hex(body) else (_CLASSES, lambda x: not of_hex(x))
+        # Walked until the form by which the inverse tells the two kinds, as a permutation allows.
+        new = self._by_class(body, "secret", back, classes)
+        while not own(new):
+            new = self._by_class(new, "secret", back, classes)
+        return head + new
 
     def _card(self, value: str, back: bool) -> str | None:
         digits = re.sub(r"\D", "", value)
         if luhn_digit(digits[:-1]) != digits[-1] or not digits.strip("0"):
             return None
         body = self._digits(digits[:-1], "card", back)
+        while not body.strip("0"):  # no card, so the inverse wouldn't know it
+            body = self._digits(body, "card", back)
         return self._refill(value, body + luhn_digit(body))
 
     def _iban(self, value: str, back: bool) -> str | None:

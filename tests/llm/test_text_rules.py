@@ -162,3 +162,56 @@ def test_language_evidence_without_text(spark):
     assert language_id.identify(spark.createDataFrame([], "page_id long, url string, html string"), model, "html", url_col="url", markup=True).count() == 0
     with pytest.raises(ValueError):
         language_id.TextModel.fit({})
+
+
+_DECIMALS = [chr(c) for c in range(0x110000) if chr(c).isdecimal()]
+_SHAPES = ["000-00-0000", "0000-00-00", "00/00/0000", "00.00.0000", "+00 000 000 0000", "(000) 000-0000", "000-000-0000", "0.00.000.00", "000.0.0.0", "0000 0000 0000 0000", "0000000000000000", "DE00 0000 0000 0000 0000 00", "a0.b@ex0.org", "token=aaaa0000bbbb0000cc", "secret: 0000000000000000", "999-00-0000"]
+
+
+@st.composite
+def texts_of_any_digits(draw):
+    """Values in the shapes that are swapped, their digits ASCII or of any script, single or mixed."""
+    out = []
+    for shape in draw(st.lists(st.sampled_from(_SHAPES), min_size=1, max_size=5)):
+        pool = draw(st.sampled_from([list("0123456789"), _DECIMALS, list("٠١٢٣٤٥٦٧٨٩"), list("0123456789٣९")]))
+        out.append("".join(draw(st.sampled_from(pool)) if c == "0" else c for c in shape))
+        out.append(draw(st.sampled_from([" ", "\n", ", ", "٣", " x ", "", "."])))
+    return "".join(out)
+
+
+@settings(max_examples=400, deadline=None)
+@given(texts_of_any_digits())
+def test_pseudonyms_of_any_text_raise_nothing_and_leave_other_digits(text):
+    new, counts = pii.pseudonymise_text(text, KEY)
+    assert len(new) >= 1 and all(n > 0 for n in counts.values())
+    other = lambda t: [c for c in t if c.isdecimal() and not c.isascii()]
+    assert other(new) == other(text)
+
+
+@settings(max_examples=400, deadline=None)
+@given(st.sampled_from(_SHAPES).flatmap(lambda shape: st.tuples(*[st.sampled_from("0123456789") if c == "0" else st.just(c) for c in shape]).map("".join)))
+def test_every_swap_comes_back(value):
+    new, counts = pii.pseudonymise_text(f"at {value} end", KEY)
+    back, again = pii.pseudonymise_text(new, KEY, back=True)
+    assert back == f"at {value} end" and again == counts
+
+
+def test_digits_of_other_scripts_do_not_fail_a_table(spark):
+    rows = [(0, "٠٠٠-١٢-٣٤٥٦ 1"), (1, "٩٩٩-١٢-٣٤٥٦ 2"), (2, "call ٠٤٠-٥٥٥-١٢٣٤ or 040-555-1234"), (3, "१२३.४.५.६ and 1.2.3.4")]
+    got = {r.doc_id: r for r in pii.pseudonymise(spark.createDataFrame(rows, "doc_id long, text string"), key=KEY).collect()}
+    assert got[0].text == rows[0][1] and got[1].text == rows[1][1]
+    assert got[2].text.startswith("call ٠٤٠-٥٥٥-١٢٣٤ or ") and got[2].n_phone == 1 and got[3].text.startswith("१२३.४.५.६ and ") and got[3].n_ip == 1
+
+
+def test_forms_that_the_inverse_relies_on_are_kept():
+    class Tiny(pii.Feistel):
+        """Values move on by one, so that every excluded value is hit."""
+
+        def permute(self, x, n, label, back=False):
+            return (x - 1 if back else x + 1) % n
+
+    maps = pii.Pseudonyms(KEY)
+    maps.feistel = Tiny(KEY)
+    for value in ("token=" + "f" * 15 + "9", "token=" + "a" * 14 + "9z", "secret=" + "9" * 16):
+        assert maps.swap("secret", maps.swap("secret", value), True) == value
+    assert maps.swap("card", maps.swap("card", "9999999999999995"), True) == "9999999999999995"
