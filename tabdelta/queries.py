@@ -10,14 +10,16 @@ from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from .fixtures import LINEITEM_SQL, ORDERS_SQL, SHIFT, lineitem_pair, orders_pair, table
 from .functions import names
-from .functions.normalize import FALSE_WORDS, NUMBER, TRUE_WORDS, with_canonical
+from .functions.normalize import FALSE_WORDS, NA_WORDS, NUMBER, TRUE_WORDS, with_canonical
 from .operators import report
 from .operators.keyed import KEY, ORDER, KeyedDiff
 from .operators.keyless import KeylessDiff
 from .operators.keys import choose_key, uniqueness_frame
 from .operators.reconcile import assign, candidate_pairs
+from .operators.staging import scratch
 from .plans.headers import by_score
 from .plans.pairing import pair_files, unmatched, with_manual
+from .sources.delimited import read_delimited
 
 COLUMNS = ["o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice", "o_orderdate", "o_orderpriority"]
 REST = COLUMNS[1:]
@@ -67,6 +69,34 @@ def _orders(spark: SparkSession, sf_dir: str) -> KeyedDiff:
     return KeyedDiff(old, new, ["o_orderkey"])
 
 
+# -- files ------------------------------------------------------------------------------------------------------
+_NULLS = ", ".join(f"'{w}'" for w in NA_WORDS)
+
+
+@query(f"SELECT doc_id, source, length(text) AS n_chars, md5(text) AS digest FROM (SELECT CAST(doc_id AS VARCHAR) AS doc_id, source, CASE WHEN text NOT IN ({_NULLS}) THEN text END AS text FROM documents)")
+def csv_line_breaks(spark, sf_dir):
+    """All documents exported as delimited text, whose cells hold quotes and line breaks, and read back in parallel."""
+    path = scratch(spark, "documents.csv")
+    docs = table(spark, sf_dir, "documents").select("doc_id", "source", "text")
+    docs.write.csv(path, sep=";", quoteAll=True, escape='"', escapeQuotes=True, ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False, emptyValue="", nullValue="")
+    _, back, _ = read_delimited(spark, path, columns=["doc_id", "source", "text"])
+    return back.select("doc_id", "source", F.length("text").cast("long").alias("n_chars"), F.md5(F.col("text").cast("binary")).alias("digest"))
+
+
+_PLAIN_LIST = """SELECT 'r' || CAST(o_orderkey AS VARCHAR) AS name, replace(CAST(o_totalprice AS VARCHAR), '.', ',') AS price, 'one, two; ' || o_orderstatus AS note FROM orders"""
+
+
+@query(_PLAIN_LIST)
+def csv_decimal_commas(spark, sf_dir):
+    """Orders exported with semicolons, decimal commas and commas in notes: the first row tells the separator."""
+    o = table(spark, sf_dir, "orders")
+    rows = o.select(F.concat(F.lit("r"), F.col("o_orderkey").cast("string")).alias("name"), F.replace(F.col("o_totalprice").cast("string"), F.lit("."), F.lit(",")).alias("price"), F.concat(F.lit("one, two; "), F.col("o_orderstatus")).alias("note"))
+    path = scratch(spark, "orders.csv")
+    rows.write.csv(path, sep=";", escape='"')
+    _, back, _ = read_delimited(spark, path, columns=rows.columns)
+    return back.drop(ORDER)
+
+
 # -- value equality ---------------------------------------------------------------------------------------------
 _MIXED = """SELECT o_orderkey, 1 AS form, '  ' || lower(o_orderstatus) || ' ' AS v FROM orders
  UNION ALL SELECT o_orderkey, 2, CAST(o_totalprice AS VARCHAR) || '0' FROM orders

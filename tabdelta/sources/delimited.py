@@ -1,8 +1,8 @@
-"""Delimited text: a look at the head, one pass over the lines, then a plain Spark scan.
+"""Delimited text: a look at the head, one pass over the lines, then a scan by many tasks.
 
-The pass over the lines decides what the whole file needs: its encoding, whether a
-quoted cell may hold a line break (else the file is split among tasks), and the
-width of its widest row.
+The passes over the lines decide what the whole file needs: its encoding, its separator
+where the first row doesn't tell, whether a quoted cell holds a line break (else Spark's
+own reader takes the file; see spanning.py), and the width of its widest row.
 """
 
 from __future__ import annotations
@@ -10,6 +10,7 @@ from __future__ import annotations
 import csv
 import io
 import re
+from collections import Counter
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
@@ -17,16 +18,15 @@ from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 from ..functions.names import extension, sheet_name, unique_names
 from ..functions.normalize import missing_words
 from ..plans.headers import ROWS_NEEDED, header_row
+from .spanning import SpanningText, ends_inside, parse_rows
 
 #: Extensions by kind, and what is tried in which order.
 TEXT_EXTENSIONS = ("csv", "txt", "tsv")
 BOOK_EXTENSIONS = ("xlsx", "xlsm", "xls", "ods")
 ENCODINGS = ("utf-8-sig", "utf-8", "latin-1", "cp1252")
 SEPARATORS = {"tsv": ("\t", ",", ";", "|"), "": (",", "\t", ";", "|")}
-#: What is read of a file to find separator and header; doubled until it holds the rows these need.
+#: What is read of a file to find its first rows; doubled until it holds them.
 SAMPLE_BYTES = 1 << 20
-#: Cells that Spark's parser makes room for in files whose rows span lines; it stops with an error on longer rows.
-MAX_COLUMNS = 20_480
 _FIELD = 2**31 - 1
 #: What Java's trim() takes off: Spark's reader passes over lines that hold nothing else.
 _TRIMMED = "".join(map(chr, range(33)))
@@ -45,28 +45,54 @@ def records(text: str, sep: str, spanning: bool) -> list[list[str]]:
     return list(csv.reader((x for x in re.split("\r\n|\n|\r", text) if x.strip(_TRIMMED)), delimiter=sep))
 
 
-def sniff(sample: bytes, ext: str = "csv", utf8: bool | None = None, spanning: bool = True) -> tuple[str, str, list[list[str]]]:
-    """(encoding, separator, rows) of the first combination that gives rows of more than one column.
-
-    ``utf8``: whether the whole file is known to be (or not to be) UTF-8; None leaves it to the sample.
-    """
-    cut = sample[: sample.rfind(b"\n") + 1] or sample
-    fallback = None
+def encoding_of(sample: bytes, utf8: bool | None = None) -> str:
+    """The first encoding that fits. ``utf8``: whether the whole file is known to be (or not to be) UTF-8; None leaves it to the sample."""
     for encoding in ENCODINGS:
         if utf8 is not None and encoding.startswith("utf-8") != utf8:
             continue
         try:
-            text = cut.decode(encoding)
+            sample.decode(encoding, "ignore" if utf8 else "strict")  # a sample may end inside a character
+            return encoding
         except UnicodeDecodeError:
             continue
-        for sep in SEPARATORS.get(ext, SEPARATORS[""]):
-            rows = records(text, sep, spanning)
-            if max(map(len, rows), default=0) > 1:
-                return encoding, sep, rows
-            fallback = fallback or (encoding, sep, rows)
-    if fallback is None:
-        raise ValueError("the sample is in none of the known encodings")
-    return fallback
+    raise ValueError("the sample is in none of the known encodings")
+
+
+def first_separator(text: str, ext: str = "csv") -> str | None:
+    """The first separator under which the first row that isn't blank has several cells; None where none splits it.
+
+    Later rows don't count: one comma in a note or a decimal comma would make a semicolon file one of commas.
+    """
+    for sep in SEPARATORS.get(ext, SEPARATORS[""]):
+        first = next((r for r in records(text, sep, True) if len(r) > 1 or r[0].strip()), [])
+        if len(first) > 1:
+            return sep
+    return None
+
+
+def common_separator(spark: SparkSession, path: str, ext: str = "csv", width: int | None = None) -> str:
+    """The separator under which most lines of the whole file have one same width of several cells, or the width given;
+    of equals the one of more cells, then the first.
+
+    For files whose first row is a title or no header. Quoted parts of a line don't count.
+    """
+    tried = SEPARATORS.get(ext, SEPARATORS[""])
+    bare = F.regexp_replace("value", '"[^"]*"', "")
+    widths = F.array(*[F.struct(F.lit(k).alias("k"), (F.length(bare) - F.length(F.replace(bare, F.lit(sep), F.lit("")))).alias("n")) for k, sep in enumerate(tried)])
+    counted = spark.read.text(path).select(F.explode(widths).alias("x")).where(F.col("x.n") > 0 if width is None else F.col("x.n") == width - 1).groupBy("x.k", "x.n").agg(F.count(F.lit(1)).alias("lines"))
+    best = counted.orderBy(F.desc("lines"), F.desc("n"), "k").first()
+    return tried[best.k if best else 0]
+
+
+def sniff(sample: bytes, ext: str = "csv", utf8: bool | None = None) -> tuple[str, str, list[list[str]]]:
+    """(encoding, separator, rows) of a text that is all there is; a file goes through read_delimited."""
+    encoding = encoding_of(sample, utf8)
+    text = sample.decode(encoding)
+    sep = first_separator(text, ext)
+    if sep is None:
+        width = lambda s: Counter(len(r) for r in records(text, s, True) if len(r) > 1).most_common(1)
+        sep = max(SEPARATORS.get(ext, SEPARATORS[""]), key=lambda s: width(s)[0][1] if width(s) else 0)
+    return encoding, sep, records(text, sep, True)
 
 
 def head(spark: SparkSession, path: str, size: int = SAMPLE_BYTES) -> bytes:
@@ -82,29 +108,45 @@ def head(spark: SparkSession, path: str, size: int = SAMPLE_BYTES) -> bytes:
         stream.close()
 
 
-def whole_head(spark: SparkSession, path: str) -> bytes:
-    """As much of the file's head as holds the rows that a decision needs, or all of it."""
+def whole_head(spark: SparkSession, path: str, rows: int = 2 * ROWS_NEEDED) -> bytes:
+    """As much of the file's head as holds that many rows under any separator, or all of it; it ends with a line."""
     size = SAMPLE_BYTES
     while True:
         data = head(spark, path, size)
-        if len(data) < size or data.count(b"\n") > 2 * ROWS_NEEDED:
+        if len(data) < size:
             return data
+        cut = data[: data.rfind(b"\n") + 1]
+        if cut and all(len(records(cut.decode("latin-1"), sep, True)) > rows for sep in SEPARATORS[""]):
+            return cut
         size *= 2
 
 
+def file_sizes(spark: SparkSession, path: str) -> list[tuple[str, int]]:
+    """Name and length of a file, or of each file in a folder, by name; hidden ones left out as Spark does."""
+    jvm = spark._jvm
+    where = jvm.org.apache.hadoop.fs.Path(path)
+    fs = where.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
+    listed = [(f.getPath().getName(), f.getLen()) for f in fs.listStatus(where) if f.isFile()]
+    return sorted((n, size) for n, size in listed if n[0] not in "._") if fs.getFileStatus(where).isDirectory() else listed
+
+
 def scan_lines(spark: SparkSession, path: str) -> tuple[bool, bool]:
-    """(utf8, spanning): whether all lines are UTF-8, and whether a row may span lines - a line with an odd number of quotes."""
-    lines = spark.read.text(path)
-    quotes = F.octet_length("value") - F.octet_length(F.replace("value", F.lit('"'), F.lit("")))
-    got = lines.agg(F.coalesce(F.min(F.is_valid_utf8("value")), F.lit(True)).alias("utf8"), F.coalesce(F.max(quotes % 2 == 1), F.lit(False)).alias("odd")).first()
-    return got.utf8, got.odd
+    """(utf8, quoted): whether all lines are UTF-8, and whether any holds a quote."""
+    got = spark.read.text(path).agg(F.coalesce(F.min(F.is_valid_utf8("value")), F.lit(True)).alias("utf8"), F.coalesce(F.max(F.contains("value", F.lit('"'))), F.lit(False)).alias("quoted")).first()
+    return got.utf8, got.quoted
+
+
+def may_span(spark: SparkSession, path: str, sep: str, line_break: str) -> bool:
+    """Whether a line can end inside a quoted cell: False only where every line's quotes are paired and open at a cell's start."""
+    paired = F.regexp_replace("value", '"[^"]*"', "\x01")
+    odd = F.contains(paired, F.lit('"')) | paired.rlike(f"[^\x01\r{re.escape(sep)}]\x01")
+    return bool(spark.read.option("lineSep", line_break).text(path).agg(F.max(odd)).first()[0])
 
 
 def widest(spark: SparkSession, path: str, width: int, options: dict, encoding: str) -> int:
-    """The cells of the widest row of a file, ``width`` at least.
+    """The cells of the widest row of a file whose rows are lines, ``width`` at least.
 
-    Lines without quotes are counted by their separators; other lines are parsed. Where rows span lines, those are
-    parsed whose width isn't the schema's, which the reader reports.
+    Lines without quotes are counted by their separators; other lines are parsed.
     """
     sep = options["sep"]
 
@@ -113,43 +155,84 @@ def widest(spark: SparkSession, path: str, width: int, options: dict, encoding:
         csv.field_size_limit(_FIELD)
         return rows.map(lambda row: 0 if row is None else max(map(len, csv.reader(io.StringIO(row, newline=""), delimiter=sep)), default=0))
 
-    if not options["multiLine"]:
-        lines = spark.read.text(path)
-        quoted = F.contains("value", F.lit('"'))
-        plain = F.length("value") - F.length(F.replace("value", F.lit(sep), F.lit(""))) + 1
-        by_count = lines.where(~quoted).agg(F.max(plain).cast("int").alias("w"))
-        text = F.col("value") if encoding.startswith("utf-8") else F.decode(F.col("value").cast("binary"), _SPARK_NAME[encoding])
-        by_parse = lines.where(quoted).select(cells(text).alias("w")).agg(F.max("w").alias("w"))
-        most = by_count.unionAll(by_parse).agg(F.max("w").alias("w")).first().w
-        return max(width, most or 0)
-    fields = [T.StructField(f"c{k}", T.StringType()) for k in range(width)]
-    rows = spark.read.csv(path, schema=T.StructType([*fields, T.StructField("__row", T.StringType())]), columnNameOfCorruptRecord="__row", maxColumns=max(MAX_COLUMNS, width), **options)
-    # The second sum needs every column: the reader checks no row's width where columns are pruned.
-    most = rows.select(F.when(F.col("__row").isNotNull(), cells("__row")).alias("w"), F.xxhash64(*[f.name for f in fields]).alias("h")).agg(F.max("w").alias("most"), F.bit_xor("h").alias("all")).first().most
+    lines = spark.read.text(path)
+    quoted = F.contains("value", F.lit('"'))
+    plain = F.length("value") - F.length(F.replace("value", F.lit(sep), F.lit(""))) + 1
+    by_count = lines.where(~quoted).agg(F.max(plain).cast("int").alias("w"))
+    text = F.col("value") if encoding.startswith("utf-8") else F.decode(F.col("value").cast("binary"), _SPARK_NAME[encoding])
+    by_parse = lines.where(quoted).select(cells(text).alias("w")).agg(F.max("w").alias("w"))
+    most = by_count.unionAll(by_parse).agg(F.max("w").alias("w")).first().w
     return max(width, most or 0)
 
 
-def read_delimited(spark: SparkSession, path: str, keys=(), header: int | None = None, semantics: str = "v2", reference=()) -> tuple[str, DataFrame, int]:
+def read_delimited(spark: SparkSession, path: str, keys=(), header: int | None = None, semantics: str = "v2", reference=(), columns=None) -> tuple[str, DataFrame, int]:
     """(sheet name, table of text with __rid, 0-based header row) of one file.
 
     Rows may be longer or shorter than the header: the schema is as wide as the widest
     row of the whole file, and short rows are padded with NULL. The encoding is that of
-    the whole file: UTF-8 if all of it is, else Latin-1. Only a file whose rows may span
-    lines is read by one task, and there a row of more than MAX_COLUMNS cells is an
-    error. __rid grows in file order.
+    the whole file: UTF-8 if all of it is, else Latin-1. The separator is that of the
+    first row, or the one that most lines agree on where that row is a title. A file is
+    read by many tasks whether or not its cells hold line breaks. __rid grows in file
+    order. With ``columns``, names, there is no header row (-1), and the path may be a
+    folder of files, which count as one after the other;
+    the separator is then the one under which most lines have a cell for each name.
     """
-    utf8, spanning = scan_lines(spark, path)
-    encoding, sep, rows = sniff(whole_head(spark, path), extension(path), utf8, spanning)
-    grid = [[c if c.strip() else None for c in r] for r in rows]
-    options = {"sep": sep, "encoding": _SPARK_NAME[encoding], "header": False, "quote": '"', "escape": '"', "multiLine": spanning, "mode": "PERMISSIVE", "ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False}
-    width = widest(spark, path, max((len(r) for r in grid), default=1), options, encoding)
-    at = header if header is not None else header_row([r + [None] * (width - len(r)) for r in grid[:ROWS_NEEDED]], keys, reference, semantics=semantics)
-    named = grid[at] if at < len(grid) else []
+    files = file_sizes(spark, path)
+    filled = next((name for name, size in files if size), None)
+    first = path if filled is None or path.rstrip("/").endswith(f"/{filled}") else f"{path.rstrip('/')}/{filled}"
+    utf8, quoted = scan_lines(spark, path)
+    sample = whole_head(spark, first, max(2 * ROWS_NEEDED, (header or 0) + 1))
+    encoding = encoding_of(sample, utf8)
+    start = sample.decode(encoding, "ignore")
+    if columns is not None:
+        sep = common_separator(spark, path, extension(path), len(columns))
+    else:
+        sep = first_separator(start, extension(path)) or common_separator(spark, path, extension(path))
+    line_break = "\r" if b"\n" not in sample and b"\r" in sample else "\n"
+    spanning = SpanningText(spark, path, sep, encoding, files, line_break) if quoted and may_span(spark, path, sep, line_break) else None
+    spans = spanning is not None and spanning.spans
+    if spans:
+        placed = head_rows(sample, line_break.encode(), encoding, sep)
+    else:
+        placed = list(enumerate(records(start, sep, False)))
+    grid = [[c if c.strip() else None for c in r] for _, r in placed[:ROWS_NEEDED]]
+    least = max((len(r) for r in grid), default=1)
+    if spans:
+        rows, width = spanning.rows()
+        width = max(width, least)
+        cells = [F.get("cells", F.lit(k)) for k in range(width)]
+        raw = rows.select(*[F.when(c != "", c).alias(f"c{k}") for k, c in enumerate(cells)], F.col("rid").alias("__rid"))
+    else:
+        options = {"sep": sep, "encoding": _SPARK_NAME[encoding], "header": False, "quote": '"', "escape": '"', "mode": "PERMISSIVE", "ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False}
+        width = widest(spark, path, least, options, encoding)
+        schema = T.StructType([T.StructField(f"c{k}", T.StringType()) for k in range(width)])
+        raw = spark.read.csv(path, schema=schema, maxColumns=max(width, 512), maxCharsPerColumn=-1, **options).withColumn("__rid", F.monotonically_increasing_id())
+    if columns is not None:
+        at, named, after = -1, list(columns), -1
+    else:
+        at = header if header is not None else header_row([r + [None] * (width - len(r)) for r in grid], keys, reference, semantics=semantics)
+        named = [c if c.strip() else None for c in placed[at][1]] if at < len(placed) else []
+        after = placed[at][0] if at < len(placed) else _FIELD << 31  # no row is that far down
     names = unique_names(list(named) + [None] * (width - len(named)))
-    schema = T.StructType([T.StructField(f"c{k}", T.StringType()) for k in range(width)])
-    raw = spark.read.csv(path, schema=schema, maxColumns=max(MAX_COLUMNS, width), **options)
-    numbered = raw.withColumn("__rid", F.monotonically_increasing_id())
     full = F.coalesce(*[F.col(f"c{k}") for k in range(width)]).isNotNull()
     bom = F.regexp_replace("c0", "^\ufeff", "") if encoding == "utf-8-sig" else F.col("c0")
-    body = numbered.withColumn("c0", bom).where(full).where(F.col("__rid") > at)
+    body = raw.withColumn("c0", bom).where(full).where(F.col("__rid") > after)
     return sheet_name(path), body.select(*[missing_words(F.col(f"c{k}")).alias(n) for k, n in enumerate(names)], "__rid"), at
+
+
+def head_rows(sample: bytes, line_break: bytes, encoding: str, sep: str) -> list[tuple[int, list[str]]]:
+    """(rid, cells) of the rows at the head of a file whose rows span lines, numbered as SpanningText does."""
+    out, held, at, place, inside = [], [], 0, 0, False
+    sample = sample.removesuffix(line_break)
+    for k, line in enumerate(sample.split(line_break)):
+        bare = line.removeprefix(b"\xef\xbb\xbf") if k == 0 else line
+        at = at if held else place
+        held.append(bare)
+        place += len(line) + 1
+        inside = ends_inside(bare, inside, ord(sep))
+        if not inside:
+            out += [(at + i, cells) for i, cells in parse_rows(line_break.join(held), "utf-8" if encoding == "utf-8-sig" else encoding, sep)]
+            held = []
+    if held:
+        out += [(at + i, cells) for i, cells in parse_rows(line_break.join(held), "utf-8" if encoding == "utf-8-sig" else encoding, sep)]
+    return out
