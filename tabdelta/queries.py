@@ -79,7 +79,7 @@ def csv_line_breaks(spark, sf_dir):
     path = scratch(spark, "documents.csv")
     docs = table(spark, sf_dir, "documents").select("doc_id", "source", "text")
     docs.write.csv(path, sep=";", quoteAll=True, escape='"', escapeQuotes=True, ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False, emptyValue="", nullValue="")
-    _, back, _ = read_delimited(spark, path, columns=["doc_id", "source", "text"])
+    _, back, _ = read_delimited(spark, path, columns=["doc_id", "source", "text"], sep=";")
     return back.select("doc_id", "source", F.length("text").cast("long").alias("n_chars"), F.md5(F.col("text").cast("binary")).alias("digest"))
 
 

@@ -165,7 +165,7 @@ def widest(spark: SparkSession, path: str, width: int, options: dict, encoding:
     return max(width, most or 0)
 
 
-def read_delimited(spark: SparkSession, path: str, keys=(), header: int | None = None, semantics: str = "v2", reference=(), columns=None) -> tuple[str, DataFrame, int]:
+def read_delimited(spark: SparkSession, path: str, keys=(), header: int | None = None, semantics: str = "v2", reference=(), columns=None, sep: str | None = None) -> tuple[str, DataFrame, int]:
     """(sheet name, table of text with __rid, 0-based header row) of one file.
 
     Rows may be longer or shorter than the header: the schema is as wide as the widest
@@ -175,7 +175,7 @@ def read_delimited(spark: SparkSession, path: str, keys=(), header: int | None =
     read by many tasks whether or not its cells hold line breaks. __rid grows in file
     order. With ``columns``, names, there is no header row (-1), and the path may be a
     folder of files, which count as one after the other;
-    the separator is then the one under which most lines have a cell for each name.
+    the separator, unless given, is then the one under which most lines have a cell for each name.
     """
     files = file_sizes(spark, path)
     filled = next((name for name, size in files if size), None)
@@ -184,7 +184,9 @@ def read_delimited(spark: SparkSession, path: str, keys=(), header: int | None =
     sample = whole_head(spark, first, max(2 * ROWS_NEEDED, (header or 0) + 1))
     encoding = encoding_of(sample, utf8)
     start = sample.decode(encoding, "ignore")
-    if columns is not None:
+    if sep is not None:
+        pass
+    elif columns is not None:
         sep = common_separator(spark, path, extension(path), len(columns))
     else:
         sep = first_separator(start, extension(path)) or common_separator(spark, path, extension(path))
