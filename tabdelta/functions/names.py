@@ -76,6 +76,17 @@ def unique_names(names: list) -> list[str]:
     return out
 
 
+def fresh(taken, *wanted: str) -> list[str]:
+    """Names for internal columns that differ from those taken, letter case aside."""
+    low, out = {c.lower() for c in taken}, []
+    for name in wanted:
+        while name.lower() in low:
+            name = f"_{name}"
+        low.add(name.lower())
+        out.append(name)
+    return out
+
+
 # The same functions over columns of names.
 def plain_name_column(c: Column) -> Column:
     return F.regexp_replace(F.lower(F.trim(c)), _OTHER, "")

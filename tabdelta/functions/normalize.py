@@ -10,6 +10,8 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from .names import fresh
+
 # The vocabulary of logical cells, of missing cells in files, and of blanks.
 TRUE_WORDS = ("TRUE", "T", "YES", "Y", "1", "1.0", "CHECK", "CHECKED", "CHECKMARK", "✓", "✔", "ON", "ENABLED", "ACTIVE")
 FALSE_WORDS = ("FALSE", "F", "NO", "N", "0", "0.0", "CROSS", "UNCHECKED", "✗", "✘", "X", "OFF", "DISABLED", "INACTIVE")
@@ -59,9 +61,11 @@ def with_canonical(df: DataFrame, cells: dict[str, Column], semantics: str = "v2
     Words, numbers and forms are three projections, so each is evaluated once a row
     and all stay inside generated code; one nested expression would repeat them.
     """
-    words = {f"__w_{k}": _word(c.cast("string"), semantics) for k, c in enumerate(cells.values())}
-    numbers = {f"__x_{k}": _number(F.col(f"__w_{k}")) for k in range(len(cells))}
-    forms = {name: _form(F.col(f"__w_{k}"), F.col(f"__x_{k}")) for k, name in enumerate(cells)}
+    taken = [*df.columns, *cells]
+    w, x = fresh(taken, *(f"__w_{k}" for k in range(len(cells)))), fresh(taken, *(f"__x_{k}" for k in range(len(cells))))
+    words = {n: _word(c.cast("string"), semantics) for n, c in zip(w, cells.values())}
+    numbers = {n: _number(F.col(f"`{own}`")) for n, own in zip(x, w)}
+    forms = {name: _form(F.col(f"`{a}`"), F.col(f"`{b}`")) for name, a, b in zip(cells, w, x)}
     return df.withColumns(words).withColumns(numbers).withColumns(forms).drop(*words, *numbers) if cells else df
 
 
@@ -74,8 +78,9 @@ def canonical(c: Column, semantics: str = "v2") -> Column:
 def canonical_frame(df: DataFrame, columns: list[str] | None = None, semantics: str = "v2") -> DataFrame:
     """df with the named columns (all by default) in canonical form; an empty table keeps its columns."""
     chosen = [c for c in df.columns if columns is None or c in columns]
-    done = with_canonical(df, {f"__c_{k}": F.col(f"`{c}`") for k, c in enumerate(chosen)}, semantics)
-    return done.select([F.col(f"__c_{chosen.index(c)}").alias(c) if c in chosen else F.col(f"`{c}`") for c in df.columns])
+    own = dict(zip(chosen, fresh(df.columns, *(f"__c_{k}" for k in range(len(chosen))))))
+    done = with_canonical(df, {own[c]: F.col(f"`{c}`") for c in chosen}, semantics)
+    return done.select([F.col(f"`{own[c]}`").alias(c) if c in chosen else F.col(f"`{c}`") for c in df.columns])
 
 
 def missing_words(c: Column) -> Column:

@@ -1,25 +1,36 @@
 """Comparison without a key: rows as values.
 
-Rows are compared as structs of canonical cells, so no separator can make
-different rows look alike. Counting is a pre-aggregated shuffle; the joins back to
-the rows are on the same struct.
+A value is all canonical cells of a row, each with its length, so no separator can make
+different rows look alike. Values are told by their SHA-256 digest: 32 bytes are
+shuffled, sorted and compared instead of all cells. Counting is a pre-aggregated
+shuffle; rows of values that very many rows share (heavy.py) meet the counts by
+broadcast and aren't shuffled, so no task gets all copies of one.
 """
 
 from __future__ import annotations
 
+from functools import cached_property
+
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.normalize import with_canonical
+from .heavy import heavy_hashes, is_heavy
 from .keyed import ORDER, common_columns, with_order
 
 
 def valued(df: DataFrame, columns: list[str], order: str | None, semantics: str) -> DataFrame:
-    """Every row with its value: a struct of canonical cells."""
+    """Every row with its value, a struct of canonical cells, and the value's digest."""
     df = with_order(df, order)
-    row = F.struct(*[F.col(f"`{c}`").cast("string").alias(c) for c in df.columns if c != ORDER])
-    named = {f"v{k}": F.col(f"row.`{c}`") for k, c in enumerate(columns)}
-    done = with_canonical(df.select(ORDER, row.alias("row")), named, semantics)
-    return done.select(ORDER, "row", F.struct(*named).alias("value"))
+    shown = [c for c in df.columns if c != ORDER]
+    # Raw cells are columns of their own until the end, so that each is computed once and not wherever it is used.
+    raw = df.select(ORDER, *[F.col(f"`{c}`").cast("string").alias(f"r{k}") for k, c in enumerate(shown)])
+    named = {f"v{k}": F.col(f"r{shown.index(c)}") for k, c in enumerate(columns)}
+    done = with_canonical(raw, named, semantics)
+    row = F.struct(*[F.col(f"r{k}").alias(c) for k, c in enumerate(shown)]).alias("row")
+    cells = [x for v in named for x in (F.length(v).cast("string"), F.lit(":"), F.col(v))]
+    # Never null, and known to be: else every join on it would filter by the whole expression.
+    digest = F.coalesce(F.unhex(F.sha2(F.concat(*cells) if cells else F.lit(""), 256)), F.lit(b""))
+    return done.select(ORDER, row, F.struct(*named).alias("value"), digest.alias("digest"))
 
 
 class KeylessDiff:
@@ -45,20 +56,33 @@ class KeylessDiff:
         self.columns = left
         self.old, self.new = valued(old, left, order, semantics), valued(new, right, order, semantics)
 
+    @cached_property
+    def heavy(self) -> list[int]:
+        """Hashes of values with so many rows that they are kept out of shuffles; found by a job of its own, once."""
+        return heavy_hashes([self.old.select("digest"), self.new.select("digest")], "digest")
+
+    def _meet(self, rows: DataFrame, values: DataFrame, on: list[str], how: str) -> DataFrame:
+        """A semi or anti join of rows with a table of distinct values."""
+        if not self.heavy:
+            return rows.join(values, on, how)
+        hot = is_heavy(self.heavy, "digest")
+        return rows.where(~hot).join(values.where(~hot), on, how).unionByName(rows.where(hot).join(F.broadcast(values.where(hot)), on, how))
+
     def counts(self) -> DataFrame:
         """Per value: its copies on each side, where they differ; one pre-aggregated shuffle for both sides."""
-        both = self.old.select("value", F.lit(1).alias("o"), F.lit(0).alias("n")).unionAll(self.new.select("value", F.lit(0), F.lit(1)))
-        return both.groupBy("value").agg(F.sum("o").alias("n_old"), F.sum("n").alias("n_new")).where("n_old != n_new")
+        both = self.old.select("digest", F.lit(1).alias("o"), F.lit(0).alias("n")).unionAll(self.new.select("digest", F.lit(0), F.lit(1)))
+        return both.groupBy("digest").agg(F.sum("o").alias("n_old"), F.sum("n").alias("n_new")).where("n_old != n_new")
 
     def _side(self, mine: DataFrame, theirs: DataFrame, grew: Column) -> DataFrame:
         if not self.comparable:
             return mine.select(ORDER, "row") if self.multiset == "set" else mine.select(ORDER, "row").limit(0)
+        if self.multiset == "exact":
+            surplus = mine.select("value").exceptAll(theirs.select("value"))
+            return surplus.select(F.struct(*[F.col(f"value.v{k}").alias(c) for k, c in enumerate(self.columns)]).alias("row"))
+        mine = mine.select(ORDER, "row", "digest")
         if self.multiset == "set":
-            return mine.join(theirs.select("value").distinct(), "value", "left_anti").select(ORDER, "row")
-        if self.multiset == "count":
-            return mine.join(self.counts().where(grew).select("value"), "value", "left_semi").select(ORDER, "row")
-        surplus = mine.select("value").exceptAll(theirs.select("value"))
-        return surplus.select(F.struct(*[F.col(f"value.v{k}").alias(c) for k, c in enumerate(self.columns)]).alias("row"))
+            return self._meet(mine, theirs.select("digest").distinct(), ["digest"], "left_anti").select(ORDER, "row")
+        return self._meet(mine, self.counts().where(grew).select("digest"), ["digest"], "left_semi").select(ORDER, "row")
 
     def added(self) -> DataFrame:
         return self._side(self.new, self.old, F.col("n_new") > F.col("n_old"))
@@ -71,9 +95,9 @@ class KeylessDiff:
 
         In ``count`` mode values are counted once for both sides, and the rows of both sides meet the counts in one join.
         """
-        cut = lambda df, status: df.select(F.lit(status).alias("status"), ORDER, F.struct(*[F.col(f"row.`{c}`").alias(c) for c in self.columns]).alias("row"), *(["value"] if "value" in df.columns else []))
+        cut = lambda df, status: df.select(F.lit(status).alias("status"), ORDER, F.struct(*[F.col(f"row.`{c}`").alias(c) for c in self.columns]).alias("row"), *(["digest"] if "digest" in df.columns else []))
         if self.multiset != "count" or not self.comparable:
             return cut(self.added(), "added").unionByName(cut(self.removed(), "removed"))
         rows = cut(self.new, "added").unionByName(cut(self.old, "removed"))
-        grew = self.counts().select("value", F.when(F.col("n_new") > F.col("n_old"), "added").otherwise("removed").alias("status"))
-        return rows.join(grew, ["value", "status"], "left_semi").drop("value")
+        grew = self.counts().select("digest", F.when(F.col("n_new") > F.col("n_old"), "added").otherwise("removed").alias("status"))
+        return self._meet(rows, grew, ["digest", "status"], "left_semi").drop("digest")

@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 
 from ..functions.names import match_name, unique_names
+from ..operators.keyed import ORDER
 
 
 def aligned_names(new: Sequence[str], old: Sequence[str], semantics: str = "v2", revisit: bool = False) -> list[str]:
@@ -36,7 +37,7 @@ def aligned_names(new: Sequence[str], old: Sequence[str], semantics: str = "v2",
 
 
 def align(new: DataFrame, old: DataFrame, semantics: str = "v2", revisit: bool = False) -> DataFrame:
-    hidden = [c for c in new.columns if c.startswith("__")]
-    shown = [c for c in new.columns if not c.startswith("__")]
-    names = aligned_names(shown, [c for c in old.columns if not c.startswith("__")], semantics, revisit)
+    hidden = [c for c in new.columns if c == ORDER]
+    shown = [c for c in new.columns if c != ORDER]
+    names = aligned_names(shown, [c for c in old.columns if c != ORDER], semantics, revisit)
     return new.select(*[new[f"`{c}`"].alias(n) for c, n in zip(shown, names)], *[new[f"`{c}`"] for c in hidden])

@@ -58,7 +58,7 @@ def compare_tables(old: DataFrame, new: DataFrame, keys: str | list[str] = (), s
     if not aligned:
         new = align(new, old, semantics)
     columns = common_columns(old, new)
-    shown = lambda df: df.select([F.col(f"`{c}`") for c in df.columns if not c.startswith("__")])
+    shown = lambda df: df.select([F.col(f"`{c}`") for c in df.columns if c != ORDER])
     chosen, description = choose_key(shown(old), shown(new), wanted, semantics, composite)
     cut = report.truncation(shown(old), shown(new))
     if chosen:
@@ -71,9 +71,8 @@ def compare_tables(old: DataFrame, new: DataFrame, keys: str | list[str] = (), s
     found = diff.both()
     if reconcile and semantics != "v1" and columns:
         found = staged(found)  # rows are numbered here for the last time, whatever their source does when it is read again
-    pick = lambda side, rid: found.where(F.col("status") == side).select(F.col(ORDER).alias(rid), *[F.col(f"row.`{c}`").alias(c) for c in columns])
+    pick = lambda side, rid: found.where(F.col("status") == side).select(F.col(ORDER).alias(rid), "row")
     removed, added = pick("removed", "ri"), pick("added", "ai")
-    whole = F.struct(*[F.col(f"`{c}`") for c in columns])
     none = F.array().cast("array<string>")
     pieces = []
     if reconcile and semantics != "v1" and columns:
@@ -81,7 +80,7 @@ def compare_tables(old: DataFrame, new: DataFrame, keys: str | list[str] = (), s
         pairs = with_changed(matched.changed(), columns, [], semantics=semantics)
         pieces.append(pairs.select(F.lit("changed").alias("status"), F.lit("").alias("key"), F.col("ri").alias("rid"), "old", "new", "changed_cols"))
         removed, added = matched.still_removed(), matched.still_added()
-    row = removed.select(whole.alias("old")).schema["old"].dataType
+    row, whole = removed.schema["row"].dataType, F.col("row")
     pieces.append(added.select(F.lit("added").alias("status"), F.lit("").alias("key"), F.col("ai").alias("rid"), F.lit(None).cast(row).alias("old"), whole.alias("new"), none.alias("changed_cols")))
     pieces.append(removed.select(F.lit("removed").alias("status"), F.lit("").alias("key"), F.col("ri").alias("rid"), whole.alias("old"), F.lit(None).cast(row).alias("new"), none.alias("changed_cols")))
     out = pieces[0]

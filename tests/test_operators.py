@@ -91,7 +91,7 @@ def test_groups_of_like_rows_follow_the_rule(spark):
         likes = [[(a, rnd.randint(1, 3)) for a in rnd.sample(range(30), rnd.randint(1, 25))] for _ in range(5)]
         edges = [(r, a, n) for r in range(40) for a, n in likes[rnd.randrange(5)]]
         for few in (0, 1000):
-            got = assign(spark.createDataFrame(edges, "ri long, ai long, n_equal int"), few=few)
+            got = assign(spark.createDataFrame(edges, "ri long, ai long, n_equal int"), giant=few)
             assert sorted((x.ri, x.ai) for x in got.collect()) == sorted(assign_in_order(edges))
 
 
@@ -193,4 +193,4 @@ def test_seq_similarity_equals_brute_force(spark):
 def test_ties_beyond_what_the_driver_takes(spark):
     n = 150
     edges = spark.range(n).selectExpr("id AS ri").join(spark.range(n).selectExpr("id AS ai", "2 AS n_equal"))
-    assert sorted((r.ri, r.ai) for r in assign(edges, few=1000).collect()) == [(k, k) for k in range(n)]
+    assert sorted((r.ri, r.ai) for r in assign(edges, giant=1000).collect()) == [(k, k) for k in range(n)]
