@@ -324,10 +324,10 @@ def _reconcile_sides(spark, sf_dir):
     return side(0, "ri", 40), side(1, "ai", 39)
 
 
-@query(f"WITH {_RECONCILE} SELECT ri, ai, n_equal FROM (SELECT r.ri, a.ai, " + " + ".join(f"CASE WHEN {canonical_sql('r.' + c)} = {canonical_sql('a.' + c)} THEN 1 ELSE 0 END" for c in _CELLS) + " AS n_equal FROM r CROSS JOIN a) WHERE n_equal >= 3")
+@query(f"WITH {_RECONCILE} SELECT ri, ai, n_equal FROM (SELECT r.ri, a.ai, " + " + ".join(f"CASE WHEN {canonical_sql('r.' + c)} = {canonical_sql('a.' + c)} THEN 1 ELSE 0 END" for c in _CELLS) + " AS n_equal FROM r CROSS JOIN a) WHERE n_equal >= 2")
 def reconcile_edges(spark, sf_dir):
     removed, added = _reconcile_sides(spark, sf_dir)
-    return candidate_pairs(removed, added, _CELLS, 0.75).select("ri", "ai", "n_equal")
+    return candidate_pairs(removed, added, _CELLS).select("ri", "ai", "n_equal")
 
 
 @query()
