@@ -215,13 +215,20 @@ def summary_counts(spark, sf_dir):
     return report.summary(_orders(spark, sf_dir).result())
 
 
-_PER_STATUS = "SELECT o_orderpriority AS pair_id, count(*) FILTER (o_orderkey % 31 = 0 AND o_orderpriority <> '5-LOW') AS n_changed, 0 AS n_added, count(*) FILTER (o_orderkey % 97 = 0 AND o_orderpriority <> '5-LOW') AS n_removed FROM orders GROUP BY o_orderpriority"
+_PER_STATUS = "SELECT o_orderpriority AS pair_id, count(*) FILTER (o_orderkey % 31 = 0 AND o_orderkey % 97 <> 0 AND o_orderpriority <> '5-LOW') AS n_changed, 0 AS n_added, count(*) FILTER (o_orderkey % 97 = 0 AND o_orderpriority <> '5-LOW') AS n_removed FROM orders GROUP BY o_orderpriority"
 
 
 @query(f"SELECT count(*) AS n_pairs, count(*) FILTER (n_changed + n_added + n_removed > 0) AS n_pairs_differ, coalesce(bool_and(n_changed + n_added + n_removed = 0), true) AS identical FROM ({_PER_STATUS})")
 def run_summary(spark, sf_dir):
+    """A pair of tables for each priority, compared by key; every pair counts, also one without differences."""
+    o = table(spark, sf_dir, "orders").select("o_orderkey", "o_totalprice", "o_orderpriority")
     k, own = F.col("o_orderkey"), F.col("o_orderpriority") != "5-LOW"
-    per = table(spark, sf_dir, "orders").groupBy(F.col("o_orderpriority").alias("pair_id")).agg(F.count(F.when((k % 31 == 0) & own, 1)).alias("n_changed"), F.lit(0).alias("n_added"), F.count(F.when((k % 97 == 0) & own, 1)).alias("n_removed"))
+    new = o.where(~own | (k % 97 != 0)).withColumn("o_totalprice", F.when(own & (k % 31 == 0), F.round(F.col("o_totalprice") + 1, 2)).otherwise(F.col("o_totalprice")))
+    found = KeyedDiff(o, new, ["o_orderpriority", "o_orderkey"], order="o_orderkey").result()
+    found = found.select(F.coalesce("old.o_orderpriority", "new.o_orderpriority").alias("pair_id"), "status")
+    pairs = o.select(F.col("o_orderpriority").alias("pair_id"), F.lit(None).cast("string").alias("status"))
+    count = lambda s: F.count(F.when(F.col("status") == s, 1)).alias(f"n_{s}")
+    per = found.unionByName(pairs).groupBy("pair_id").agg(count("changed"), count("added"), count("removed"))
     return report.run_summary(per)
 
 
@@ -403,7 +410,7 @@ def header_score(spark, sf_dir):
     return c.select("grid", "r", cells.alias("cells")).groupBy("grid").applyInPandas(find, "grid long, header_row int")
 
 
-_SHAPES = "SELECT doc_id, 1 AS form, source AS v FROM documents UNION ALL SELECT doc_id, 2, CAST(n_chars AS VARCHAR) || CASE doc_id % 4 WHEN 0 THEN '.5' WHEN 1 THEN '-' WHEN 2 THEN '.' ELSE 'x' END FROM documents UNION ALL SELECT doc_id, 3, left(text, 1 + doc_id % 60) FROM documents"
+_SHAPES = "SELECT doc_id, 1 AS form, source AS v FROM documents UNION ALL SELECT doc_id, 2, CAST(n_chars AS VARCHAR) || CASE doc_id % 4 WHEN 0 THEN '.5' WHEN 1 THEN '-' WHEN 2 THEN '.' ELSE 'x' END FROM documents UNION ALL SELECT doc_id, 3, text FROM documents"
 
 
 @query(f"SELECT doc_id, form, coalesce(regexp_matches(regexp_replace(regexp_replace(v, '[.]', ''), '-', ''), '^[0-9]+$'), false) AS numeric, coalesce(length(v) < 40 AND regexp_matches(ltrim(v, ' '), '^[A-Za-z]'), false) AS name_like FROM ({_SHAPES})")
@@ -411,7 +418,7 @@ def cell_shapes(spark, sf_dir):
     """Which cells look like numbers and which like column names: the signs that header rows are told by."""
     d, k = table(spark, sf_dir, "documents"), F.col("doc_id") % 4
     tail = F.when(k == 0, ".5").when(k == 1, "-").when(k == 2, ".").otherwise("x")
-    long = d.select("doc_id", F.posexplode(F.array("source", F.concat(F.col("n_chars").cast("string"), tail), F.expr("left(text, int(1 + doc_id % 60))"))).alias("p", "v"))
+    long = d.select("doc_id", F.posexplode(F.array("source", F.concat(F.col("n_chars").cast("string"), tail), "text")).alias("p", "v"))
     sure = lambda c: F.coalesce(c, F.lit(False))
     return long.select("doc_id", (F.col("p") + 1).alias("form"), sure(names.looks_numeric("v")).alias("numeric"), sure(names.looks_like_name("v")).alias("name_like"))
 
