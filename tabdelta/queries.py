@@ -5,19 +5,18 @@ from __future__ import annotations
 from collections.abc import Callable
 from hashlib import md5
 
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from .fixtures import LINEITEM_SQL, ORDERS_SQL, SHIFT, lineitem_pair, orders_pair, table
 from .functions import names
 from .functions.normalize import FALSE_WORDS, NA_WORDS, NUMBER, TRUE_WORDS, with_canonical
 from .operators import report
+from .operators.header_rows import header_rows
 from .operators.keyed import KEY, ORDER, KeyedDiff
 from .operators.keyless import KeylessDiff
 from .operators.keys import choose_key, uniqueness_frame
 from .operators.reconcile import assign, candidate_pairs
 from .operators.staging import scratch
-from .plans.headers import by_score
 from .plans.pairing import pair_files, unmatched, with_manual
 from .sources.delimited import read_delimited
 
@@ -398,16 +397,15 @@ def header_score(spark, sf_dir):
     """The header row of forty sheets of customers, with up to three rows above the header; some headers repeat a name."""
     c = table(spark, sf_dir, "customer").withColumn("grid", F.col("c_custkey") % 40)
     c = c.withColumn("r", F.row_number().over(Window.partitionBy("grid").orderBy("c_custkey"))).where("r <= 20")
-    cells = F.array(F.col("c_custkey").cast("string"), F.col("c_name"), F.col("c_nationkey").cast("string"), F.when(F.col("c_custkey") % 7 != 0, F.col("c_mktsegment")))
-
-    def find(rows):
-        g = int(rows["grid"].iloc[0])
-        body = [list(x) for x in rows.sort_values("r")["cells"]]
-        above = [[f"List {g}", "2024" if g % 2 == 0 else None, None, None]] * (g % 4)
-        at = by_score([*above, ["ID", "Customer Name", "ID" if g % 3 == 0 else "Nation", "Segment"], *body])
-        return pd.DataFrame({"grid": [g], "header_row": [at]})
-
-    return c.select("grid", "r", cells.alias("cells")).groupBy("grid").applyInPandas(find, "grid long, header_row int")
+    at, g = F.col("grid") % 4, F.col("grid")
+    line = lambda df, row, *cells: df.select("grid", row.cast("int").alias("row_idx"), F.posexplode(F.array(*cells)).alias("col_idx", "value"))
+    body = line(c, F.col("r") + at, F.col("c_custkey").cast("string"), F.col("c_name"), F.col("c_nationkey").cast("string"), F.when(F.col("c_custkey") % 7 != 0, F.col("c_mktsegment")))
+    grids = c.select("grid").distinct()
+    head = line(grids, at, F.lit("ID"), F.lit("Customer Name"), F.when(g % 3 == 0, "ID").otherwise("Nation"), F.lit("Segment"))
+    above = grids.where(at > 0).select("grid", F.explode(F.sequence(F.lit(0), at - 1)).alias("above"))
+    above = line(above, F.col("above"), F.concat(F.lit("List "), g.cast("string")), F.when(g % 2 == 0, "2024"))
+    cells = body.unionByName(head).unionByName(above).withColumns({"is_string": F.lit(True), "bold": F.lit(False)})
+    return header_rows(cells, ["grid"])
 
 
 _SHAPES = "SELECT doc_id, 1 AS form, source AS v FROM documents UNION ALL SELECT doc_id, 2, CAST(n_chars AS VARCHAR) || CASE doc_id % 4 WHEN 0 THEN '.5' WHEN 1 THEN '-' WHEN 2 THEN '.' ELSE 'x' END FROM documents UNION ALL SELECT doc_id, 3, text FROM documents"
