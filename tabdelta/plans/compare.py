@@ -16,7 +16,7 @@ from ..operators import report
 from ..operators.keyed import ORDER, KeyedDiff, common_columns, with_changed, with_order
 from ..operators.keyless import KeylessDiff
 from ..operators.keys import choose_key
-from ..operators.reconcile import Reconciled
+from ..operators.blocks import Reconciled
 from ..operators.staging import staged
 from .align import align
 

@@ -11,11 +11,12 @@ from .fixtures import LINEITEM_SQL, ORDERS_SQL, SHIFT, lineitem_pair, orders_pai
 from .functions import names
 from .functions.normalize import FALSE_WORDS, NA_WORDS, NUMBER, TRUE_WORDS, with_canonical
 from .operators import report
+from .operators.blocks import match_rows
 from .operators.header_rows import header_rows
 from .operators.keyed import KEY, ORDER, KeyedDiff
 from .operators.keyless import KeylessDiff
 from .operators.keys import choose_key, uniqueness_frame
-from .operators.reconcile import assign, candidate_pairs
+from .operators.reconcile import candidate_pairs
 from .operators.staging import scratch
 from .plans.pairing import pair_files, unmatched, with_manual
 from .sources.delimited import read_delimited
@@ -339,7 +340,7 @@ def reconcile_edges(spark, sf_dir):
 @query()
 def reconcile_match(spark, sf_dir):
     removed, added = _reconcile_sides(spark, sf_dir)
-    return assign(candidate_pairs(removed, added, _CELLS))
+    return match_rows(removed, added, _CELLS)
 
 
 # -- metadata ---------------------------------------------------------------------------------------------------

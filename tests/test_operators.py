@@ -7,7 +7,8 @@ from tabdelta.operators import report
 from tabdelta.operators.keyed import KEY, KeyedDiff
 from tabdelta.operators.keyless import KeylessDiff
 from tabdelta.operators.keys import choose_key
-from tabdelta.operators.reconcile import Reconciled, assign, assign_in_order, candidate_pairs
+from tabdelta.operators.blocks import Reconciled
+from tabdelta.operators.reconcile import assign, assign_in_order, candidate_pairs
 from tabdelta.plans.compare import combined, compare_tables, compare_workbooks
 
 
