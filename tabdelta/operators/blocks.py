@@ -79,7 +79,7 @@ class Component:
                 self.everything.append(entry)
         self.ids[node].append(ai)
 
-    def pair(self, node: int, other: int, n: int) -> None:
+    def pair(self, node: int, other: int, n: float) -> None:
         """A pair of an added and a removed node; pairs come by falling n and then rising added node."""
         tiers = self.tiers.setdefault(other, [])
         if not tiers or tiers[-1][0] != n:
@@ -187,6 +187,33 @@ def _block_edges(r: Nodes, a: Nodes, sets: list[tuple[int, ...]]) -> DataFrame:
     return meet(held.select("u", "v"), shared, ["v"], heavy_hashes([held.select("v")], "v"))
 
 
+def dealt_entries(r: Nodes, a: Nodes, pairs: DataFrame | None, edges: DataFrame | None, n_sets: int = 0, giant: int = GIANT) -> tuple[DataFrame, DataFrame | None]:
+    """Entries (label, kind, n, id, node, cells) for ``walk``, whole components to a task each, and those of components with over ``giant`` of them.
+
+    ``edges`` (u, v) connect the nodes, None where all are one component. ``n_sets`` is the number of blocks of a node, 0 where there are ``pairs``.
+    The cells go with the first row of a node, and only to blocks.
+    """
+    labels = None if edges is None else staged(components(edges))
+    hot = [] if edges is None else heavy_hashes([s.rows.select("node") for s in (r, a)], "node")
+    one = F.lit(0).cast("long")
+
+    def labelled(side: Nodes, kind: int) -> DataFrame:
+        known = side.nodes.withColumn("label", one) if edges is None else side.nodes.join(labels.toDF("of", "label"), _name(kind) == F.col("of")).drop("of")
+        cells = F.when(F.col("id") == F.col("node"), F.col("cells")) if n_sets else F.lit(None).cast("array<string>")
+        return meet(side.rows, known, ["node"], hot).select("label", F.lit(kind).alias("kind"), F.lit(0.0).alias("n"), "id", "node", cells.alias("cells"))
+
+    entries = labelled(a, ADDED).unionAll(labelled(r, REMOVED))
+    if pairs is not None:
+        of = pairs.withColumn("label", one) if edges is None else pairs.join(labels.toDF("of", "label"), _name(ADDED, "an") == F.col("of"))
+        entries = entries.unionAll(of.select("label", F.lit(PAIR), F.col("n").cast("double"), F.col("an"), F.col("rn"), F.lit(None).cast("array<string>")))
+    entries = staged(entries)
+    weight = F.when(F.col("cells").isNotNull(), n_sets).otherwise(1).cast("long")
+    large = [x.label for x in entries.groupBy("label").agg(F.sum(weight).alias("w")).where(F.col("w") > giant).select("label").collect()]  # one per ``giant`` entries at most
+    dealt = entries.where(~F.col("label").isin(large)) if large else entries
+    dealt = dealt.repartition("label").sortWithinPartitions("label", "kind", F.desc("n"), "id")
+    return dealt, entries.where(F.col("label").isin(large)) if large else None
+
+
 def match_rows(removed: DataFrame, added: DataFrame, columns: list[str], threshold: float = 0.5, semantics: str = "v2", giant: int = GIANT, source: str | None = None) -> DataFrame:
     """(ri, ai): the one-to-one assignment of all rows with at least ``threshold`` of the columns equal.
 
@@ -234,29 +261,11 @@ def match_rows(removed: DataFrame, added: DataFrame, columns: list[str], thresho
         pairs = staged(_pairs(r, a, rare or _rarest(r, a, m - least + 1), m, least)) if m else spark.createDataFrame([], "rn long, an long, n int")
         edges = None if all_qualify else pairs.select(_name(REMOVED, "rn").alias("u"), _name(ADDED, "an").alias("v"))
 
-    labels = None if all_qualify else staged(components(edges))
-    hot = [] if all_qualify else heavy_hashes([s.rows.select("node") for s in (r, a)], "node")
-
-    def labelled(side: Nodes, kind: int) -> DataFrame:
-        """(label, kind, n, id, node, cells) of the rows of a side; the cells go with the first row of a node, and only to blocks."""
-        known = side.nodes.withColumn("label", F.lit(0).cast("long")) if all_qualify else side.nodes.join(labels.toDF("of", "label"), _name(kind) == F.col("of")).drop("of")
-        cells = F.when(F.col("id") == F.col("node"), F.col("cells")) if subsets is not None else F.lit(None).cast("array<string>")
-        return meet(side.rows, known, ["node"], hot).select("label", F.lit(kind).alias("kind"), F.lit(0).alias("n"), "id", "node", cells.alias("cells"))
-
-    entries = labelled(a, ADDED).unionAll(labelled(r, REMOVED))
-    if pairs is not None:
-        of = pairs.withColumn("label", F.lit(0).cast("long")) if all_qualify else pairs.join(labels.toDF("of", "label"), _name(ADDED, "an") == F.col("of"))
-        entries = entries.unionAll(of.select("label", F.lit(PAIR), "n", F.col("an"), F.col("rn"), F.lit(None).cast("array<string>")))
-    entries = staged(entries)
-    weight = F.when(F.col("cells").isNotNull(), n_sets).otherwise(1).cast("long")
-    large = [x.label for x in entries.groupBy("label").agg(F.sum(weight).alias("w")).where(F.col("w") > giant).select("label").collect()]  # one per ``giant`` entries at most
-    dealt = entries.where(~F.col("label").isin(large)) if large else entries
-    dealt = dealt.repartition("label").sortWithinPartitions("label", "kind", F.desc("n"), "id")
-    done = dealt.select("label", "kind", "n", "id", "node", "cells").mapInArrow(walk(subsets, all_qualify), "ri long, ai long")
-    if not large:
+    dealt, large = dealt_entries(r, a, pairs, edges, n_sets if subsets is not None else 0, giant)
+    done = dealt.mapInArrow(walk(subsets, all_qualify), "ri long, ai long")
+    if large is None:
         return done
-    rest = entries.where(F.col("label").isin(large))
-    of = lambda df, rid, kind: df.join(rest.where(F.col("kind") == kind).select(F.col("id").alias(rid)), rid, "left_semi")
+    of = lambda df, rid, kind: df.join(large.where(F.col("kind") == kind).select(F.col("id").alias(rid)), rid, "left_semi")
     return done.unionByName(assign(candidate_pairs(of(removed, "ri", REMOVED), of(added, "ai", ADDED), columns, threshold, semantics), giant=giant))
 
 

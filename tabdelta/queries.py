@@ -12,6 +12,7 @@ from .functions import names
 from .functions.normalize import FALSE_WORDS, NA_WORDS, NUMBER, TRUE_WORDS, with_canonical
 from .operators import report
 from .operators.blocks import match_rows
+from .operators.catalogue import pair_catalogues
 from .operators.header_rows import header_rows
 from .operators.keyed import KEY, ORDER, KeyedDiff
 from .operators.keyless import KeylessDiff
@@ -362,6 +363,16 @@ def pair_matching(spark, sf_dir):
     return spark.createDataFrame([(p.old, p.new, p.origin) for p in pairs], "old string, new string, origin string")
 
 
+@query()
+def catalogue_pairs(spark, sf_dir):
+    """All page addresses as file names of two years, a word of them altered, paired by similarity."""
+    p = table(spark, sf_dir, "pages")
+    flat = F.regexp_replace("url", "[./]", "-")
+    old = p.select(F.col("page_id").alias("id"), F.concat(flat, F.lit("_2023.xlsx")).alias("name"))
+    new = p.select((-F.col("page_id")).alias("id"), F.concat(F.regexp_replace(flat, "example", "sample"), F.lit("_2024.csv")).alias("name"))
+    return pair_catalogues(old, new, ignore_suffix=True)
+
+
 @query("""SELECT n_name || '.xlsx' AS name, CASE WHEN n_regionkey = 3 THEN 'old' ELSE 'new' END AS side FROM nation WHERE n_regionkey IN (1, 3)""")
 def unmatched_files(spark, sf_dir):
     """Files of which the nations of a region each are missing on one side."""
