@@ -187,6 +187,17 @@ def _block_edges(r: Nodes, a: Nodes, sets: list[tuple[int, ...]]) -> DataFrame:
     return meet(held.select("u", "v"), shared, ["v"], heavy_hashes([held.select("v")], "v"))
 
 
+def linked(pairs: DataFrame) -> DataFrame:
+    """(u, v): edges that connect the same nodes as the pairs (rn, an), but few where pairs are dense.
+
+    Each removed node is tied to its least partner, and its other partners to that one too; removed nodes with the same
+    least partner mostly repeat those edges, which partial aggregation drops where they arise.
+    """
+    least = pairs.groupBy("rn").agg(F.min("an").alias("m"))
+    others = pairs.join(least, "rn").where("an != m").select("an", "m").distinct()
+    return least.select(_name(REMOVED, "rn").alias("u"), _name(ADDED, "m").alias("v")).unionAll(others.select(_name(ADDED, "an"), _name(ADDED, "m")))
+
+
 def dealt_entries(r: Nodes, a: Nodes, pairs: DataFrame | None, edges: DataFrame | None, n_sets: int = 0, giant: int = GIANT) -> tuple[DataFrame, DataFrame | None]:
     """Entries (label, kind, n, id, node, cells) for ``walk``, whole components to a task each, and those of components with over ``giant`` of them.
 
@@ -206,7 +217,6 @@ def dealt_entries(r: Nodes, a: Nodes, pairs: DataFrame | None, edges: DataFrame
     if pairs is not None:
         of = pairs.withColumn("label", one) if edges is None else pairs.join(labels.toDF("of", "label"), _name(ADDED, "an") == F.col("of"))
         entries = entries.unionAll(of.select("label", F.lit(PAIR), F.col("n").cast("double"), F.col("an"), F.col("rn"), F.lit(None).cast("array<string>")))
-    entries = staged(entries)
     weight = F.when(F.col("cells").isNotNull(), n_sets).otherwise(1).cast("long")
     large = [x.label for x in entries.groupBy("label").agg(F.sum(weight).alias("w")).where(F.col("w") > giant).select("label").collect()]  # one per ``giant`` entries at most
     dealt = entries.where(~F.col("label").isin(large)) if large else entries
@@ -259,7 +269,7 @@ def match_rows(removed: DataFrame, added: DataFrame, columns: list[str], thresho
     else:
         subsets = None
         pairs = staged(_pairs(r, a, rare or _rarest(r, a, m - least + 1), m, least)) if m else spark.createDataFrame([], "rn long, an long, n int")
-        edges = None if all_qualify else pairs.select(_name(REMOVED, "rn").alias("u"), _name(ADDED, "an").alias("v"))
+        edges = None if all_qualify else linked(pairs)
 
     dealt, large = dealt_entries(r, a, pairs, edges, n_sets if subsets is not None else 0, giant)
     done = dealt.mapInArrow(walk(subsets, all_qualify), "ri long, ai long")

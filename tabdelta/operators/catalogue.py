@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, functions as F, types as T
 
 from ..functions.matching import ratios
 from ..functions.names import comparable_column
-from .blocks import ADDED, REMOVED, Nodes, _name, dealt_entries, walk
+from .blocks import ADDED, REMOVED, Nodes, dealt_entries, linked, walk
 from .heavy import heavy_hashes
 from .reconcile import GIANT, assign
 from .staging import staged
@@ -75,7 +75,7 @@ def pair_catalogues(old: DataFrame, new: DataFrame, threshold: float = THRESHOLD
     hot = heavy_hashes([s.select("cells") for s in rows], "cells")
     r, a = Nodes(rows[0], hot), Nodes(rows[1], hot)
     pairs = staged(similar_names(*[s.nodes.select("node", F.col("cells")[0].alias("name")) for s in (r, a)], threshold))
-    dealt, large = dealt_entries(r, a, pairs, pairs.select(_name(REMOVED, "rn").alias("u"), _name(ADDED, "an").alias("v")), giant=giant)
+    dealt, large = dealt_entries(r, a, pairs, linked(pairs), giant=giant)
     done = dealt.mapInArrow(walk(None, False), "ri long, ai long")
     if large is not None:
         of = lambda kind, rid, node: large.where(F.col("kind") == kind).select(F.col("id").alias(rid), F.col("node").alias(node))
