@@ -24,6 +24,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 from ..functions.names import extension, header_index, unique_names
 from ..functions.normalize import missing_words
 from ..plans.headers import ROWS_NEEDED, Styles, effective_rows, header_row
+from .delimited import head
 
 _OLE = b"\xd0\xcf\x11\xe0\xa1\xb1\x1a\xe1"
 
@@ -115,23 +116,37 @@ def parse_book(data: bytes, ext: str, password: str | None = None, max_rows: int
         return [s for s in (_ods(z, max_rows) if ext == "ods" else _xlsx(z, max_rows, only, styled)) if only in (None, s.name)]
 
 
-def _xlsx(z: zipfile.ZipFile, max_rows: int | None, only: str | None, styled: bool) -> Iterator[Sheet]:
-    names = set(z.namelist())
-    strings = []
-    if "xl/sharedStrings.xml" in names:
-        for item in ET.fromstring(z.read("xl/sharedStrings.xml")):
-            strings.append("".join(t.text or "" for t in item.iter() if _local(t.tag) == "t"))
-    bold, dates = _styles(z) if styled and "xl/styles.xml" in names else ([], [])
+def sheet_members(z: zipfile.ZipFile) -> Iterator[tuple[str, bool, str]]:
+    """(name, visible, member of the package) of the sheets of an xlsx workbook, in their order."""
     relations = {r.get("Id"): r.get("Target") for r in ET.fromstring(z.read("xl/_rels/workbook.xml.rels"))}
     for s in ET.fromstring(z.read("xl/workbook.xml")).iter():
-        if _local(s.tag) != "sheet" or only not in (None, s.get("name")):
-            continue
-        rid = next(v for k, v in s.attrib.items() if _local(k) == "id")
-        target = relations[rid].lstrip("/")
-        sheet = Sheet(s.get("name"), s.get("state", "visible") == "visible")
-        with z.open(target if target.startswith("xl/") else f"xl/{target}") as f:
-            _xlsx_sheet(f, sheet, strings, bold, dates, max_rows)
-        yield sheet
+        if _local(s.tag) == "sheet":
+            target = relations[next(v for k, v in s.attrib.items() if _local(k) == "id")].lstrip("/")
+            yield s.get("name"), s.get("state", "visible") == "visible", target if target.startswith("xl/") else f"xl/{target}"
+
+
+def string_text(item: ET.Element) -> str:
+    """The text of a string item or an inline string: plain or in runs, without its phonetic reading."""
+    runs = [item, *(x for x in item if _local(x.tag) == "r")]
+    return "".join(t.text or "" for x in runs for t in x if _local(t.tag) == "t")
+
+
+def _xlsx(z: zipfile.ZipFile, max_rows: int | None, only: str | None, styled: bool) -> Iterator[Sheet]:
+    strings = []
+    if "xl/sharedStrings.xml" in z.namelist():
+        strings = [string_text(x) for x in ET.fromstring(z.read("xl/sharedStrings.xml")) if _local(x.tag) == "si"]
+    bold, dates = styles_of(z, styled)
+    for name, visible, member in sheet_members(z):
+        if only in (None, name):
+            sheet = Sheet(name, visible)
+            with z.open(member) as f:
+                _xlsx_sheet(f, sheet, strings, bold, dates, max_rows)
+            yield sheet
+
+
+def styles_of(z: zipfile.ZipFile, styled: bool = True) -> tuple[list[bool], list[bool]]:
+    """Which cell formats are bold, and which show dates."""
+    return _styles(z) if styled and "xl/styles.xml" in z.namelist() else ([], [])
 
 
 def _styles(z: zipfile.ZipFile) -> tuple[list[bool], list[bool]]:
@@ -152,6 +167,42 @@ def _styles(z: zipfile.ZipFile) -> tuple[list[bool], list[bool]]:
     return bold, dates
 
 
+def hidden_range(col: ET.Element) -> range:
+    """The columns that a ``col`` element hides."""
+    return range(int(col.get("min")) - 1, int(col.get("max"))) if col.get("hidden") in ("1", "true") else range(0)
+
+
+def merged_range(ref: str) -> tuple[int, int, int, int]:
+    """First row, last row, first column, last column of a merged range."""
+    a, _, b = ref.partition(":")
+    line = lambda r: int(re.search(r"\d+", r).group()) - 1
+    return line(a), line(b or a), _column(a), _column(b or a)
+
+
+def row_cells(row: ET.Element, bold, dates) -> Iterator[tuple[int, str, bool, bool, bool]]:
+    """(column, value, is text, bold, shared) of the cells of a row; the value of a shared string is its number."""
+    at = -1
+    for c in row:
+        if _local(c.tag) != "c":
+            continue
+        at = _column(c.get("r")) if c.get("r") else at + 1
+        style, kind = int(c.get("s", 0)), c.get("t", "n")
+        is_bold = style < len(bold) and bool(bold[style])
+        raw = next((p.text for p in c if _local(p.tag) == "v"), None)
+        if kind == "inlineStr":
+            yield at, "".join(string_text(p) for p in c if _local(p.tag) == "is"), True, is_bold, False
+        elif raw is None:
+            continue
+        elif kind == "s":
+            yield at, raw, True, is_bold, True
+        elif kind == "b":
+            yield at, "True" if raw == "1" else "False", False, is_bold, False
+        elif kind in ("str", "e", "d"):
+            yield at, raw, kind == "str", is_bold, False
+        else:
+            yield at, _date_text(raw) if style < len(dates) and dates[style] else number_text(raw), False, is_bold, False
+
+
 def _xlsx_sheet(stream, sheet: Sheet, strings, bold, dates, max_rows) -> None:
     row = -1
     for event, x in ET.iterparse(stream, events=("start", "end")):
@@ -160,36 +211,14 @@ def _xlsx_sheet(stream, sheet: Sheet, strings, bold, dates, max_rows) -> None:
             if kind == "row":
                 row = int(x.get("r", row + 2)) - 1
             continue
-        if kind == "col" and x.get("hidden") in ("1", "true"):
-            sheet.hidden_columns.update(range(int(x.get("min")) - 1, int(x.get("max"))))
+        if kind == "col":
+            sheet.hidden_columns.update(hidden_range(x))
         elif kind == "mergeCell":
-            a, _, b = x.get("ref").partition(":")
-            b = b or a
-            line = lambda ref: int(re.search(r"\d+", ref).group()) - 1
-            sheet.merges.append((line(a), line(b), _column(a), _column(b)))
+            sheet.merges.append(merged_range(x.get("ref")))
         elif kind == "row":
             if max_rows is None or row < max_rows:
-                at = -1
-                for c in x:
-                    at = _column(c.get("r")) if c.get("r") else at + 1
-                    parts = {_local(p.tag): p for p in c}
-                    style = int(c.get("s", 0))
-                    is_bold = style < len(bold) and bold[style]
-                    raw = parts["v"].text if "v" in parts else None
-                    kind_of = c.get("t", "n")
-                    if kind_of == "inlineStr":
-                        value, text = "".join(t.text or "" for t in c.iter() if _local(t.tag) == "t"), True
-                    elif raw is None:
-                        continue
-                    elif kind_of == "s":
-                        value, text = strings[int(raw)], True
-                    elif kind_of == "b":
-                        value, text = ("True" if raw == "1" else "False"), False
-                    elif kind_of in ("str", "e", "d"):
-                        value, text = raw, kind_of == "str"
-                    else:
-                        value, text = (_date_text(raw) if style < len(dates) and dates[style] else number_text(raw)), False
-                    sheet.cells[row, at] = (value, text, is_bold)
+                for at, value, text, is_bold, shared in row_cells(x, bold, dates):
+                    sheet.cells[row, at] = (strings[int(value)] if shared else value, text, is_bold)
             x.clear()
 
 
@@ -331,8 +360,18 @@ def read_workbook(spark: SparkSession, path: str, keys=(), sheets: str = "all",
     Overrides are 1-based rows within 1..100. Where the workbook can't be read so, ``on_error='fallback'`` reads it
     once more without styles, with row 0 as header, and returns no header rows.
     """
-    data, ext = _bytes(spark, path), extension(path)
     effective_rows({}, header_overrides)
+    ext = extension(path)
+    if ext in ("xlsx", "xlsm") and head(spark, path, len(_OLE)) != _OLE:  # else a decoder registered in this process takes it
+        from .worksheets import read_sheets
+
+        try:
+            return read_sheets(spark, path, keys, sheets, hidden_columns, header_overrides, password, semantics)
+        except Exception:
+            if on_error != "fallback":
+                raise
+            return read_sheets(spark, path, (), sheets, hidden_columns, styled=False, detect=False)[0], {}
+    data = _bytes(spark, path)
     hidden = lambda s: sheets == "visible" and not s.visible
     try:
         tables, rows = {}, {}
