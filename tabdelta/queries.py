@@ -20,7 +20,9 @@ from .operators.keys import choose_key, uniqueness_frame
 from .operators.reconcile import candidate_pairs
 from .operators.staging import scratch
 from .plans.pairing import pair_files, unmatched, with_manual
+from .sinks.books import write_books
 from .sources.delimited import read_delimited
+from .sources.worksheets import cells, pieces
 
 COLUMNS = ["o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice", "o_orderdate", "o_orderpriority"]
 REST = COLUMNS[1:]
@@ -84,6 +86,21 @@ def csv_line_breaks(spark, sf_dir):
     return back.select("doc_id", "source", F.length("text").cast("long").alias("n_chars"), F.md5(F.col("text").cast("binary")).alias("digest"))
 
 
+@query(r"SELECT CAST(doc_id AS VARCHAR) AS doc_id, source, length(t) AS n_chars, md5(t) AS digest FROM (SELECT doc_id, source, regexp_replace(text, '[\x01-\x08\x0b\x0c\x0e-\x1f]', '', 'g') AS t FROM documents)")
+def workbook_round_trip(spark, sf_dir):
+    """All documents exported as workbooks of added rows, which tasks write, and read back from their worksheets in pieces."""
+    columns = ["doc_id", "source", "text"]
+    row = F.struct(*[F.col(c).cast("string").alias(c) for c in columns])
+    docs = table(spark, sf_dir, "documents").select(row.alias("new"), F.col("doc_id").alias("rid"))
+    none = F.lit(None).cast(docs.schema["new"].dataType)
+    folder = scratch(spark, "workbooks")
+    write_books(docs.select(F.lit("added").alias("status"), "rid", none.alias("old"), "new", F.array().cast("array<string>").alias("changed_cols")), columns, folder)
+    grid = cells(pieces(spark, f"{folder}/*.xlsx")).where("sheet = 'Added' AND row_idx > 0")
+    back = grid.groupBy("path", "row_idx").agg(F.map_from_entries(F.collect_list(F.struct("col_idx", "value"))).alias("row"))
+    text = F.col("row")[2]
+    return back.select(F.col("row")[0].alias("doc_id"), F.col("row")[1].alias("source"), F.length(text).cast("long").alias("n_chars"), F.md5(text.cast("binary")).alias("digest"))
+
+
 _PLAIN_LIST = """SELECT 'r' || CAST(o_orderkey AS VARCHAR) AS name, replace(CAST(o_totalprice AS VARCHAR), '.', ',') AS price, 'one, two; ' || o_orderstatus AS note FROM orders"""
 
 

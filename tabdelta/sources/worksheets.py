@@ -96,13 +96,16 @@ def cut(stream, tag: str) -> Iterator[tuple[str, int, bytes, bytes]]:
     for more in _utf8(stream):
         held += more
         starts = list(opening.finditer(held))
-        if starts and root is None:
-            head = held[: starts[0].start()]
-            root = _root(head)
-            yield "head", 0, root, head
+        if not starts:
+            continue
+        begin, last = starts[0].start(), starts[-1].start()
+        if root is None:
+            root = _root(held[:begin])
+            yield "head", 0, root, held[:begin]
         if len(starts) > 1:  # the last element may go on
-            yield tag, number, root, held[starts[0].start() : starts[-1].start()]
-            number, held = count(starts[:-1]), held[starts[-1].start() :]
+            yield tag, number, root, held[begin:last]
+            number = count(starts[:-1])
+        held = held[last:]
     starts = list(opening.finditer(held))
     if root is None:
         root = _root(held)
@@ -191,10 +194,12 @@ def _facts_of(path, position, sheet, visible, kind, body):
 def cells(found: DataFrame) -> DataFrame:
     """The long grid of all pieces: path, sheet, row_idx, col_idx, value, is_string, bold.
 
-    Cells without a shared string get a key of their own, so they don't meet in one task; a string that many cells share
+    Without shared strings nothing is shuffled. Cells without one get a key of their own, so they don't meet in one task; a string that many cells share
     is unique on the other side, and adaptive execution splits its cells.
     """
     got = _parsed(found.where("kind = 'row'"), ("path", "sheet", "first", "root", "body", "bold", "dates"), _CELLS, _rows_of)
+    if found.where("kind = 'si'").select("kind").isEmpty():
+        return got.select(*GRID_COLUMNS)
     texts = _parsed(found.where("kind = 'si'"), ("path", "first", "root", "body"), _STRINGS, _strings_of)
     keyed = got.withColumn("is_shared", F.col("shared").isNotNull()).withColumn("shared", F.coalesce("shared", -1 - F.col("row_idx").cast("long")))
     joined = keyed.hint("merge").join(texts, ["path", "shared"], "left")  # merge: the size of the strings isn't known before they are parsed

@@ -41,6 +41,8 @@ def test_pieces_end_between_rows_and_count_on(monkeypatch, chunk):
             assert kind == "row" and before == starts[at]
             at += body.decode().count(f"<{p}row")
     assert [x[0] for x in cut(io.BytesIO(b"<worksheet><sheetData/></worksheet>"), "row")] == ["head"]
+    one = b"<?xml version='1.0'?><worksheet><sheetData><row><c/></row></sheetData></worksheet>"
+    assert [(x[0], x[3]) for x in cut(io.BytesIO(one), "row")] == [("head", one[:43]), ("row", b"<row><c/></row>"), ("tail", b"</sheetData></worksheet>")]
     assert list(cut(io.BytesIO(b""), "row")) == [("head", 0, b"", b"")]
 
 
