@@ -22,7 +22,7 @@ from .operators.staging import scratch
 from .plans.pairing import pair_files, unmatched, with_manual
 from .sinks.books import write_books
 from .sources.delimited import read_delimited
-from .sources.worksheets import cells, pieces
+from .sources.worksheets import by_column, pieces, rows
 
 COLUMNS = ["o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice", "o_orderdate", "o_orderpriority"]
 REST = COLUMNS[1:]
@@ -95,8 +95,7 @@ def workbook_round_trip(spark, sf_dir):
     none = F.lit(None).cast(docs.schema["new"].dataType)
     folder = scratch(spark, "workbooks")
     write_books(docs.select(F.lit("added").alias("status"), "rid", none.alias("old"), "new", F.array().cast("array<string>").alias("changed_cols")), columns, folder)
-    grid = cells(pieces(spark, f"{folder}/*.xlsx")).where("sheet = 'Added' AND row_idx > 0")
-    back = grid.groupBy("path", "row_idx").agg(F.map_from_entries(F.collect_list(F.struct("col_idx", "value"))).alias("row"))
+    back = rows(pieces(spark, f"{folder}/*.xlsx")).where("sheet = 'Added' AND row_idx > 0").select(by_column().alias("row"))
     text = F.col("row")[2]
     return back.select(F.col("row")[0].alias("doc_id"), F.col("row")[1].alias("source"), F.length(text).cast("long").alias("n_chars"), F.md5(text.cast("binary")).alias("digest"))
 

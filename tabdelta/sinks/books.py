@@ -1,7 +1,7 @@
 """Highlighted workbooks of any number of differences, written by tasks.
 
 1. Rows are ranged by (status, order number), so every range is a stretch of the result in
-   source order, and rendered as XML by native expressions.
+   source order, and then rendered as XML by native expressions.
 2. Tasks deflate stretches of rows into fragments of a worksheet. A fragment ends on a
    byte with nothing referring back, so fragments laid one after the other are a valid
    stream; its checksum follows from theirs. Fragments go to the shared folder.
@@ -31,7 +31,7 @@ import pyarrow.fs
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from ..operators.staging import scratch
+from ..operators.staging import discard, scratch
 from .xlsx import _ADDED, _BAD, _NEW, _OLD, _REMOVED, MAX_ROWS, TITLES, package_parts
 
 FRAGMENT_ROWS = 10_000
@@ -123,23 +123,23 @@ def _row_xml(side: str, columns: list[str], style) -> Column:
     return F.concat(F.lit("<row>"), *map(cell, columns), F.lit("</row>"))
 
 
-def _rendered(diff: DataFrame, columns: list[str], order: str | None) -> DataFrame:
-    """(rank of the status, place, one, two): the row's XML on its first sheet and, of changed rows, on the second."""
+def _rendered(ranged: DataFrame, columns: list[str]) -> DataFrame:
+    """(rank, one, two): the row's XML on its first sheet and, of changed rows, on the second."""
     always = lambda k: lambda c: F.lit(str(k))
     differing = lambda k: lambda c: F.when(F.array_contains("changed_cols", c), F.lit(str(k))).otherwise(F.lit("0"))
-    is_ = lambda k: F.col("status") == _STATUSES[k]
+    is_ = lambda k: F.col("rank") == k
     one = F.when(is_(0), _row_xml("old", columns, differing(_OLD))).when(is_(1), _row_xml("new", columns, always(_ADDED))).otherwise(_row_xml("old", columns, always(_REMOVED)))
-    two = F.when(is_(0), _row_xml("new", columns, differing(_NEW)))
-    rank = F.when(is_(0), 0).when(is_(1), 1).otherwise(2)
-    return diff.select(rank.alias("rank"), (F.col(order) if order else F.lit(None)).cast("long").alias("place"), one.alias("one"), two.alias("two"))
+    return ranged.select("rank", one.alias("one"), F.when(is_(0), _row_xml("new", columns, differing(_NEW))).alias("two"))
 
 
 def fragments(diff: DataFrame, columns: list[str], order: str | None = "rid", rows: int = FRAGMENT_ROWS) -> DataFrame:
     """Deflated stretches of the four worksheets; (part, seq) is their order within a sheet."""
     spark = diff.sparkSession
     tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
-    drawn = _rendered(diff, columns, order)
-    ranged = drawn.repartitionByRange(tasks, "rank", "place", F.xxhash64("one", "two")).sortWithinPartitions("rank", "place", "one", "two")  # the hash splits rows without a place
+    rank = F.when(F.col("status") == _STATUSES[0], 0).when(F.col("status") == _STATUSES[1], 1).otherwise(2)
+    place = (F.col(order) if order else F.lit(None)).cast("long")
+    plain = diff.select(rank.alias("rank"), place.alias("place"), "old", "new", "changed_cols").withColumn("own", F.xxhash64("old", "new"))  # the hash splits rows without a place
+    ranged = plain.repartitionByRange(tasks, "rank", "place", "own").sortWithinPartitions("rank", "place", "own")
 
     def run(batches) -> Iterator[pa.RecordBatch]:
         part, seq, rank, held, size = TaskContext.get().partitionId(), 0, None, ([], []), 0
@@ -163,7 +163,7 @@ def fragments(diff: DataFrame, columns: list[str], order: str | None = "rid", ro
                     size += len(two)
         yield from done()
 
-    return ranged.select("rank", "one", "two").mapInArrow(run, _FRAGMENT)
+    return _rendered(ranged, columns).mapInArrow(run, _FRAGMENT)
 
 
 def write_books(diff: DataFrame, columns: list[str], folder: str, name: str = "changes", order: str | None = "rid", titles: tuple[str, ...] = TITLES, rows_per_sheet: int = MAX_ROWS - 1) -> list[dict]:
@@ -176,7 +176,7 @@ def write_books(diff: DataFrame, columns: list[str], folder: str, name: str = "c
     spark = diff.sparkSession
     step = max(1, min(FRAGMENT_ROWS, rows_per_sheet // 2))
     where = scratch(spark, "fragments")
-    fragments(diff, columns, order, step).write.parquet(where)
+    fragments(diff, columns, order, step).write.parquet(where, compression="none")  # they are deflated
     found = spark.read.schema(_FRAGMENT).parquet(where)
     # Old and new values of changed rows lie in fragments of one number, so they go to one book: totals are taken over both.
     rank = F.greatest(F.col("sheet") - 1, F.lit(0))
@@ -201,6 +201,7 @@ def write_books(diff: DataFrame, columns: list[str], folder: str, name: str = "c
         return out
     finally:
         store.delete_dir(inner)
+        discard(spark, where)
 
 
 def _assembler(folder: str, columns: list[str], titles: tuple[str, ...]):

@@ -6,7 +6,7 @@ sheet and the shared strings are handed on as pieces of about CHUNK bytes that b
 end between rows (or strings), with the number of rows (or strings) before the piece,
 since rows needn't say their number. The pieces are dealt out and written to the shared
 folder; all else is DataFrame work over them: parsing, a join of the cells that hold
-shared strings with these, hidden columns and merged ranges, and the pivot to a table.
+shared strings with these, hidden columns and merged ranges.
 
 Memory of a cutting task is the file as stored, a piece, and the longest row. Of a
 workbook the driver sees what a schema takes: names of sheets, hidden columns, and the
@@ -14,7 +14,7 @@ first rows, from which the header is told.
 
 Rows within comments or CDATA sections, which spreadsheet programs don't write, aren't
 told from others. A sheet without rows gives a fact row and no cells; of cells that
-repeat a place in a row the last one counts, and a row that is there twice is an error; a number of a shared string that doesn't exist is an
+repeat a place in a row the last one counts; a number of a shared string that doesn't exist is an
 empty text.
 """
 
@@ -38,15 +38,15 @@ from .workbook import _local, hidden_range, merged_range, open_book, row_cells,
 
 CHUNK = 1 << 20
 _PIECES = pa.schema([("path", pa.string()), ("position", pa.int32()), ("sheet", pa.string()), ("visible", pa.bool_()), ("kind", pa.string()), ("first", pa.int64()), ("root", pa.binary()), ("body", pa.binary()), ("bold", pa.binary()), ("dates", pa.binary())])
-_CELLS = pa.schema([("path", pa.string()), ("sheet", pa.string()), ("row_idx", pa.int32()), ("col_idx", pa.int32()), ("value", pa.string()), ("is_string", pa.bool_()), ("bold", pa.bool_()), ("shared", pa.int64())])
+_CELL = pa.struct([("col_idx", pa.int32()), ("value", pa.string()), ("is_string", pa.bool_()), ("bold", pa.bool_()), ("shared", pa.int64())])
+_ROWS = pa.schema([("path", pa.string()), ("sheet", pa.string()), ("row_idx", pa.int32()), ("piece", pa.int64()), ("line", pa.int32()), ("cells", pa.list_(_CELL))])
 _STRINGS = pa.schema([("path", pa.string()), ("shared", pa.int64()), ("text", pa.string())])
 _FACTS = pa.schema([("path", pa.string()), ("position", pa.int32()), ("sheet", pa.string()), ("visible", pa.bool_()), ("fact", pa.string()), ("first_row", pa.int32()), ("last_row", pa.int32()), ("first_col", pa.int32()), ("last_col", pa.int32())])
-GRID_COLUMNS = ("path", "sheet", "row_idx", "col_idx", "value", "is_string", "bold")
 _BATCH = 50_000
 
 
 def _ddl(schema: pa.Schema) -> str:
-    names = {pa.string(): "string", pa.bool_(): "boolean", pa.int32(): "int", pa.int64(): "long", pa.binary(): "binary"}
+    names = {pa.string(): "string", pa.bool_(): "boolean", pa.int32(): "int", pa.int64(): "long", pa.binary(): "binary", pa.list_(_CELL): "array<struct<col_idx: int, value: string, is_string: boolean, bold: boolean, shared: long>>"}
     return ", ".join(f"{f.name} {names[f.type]}" for f in schema)
 
 
@@ -138,7 +138,7 @@ def pieces(spark: SparkSession, glob: str, password: str | None = None, styled:
     files = spark.read.format("binaryFile").load(glob).select("path", "content")
     tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
     where = scratch(spark, "worksheets")
-    files.mapInArrow(run, _ddl(_PIECES)).repartition(tasks, "path", "position", "first").write.parquet(where)
+    files.mapInArrow(run, _ddl(_PIECES)).repartition(tasks, "path", "position", "first").write.parquet(where, compression="zstd")
     return spark.read.schema(_ddl(_PIECES)).parquet(where)
 
 
@@ -156,22 +156,23 @@ def _pieces_of(path: str, data: bytes, password: str | None, styled: bool) -> It
                     yield path, position, name, visible, kind, before, root, body, bold if kind == "row" else None, dates if kind == "row" else None
 
 
-def _parsed(df: DataFrame, columns: tuple[str, ...], schema: pa.Schema, rows) -> DataFrame:
+def _parsed(df: DataFrame, columns: tuple[str, ...], schema: pa.Schema, rows, size: int = _BATCH) -> DataFrame:
     """``rows`` of every piece, by its columns."""
 
     def run(batches):
-        yield from _batches((x for b in batches for line in zip(*(c.to_pylist() for c in b.columns)) for x in rows(*line)), schema)
+        yield from _batches((x for b in batches for line in zip(*(c.to_pylist() for c in b.columns)) for x in rows(*line)), schema, size)
 
     return df.select(*columns).mapInArrow(run, _ddl(schema))
 
 
 def _rows_of(path, sheet, first, root, body, bold, dates):
     number = first
-    for row in _elements(root, body):
+    for k, row in enumerate(_elements(root, body)):
         number = int(row.get("r", number + 1))
         last = {at: x for at, *x in row_cells(row, bold, dates)}
-        for at, (value, text, is_bold, shared) in last.items():
-            yield path, sheet, number - 1, at, None if shared else value, text, is_bold, int(value) if shared else None
+        if last:
+            got = [{"col_idx": at, "value": None if shared else value, "is_string": text, "bold": is_bold, "shared": int(value) if shared else None} for at, (value, text, is_bold, shared) in last.items()]
+            yield path, sheet, number - 1, first, k, got
 
 
 def _strings_of(path, first, root, body):
@@ -191,20 +192,35 @@ def _facts_of(path, position, sheet, visible, kind, body):
         yield path, position, sheet, visible, "merge", *merged_range(ref.decode())
 
 
-def cells(found: DataFrame) -> DataFrame:
-    """The long grid of all pieces: path, sheet, row_idx, col_idx, value, is_string, bold.
+def rows(found: DataFrame) -> DataFrame:
+    """(path, sheet, row_idx, cells) of all pieces, cells being structs of col_idx, value, is_string, bold; rows without cells don't count.
 
-    Without shared strings nothing is shuffled. Cells without one get a key of their own, so they don't meet in one task; a string that many cells share
-    is unique on the other side, and adaptive execution splits its cells.
+    Without shared strings nothing is shuffled. Else cells meet the strings and rows are put together again. Cells without
+    a shared string get a key of their own, so they don't meet in one task; a string that many cells share is unique on
+    the other side, and adaptive execution splits its cells.
     """
-    got = _parsed(found.where("kind = 'row'"), ("path", "sheet", "first", "root", "body", "bold", "dates"), _CELLS, _rows_of)
+    got = _parsed(found.where("kind = 'row'"), ("path", "sheet", "first", "root", "body", "bold", "dates"), _ROWS, _rows_of, 2_000)
+    cell = lambda value: F.struct("col_idx", value.alias("value"), "is_string", "bold")
     if found.where("kind = 'si'").select("kind").isEmpty():
-        return got.select(*GRID_COLUMNS)
+        whole = F.transform("cells", lambda x: F.struct(x.col_idx.alias("col_idx"), x.value.alias("value"), x.is_string.alias("is_string"), x.bold.alias("bold")))
+        return got.select("path", "sheet", "row_idx", whole.alias("cells"))
     texts = _parsed(found.where("kind = 'si'"), ("path", "first", "root", "body"), _STRINGS, _strings_of)
-    keyed = got.withColumn("is_shared", F.col("shared").isNotNull()).withColumn("shared", F.coalesce("shared", -1 - F.col("row_idx").cast("long")))
+    row = ("path", "sheet", "row_idx", "piece", "line")
+    single = got.select(*row, F.explode("cells").alias("x")).select(*row, "x.*").withColumn("is_shared", F.col("shared").isNotNull())
+    keyed = single.withColumn("shared", F.coalesce("shared", -1 - F.col("row_idx").cast("long")))
     joined = keyed.hint("merge").join(texts, ["path", "shared"], "left")  # merge: the size of the strings isn't known before they are parsed
     value = F.when(F.col("is_shared"), F.coalesce("text", F.lit(""))).otherwise(F.col("value"))
-    return joined.withColumn("value", value).select(*GRID_COLUMNS)
+    return joined.groupBy(*row).agg(F.collect_list(cell(value)).alias("cells")).select("path", "sheet", "row_idx", "cells")
+
+
+def cells(found: DataFrame) -> DataFrame:
+    """The long grid of all pieces: path, sheet, row_idx, col_idx, value, is_string, bold."""
+    return rows(found).select("path", "sheet", "row_idx", F.explode("cells").alias("x")).select("path", "sheet", "row_idx", "x.*")
+
+
+def by_column(cells: str = "cells"):
+    """Of the cells of a row, a map from column to value."""
+    return F.map_from_entries(F.transform(cells, lambda x: F.struct(x.col_idx, x.value)))
 
 
 def facts(found: DataFrame) -> DataFrame:
@@ -225,28 +241,28 @@ def _number(value: str):
         return value
 
 
-def sheet_table(grid: DataFrame, width: int, header: int, names_at: dict[int, str] | None, shown: list[int]) -> DataFrame:
-    """The rows below the header as a table of text with __rid: a pivot by one aggregate. ``names_at``: the header's cells, None where it is below all rows."""
+def sheet_table(lines: DataFrame, header: int, names_at: dict[int, str] | None, shown: list[int]) -> DataFrame:
+    """The rows below the header as a table of text with __rid, without those that are blank in all columns shown. ``names_at``: the header's cells, None where it is below all rows."""
     names = [str(k) for k in range(len(shown))] if names_at is None else unique_names([names_at.get(c) for c in shown])
-    below = grid.where((F.col("row_idx") > header) & F.col("col_idx").isin(shown) if len(shown) < width else F.col("row_idx") > header)
-    rows = below.groupBy("row_idx").agg(F.map_from_entries(F.collect_list(F.struct("col_idx", "value"))).alias("cells"))
-    return rows.select(*[missing_words(F.col("cells")[c]).alias(n) for c, n in zip(shown, names)], F.col("row_idx").cast("long").alias("__rid"))
+    below = lines.where(F.col("row_idx") > header).select("row_idx", by_column().alias("cells"))
+    below = below.where(F.arrays_overlap(F.map_keys("cells"), F.array(*map(F.lit, shown)))) if shown else below.where("false")
+    return below.select(*[missing_words(F.col("cells")[c]).alias(n) for c, n in zip(shown, names)], F.col("row_idx").cast("long").alias("__rid"))
 
 
 def read_sheets(spark: SparkSession, path: str, keys=(), sheets: str = "all", hidden_columns: str = "drop", header_overrides: dict[str, int] | None = None, password: str | None = None, semantics: str = "v2", styled: bool = True, detect: bool = True) -> tuple[dict[str, DataFrame], dict[str, int]]:
     """({sheet: table of text with __rid}, {sheet: 0-based header row}) of one xlsx workbook; without ``detect`` row 0 is the header."""
     effective_rows({}, header_overrides)
     found = pieces(spark, path, password, styled)
-    where = scratch(spark, "cells")
-    cells(found).write.parquet(where)
-    grid, about = spark.read.parquet(where), facts(found)
+    where = scratch(spark, "rows")
+    rows(found).write.parquet(where)
+    lines, about = spark.read.parquet(where), facts(found)
     given = header_overrides or {}
     side = about.where((F.col("fact") != "merge") | (F.col("first_row") < ROWS_NEEDED)).orderBy("position").collect()
-    ends = {r.sheet: (r.row, r.col + 1) for r in grid.groupBy("sheet").agg(F.max("row_idx").alias("row"), F.max("col_idx").alias("col")).collect()}
+    ends = {r.sheet: (r.row, r.col + 1) for r in lines.groupBy("sheet").agg(F.max("row_idx").alias("row"), F.max(F.array_max("cells.col_idx")).alias("col")).collect()}
     top: dict[str, dict] = {}
-    for r in grid.where((F.col("row_idx") < ROWS_NEEDED) | F.col("row_idx").isin([header_index(x) for x in given.values()])).collect():
-        top.setdefault(r.sheet, {})[r.row_idx, r.col_idx] = r
-    tables, rows = {}, {}
+    for r in lines.where((F.col("row_idx") < ROWS_NEEDED) | F.col("row_idx").isin([header_index(x) for x in given.values()])).collect():
+        top.setdefault(r.sheet, {}).update(((r.row_idx, x.col_idx), x) for x in r.cells)
+    tables, at_rows = {}, {}
     for s in (x for x in side if x.fact == "sheet" and (sheets != "visible" or x.visible)):
         (last, width), got = ends.get(s.sheet, (-1, 0)), top.get(s.sheet, {})
         mine = [x for x in side if x.position == s.position]
@@ -258,5 +274,5 @@ def read_sheets(spark: SparkSession, path: str, keys=(), sheets: str = "all", hi
         gone = {c for x in mine if x.fact == "hidden" for c in range(x.first_col, x.last_col + 1)} if hidden_columns == "drop" else set()
         shown = [c for c in range(width) if c not in gone] or list(range(width))
         named = {c: x.value for (r, c), x in got.items() if r == at} if at <= last else None
-        tables[s.sheet], rows[s.sheet] = sheet_table(grid.where(F.col("sheet") == s.sheet), width, at, named, shown), at
-    return tables, rows
+        tables[s.sheet], at_rows[s.sheet] = sheet_table(lines.where(F.col("sheet") == s.sheet), at, named, shown), at
+    return tables, at_rows
