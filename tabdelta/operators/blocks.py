@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from ..functions.normalize import with_canonical
 from .components import components
-from .heavy import heavy_hashes, is_heavy
+from .heavy import heavy_hashes, meet
 from .reconcile import GIANT, assign, candidate_pairs, packed
 from .staging import staged
 
@@ -43,14 +43,6 @@ LONGEST = 63
 ADDED, PAIR, REMOVED = 0, 1, 2
 
 
-def meet(rows: DataFrame, values: DataFrame, on: list[str], hot: list[int]) -> DataFrame:
-    """rows joined with a table of distinct values; rows of the heavy ones stay where they are."""
-    if not hot:
-        return rows.join(values, on)
-    heavy = is_heavy(hot, *on)
-    return rows.where(~heavy).join(values.where(~heavy), on).unionByName(rows.where(heavy).join(F.broadcast(values.where(heavy)), on))
-
-
 class Component:
     """The added nodes of a component and the queues over them."""
 
