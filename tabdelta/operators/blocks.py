@@ -17,8 +17,8 @@ of equals the first. Three things keep what is listed small.
 
 The rule decomposes by connected component. Components are labelled in Spark and dealt to tasks; a
 task holds the nodes and queues of one component at a time and streams through its removed rows. A
-component with more than ``giant`` entries goes through the rounds of ``reconcile.assign``, which
-list its pairs of rows.
+component with more than ``giant`` entries goes through ``turns``: a bounded number of removed rows
+at a time, with the first free rows of the queues they may choose from.
 """
 
 from __future__ import annotations
@@ -35,8 +35,9 @@ from pyspark.sql import DataFrame, functions as F
 from ..functions.normalize import with_canonical
 from .components import components
 from .heavy import heavy_hashes, meet
-from .reconcile import GIANT, assign, candidate_pairs, packed
+from .reconcile import GIANT, packed
 from .staging import staged
+from .turns import in_turns
 
 #: Longer cells are told by their SHA-256, which has 64 characters and so meets no shorter cell.
 LONGEST = 63
@@ -216,11 +217,12 @@ def dealt_entries(r: Nodes, a: Nodes, pairs: DataFrame | None, edges: DataFrame
     return dealt, entries.where(F.col("label").isin(large)) if large else None
 
 
-def match_rows(removed: DataFrame, added: DataFrame, columns: list[str], threshold: float = 0.5, semantics: str = "v2", giant: int = GIANT, source: str | None = None) -> DataFrame:
+def match_rows(removed: DataFrame, added: DataFrame, columns: list[str], threshold: float = 0.5, semantics: str = "v2", giant: int = GIANT, source: str | None = None, at_once: int | None = None) -> DataFrame:
     """(ri, ai): the one-to-one assignment of all rows with at least ``threshold`` of the columns equal.
 
     Sides are as for ``candidate_pairs``; ids are unique integers. No columns, or a side without rows, give no rows.
-    ``source`` sets where queues come from, "pairs" or "blocks"; by default it is what lists less.
+    ``source`` sets where queues come from, "pairs" or "blocks"; by default it is what lists less. ``at_once`` is the number
+    of removed rows of a turn in components with over ``giant`` entries.
     """
     if threshold <= 0:
         raise ValueError("the threshold must be positive")
@@ -267,8 +269,33 @@ def match_rows(removed: DataFrame, added: DataFrame, columns: list[str], thresho
     done = dealt.mapInArrow(walk(subsets, all_qualify), "ri long, ai long")
     if large is None:
         return done
-    of = lambda df, rid, kind: df.join(large.where(F.col("kind") == kind).select(F.col("id").alias(rid)), rid, "left_semi")
-    return done.unionByName(assign(candidate_pairs(of(removed, "ri", REMOVED), of(added, "ai", ADDED), columns, threshold, semantics), giant=giant))
+    return done.unionByName(large_matches(large, r, a, pairs, subsets, all_qualify, at_once))
+
+
+def large_matches(large: DataFrame, r: Nodes, a: Nodes, pairs: DataFrame | None, subsets: list[tuple[int, ...]] | None, all_qualify: bool, at_once: int | None = None) -> DataFrame:
+    """(ri, ai) of components that are too large for a task, from their ``large`` entries.
+
+    Places are blocks, told by a 128-bit hash of their columns and values, or the partners of a removed node of one n.
+    """
+    rows = {kind: staged(large.where(F.col("kind") == kind).select("id", "node")) for kind in (REMOVED, ADDED)}
+    if subsets is not None:
+        rows = {kind: staged(meet(rows[kind], side.nodes, ["node"], heavy_hashes([rows[kind].select("node")], "node")).select("id", "cells")) for kind, side in ((REMOVED, r), (ADDED, a))}
+        place = lambda s: [F.xxhash64(F.lit(seed), F.lit(str(s)), *[F.col("cells")[k] for k in s]).alias(name) for seed, name in ((1, "p"), (2, "q"))]
+        places = F.array(*[F.struct(F.lit(float(len(s))).alias("size"), *place(s)) for s in subsets])
+        return in_turns(rows[REMOVED], rows[ADDED], lambda df: df.select("id", places.alias("places")), lambda df: df.select("id", F.explode(places).alias("x")).select("id", "x.p", "x.q"), at_once)
+    of = staged(pairs.select("rn", "an", F.col("n").cast("double").alias("size"), F.xxhash64(F.col("n").cast("double")).alias("q")))  # q tells the few n of one node apart
+    anything = F.array(F.struct(F.lit(0.0).alias("size"), F.lit(-1).cast("long").alias("p"), F.lit(0).cast("long").alias("q")))
+
+    def removed_places(df: DataFrame) -> DataFrame:
+        known = of.select(F.col("rn").alias("node"), "size", F.col("rn").alias("p"), "q").distinct().groupBy("node").agg(F.collect_list(F.struct("size", "p", "q")).alias("places"))  # a place per n
+        found = df.join(known, "node", "left").select("id", F.coalesce("places", F.array().cast("array<struct<size:double,p:bigint,q:bigint>>")).alias("places"))
+        return found.select("id", F.concat("places", anything).alias("places")) if all_qualify else found
+
+    def added_places(df: DataFrame) -> DataFrame:
+        found = df.join(of, df["node"] == of["an"]).select("id", F.col("rn").alias("p"), "q")
+        return found.unionAll(df.select("id", F.lit(-1).cast("long"), F.lit(0).cast("long"))) if all_qualify else found
+
+    return in_turns(rows[REMOVED], rows[ADDED], removed_places, added_places, at_once)
 
 
 class Reconciled:
