@@ -6,6 +6,7 @@ from difflib import SequenceMatcher
 import pytest
 
 from tabdelta.functions.matching import ratios
+from tabdelta.operators import catalogue
 from tabdelta.operators.catalogue import pair_catalogues, unpaired, with_manual_pairs
 from tabdelta.plans.pairing import pair_files
 from tabdelta.queries import queries
@@ -66,3 +67,21 @@ def test_the_registered_query_over_a_table(spark):
     flat = lambda u: u.replace(".", "-").replace("/", "-")
     old, new = [(i, flat(u) + "_2023.xlsx") for i, u in urls], [(-i, flat(u).replace("example", "sample") + "_2024.csv") for i, u in urls]
     assert sorted(map(tuple, queries()["catalogue_pairs"](spark, sf).collect())) == by_rule(old, new, 0.85, True)
+
+
+def test_names_that_are_all_alike_are_not_listed_in_pairs(spark, monkeypatch):
+    listed, dealt = [], catalogue.dealt_entries
+    monkeypatch.setattr(catalogue, "FEW", 0, raising=False)
+    monkeypatch.setattr(catalogue, "dealt_entries", lambda r, a, pairs, *x, **y: listed.append(pairs.count()) or dealt(r, a, pairs, *x, **y))
+    make = lambda sign: spark.createDataFrame([(sign * i, f"northern branch report {i * 101:04d} final.xlsx") for i in range(60)], "id long, name string")
+    assert sorted(map(tuple, pair_catalogues(make(1), make(-1)).collect())) == [(i, -i, 1.0) for i in range(60)]
+    assert max(listed) < 200  # of 3,600 pairs above the threshold
+
+
+def test_searches_at_falling_ratios_find_the_pairs_of_the_rule(spark, monkeypatch):
+    monkeypatch.setattr(catalogue, "FEW", 0, raising=False)
+    rnd = random.Random(8)
+    make = lambda n: [(i, rnd.choice(["report", "sales data", "repos", ""]) + word(rnd, "ab_1é😀", 4)) for i in rnd.sample(range(300), n)]
+    old, new = make(40) + [(400, "report"), (401, "report")], make(30) + [(400, "report")]
+    o, n = (spark.createDataFrame(x, "id long, name string") for x in (old, new))
+    assert sorted(map(tuple, pair_catalogues(o, n, 0.6).collect())) == by_rule(old, new, 0.6)
