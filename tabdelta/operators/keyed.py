@@ -122,7 +122,8 @@ class KeyedDiff:
     def _lone(self, mine: DataFrame, theirs: DataFrame) -> DataFrame:
         """All rows of one side, copies included, whose key the other lacks."""
         keys = theirs.select(KEY)
-        light = self._light(mine).join(self._light(keys).distinct(), KEY, "left_anti")
+        # An anti join would move below the union that a side may be; its smaller part then meets all keys in tasks sized by the few bytes of sorted keys.
+        light = self._light(mine).join(self._light(keys).distinct().withColumn("there", F.lit(True)), KEY, "left").where("there IS NULL").drop("there")
         if not self.heavy:
             return light
         there = F.broadcast(keys.where(is_heavy(self.heavy, KEY)).distinct())  # a key per hash, collisions aside

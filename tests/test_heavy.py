@@ -143,3 +143,12 @@ def test_keyless_columns_may_have_internal_names(spark):
     got = compare_tables(a, b)
     assert got.strategy == "keyless" and got.columns == names and got.summary().first() == (5, 1, 1)
     assert canonical_frame(a).columns == names
+
+
+def test_a_side_put_together_from_two_meets_the_keys_once(spark):
+    """Its small part met all keys of the other side in few tasks."""
+    part = lambda a, b: spark.range(a, b).select(F.col("id").cast("string").alias("k"), F.lit("v").alias("v"), F.col("id").alias("__rid"))
+    diff = KeyedDiff(part(0, 50), part(20, 60).unionAll(part(58, 62)), ["k"])
+    added = diff.added()
+    assert added._jdf.queryExecution().optimizedPlan().toString().count("Join ") == 1
+    assert sorted(int(x["__key__"]) for x in added.collect()) == sorted([*range(50, 60), *range(58, 62)])
