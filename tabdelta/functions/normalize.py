@@ -20,6 +20,8 @@ _ASCII_BLANKS = ("\t", "\n", "\x0b", "\x0c", "\r", "\x1c", "\x1d", "\x1e", "\x1f
 BLANKS = r"[\s\u001c-\u001f\u0085\u00a0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]"
 #: Python's grammar of finite float literals, after comma became point.
 NUMBER = r"^[+-]?([0-9](_?[0-9])*(\.([0-9](_?[0-9])*)?)?|\.[0-9](_?[0-9])*)([eE][+-]?[0-9](_?[0-9])*)?$"
+#: The same without backtracking, which Java's matcher takes less time for.
+_NUMBER = r"^[+-]?(?:[0-9]++(?:_[0-9]++)*+(?:\.(?:[0-9]++(?:_[0-9]++)*+)?+)?+|\.[0-9]++(?:_[0-9]++)*+)(?:[eE][+-]?[0-9]++(?:_[0-9]++)*+)?+$"
 
 _EXACT = float(1 << 53)
 
@@ -28,11 +30,15 @@ def strip_blanks(c: Column) -> Column:
     return F.regexp_replace(c, f"^{BLANKS}+|{BLANKS}+$", "")
 
 
-def _word(c: Column, semantics: str) -> Column:
+def _odd(text: Column) -> Column:
+    """Whether a text may hold blanks other than single spaces; byte searches tell, and spare most cells the regular expression."""
+    return reduce(lambda a, b: a | b, (F.contains(text, F.lit(m)) for m in (*_ASCII_BLANKS, "  ")), F.octet_length(text) != F.length(text))
+
+
+def _word(c: Column, semantics: str, odd: Column | None = None) -> Column:
     """The cell in capitals, blanks in order; v2 collapses inner blanks and takes the text ``nan`` as missing."""
     if semantics == "v2":
-        # Most cells hold no blank but single spaces; byte searches tell, and spare them the regular expression.
-        odd = reduce(lambda a, b: a | b, (F.contains(c, F.lit(m)) for m in (*_ASCII_BLANKS, "  ")), F.octet_length(c) != F.length(c))
+        odd = _odd(c) if odd is None else odd
         return F.coalesce(F.when(~c.isin("", "nan"), F.upper(F.trim(F.when(odd, F.regexp_replace(c, f"{BLANKS}+", " ")).otherwise(c)))), F.lit(""))
     if semantics == "v1":
         return F.coalesce(F.upper(strip_blanks(c)), F.lit("NAN"))
@@ -43,7 +49,7 @@ def _number(word: Column) -> Column:
     """The word as a number in Python's grammar, commas being points; null for other text."""
     point, start = F.replace(word, F.lit(","), F.lit(".")), F.substring(word, 1, 1)
     may_be = (start >= "+") & (start <= "9") & ~F.contains(word, F.lit(" "))  # signs, point, comma and digits lie there
-    return F.when(may_be & point.rlike(NUMBER), F.replace(point, F.lit("_"), F.lit("")).try_cast("double"))
+    return F.when(may_be & point.rlike(_NUMBER), F.replace(point, F.lit("_"), F.lit("")).try_cast("double"))
 
 
 def _form(word: Column, number: Column) -> Column:
@@ -60,13 +66,18 @@ def with_canonical(df: DataFrame, cells: dict[str, Column], semantics: str = "v2
 
     Words, numbers and forms are three projections, so each is evaluated once a row
     and all stay inside generated code; one nested expression would repeat them.
+    Odd blanks are searched for in the whole row at once, by a lambda and so in a
+    projection of its own: the JVM doesn't compile generated methods of over 8,000 bytes.
     """
     taken = [*df.columns, *cells]
     w, x = fresh(taken, *(f"__w_{k}" for k in range(len(cells)))), fresh(taken, *(f"__x_{k}" for k in range(len(cells))))
-    words = {n: _word(c.cast("string"), semantics) for n, c in zip(w, cells.values())}
+    odd = fresh([*taken, *w, *x], "__odd")[0] if semantics == "v2" and len(cells) > 1 else None
+    if odd:
+        df = df.withColumn(odd, F.exists(F.array(F.concat_ws("|", *(c.cast("string") for c in cells.values()))), _odd))
+    words = {n: _word(c.cast("string"), semantics, F.col(f"`{odd}`") if odd else None) for n, c in zip(w, cells.values())}
     numbers = {n: _number(F.col(f"`{own}`")) for n, own in zip(x, w)}
     forms = {name: _form(F.col(f"`{a}`"), F.col(f"`{b}`")) for name, a, b in zip(cells, w, x)}
-    return df.withColumns(words).withColumns(numbers).withColumns(forms).drop(*words, *numbers) if cells else df
+    return df.withColumns(words).withColumns(numbers).withColumns(forms).drop(*words, *numbers, *([odd] if odd else [])) if cells else df
 
 
 def canonical(c: Column, semantics: str = "v2") -> Column:

@@ -28,15 +28,28 @@ def key_hash(*cols: str | Column) -> Column:
     return F.xxhash64(*cols)
 
 
+def _fits_one_task(frames: list[DataFrame]) -> bool:
+    """Whether Spark knows the frames to be smaller than one partition of a shuffle."""
+    spark = frames[0].sparkSession
+    advised = spark._jsparkSession.sessionState().conf().getConf(spark._jvm.org.apache.spark.sql.internal.SQLConf.ADVISORY_PARTITION_SIZE_IN_BYTES())
+    return sum(int(str(f._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())) for f in frames) <= advised
+
+
+def most_varied(*sides: DataFrame) -> int:
+    """The number of the column, by position, with the most distinct raw values in all sides, about; the first where one task holds them anyway."""
+    if _fits_one_task([*sides]):
+        return 0
+    found = reduce(DataFrame.unionAll, sides).agg(*[F.approx_count_distinct(f"`{c}`") for c in sides[0].columns]).first()
+    return max(range(len(found)), key=found.__getitem__)
+
+
 def heavy_hashes(keys: list[DataFrame], *cols: str, least: int | None = None) -> list[int]:
     """Hashes of at most SHARE keys: all that hold more than a SHAREth of the rows of all frames and ``least`` rows.
 
     Frames that Spark knows to be smaller than one partition of a shuffle aren't counted: one task holds them anyway.
     """
     least = LEAST_ROWS if least is None else least
-    spark = keys[0].sparkSession
-    advised = spark._jsparkSession.sessionState().conf().getConf(spark._jvm.org.apache.spark.sql.internal.SQLConf.ADVISORY_PARTITION_SIZE_IN_BYTES())
-    if sum(int(str(k._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())) for k in keys) <= advised:
+    if _fits_one_task(keys):
         return []
     hashed = reduce(DataFrame.unionAll, (k.select(key_hash(*cols).alias("h")) for k in keys))
     found = hashed.agg(F.expr(f"approx_top_k(h, {SHARE}, {_COUNTERS})").alias("top"), F.count(F.lit(1)).alias("n")).first()
