@@ -15,7 +15,7 @@ from __future__ import annotations
 
 from functools import cached_property
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions.names import fresh
 from ..functions.normalize import canonical, with_canonical
@@ -135,26 +135,27 @@ class KeyedDiff:
     def removed(self) -> DataFrame:
         return self._lone(self.old, self.new)
 
-    def key_table(self, old: DataFrame | None = None, new: DataFrame | None = None) -> DataFrame:
+    def key_table(self) -> DataFrame:
         """Per key: its rows on each side, and the least order number of each; one pre-aggregated shuffle for both sides."""
         one = lambda df, is_old: df.select(KEY, F.when(F.lit(is_old), F.col(ORDER)).alias("o"), F.when(F.lit(not is_old), F.col(ORDER)).alias("n"), F.lit(int(is_old)).alias("is_old"))
-        both = one(self.old if old is None else old, True).unionAll(one(self.new if new is None else new, False))
+        both = one(self.old, True).unionAll(one(self.new, False))
         return both.groupBy(KEY).agg(F.sum("is_old").alias("n_old"), F.sum(1 - F.col("is_old")).alias("n_new"), F.min("o").alias("old_rid"), F.min("n").alias("new_rid"))
 
     def _differences(self, old: DataFrame, new: DataFrame) -> DataFrame:
         """(status, KEY, rid, old, new, changed_cols) of rows that are shuffled by key.
 
-        The rows of both sides meet the key table in one join: all rows of keys that one side lacks stay, and the first
-        rows of the others, which are paired where they already lie together.
+        The rows of both sides are shuffled once and sorted within their key, NEW before OLD: all rows of keys that one
+        side lacks stay, and of the others NEW's first row, which then has OLD's first row beside it.
         """
         rows = old.select("*", F.lit(True).alias("is_old")).unionByName(new.select("*", F.lit(False).alias("is_old")))
+        by_side = Window.partitionBy(KEY).orderBy("is_old", ORDER, "row")  # of equal order numbers the least row
+        whole = by_side.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+        first_old = F.first(F.when(F.col("is_old"), F.struct(ORDER, "row")), ignorenulls=True)
+        met = rows.select("*", F.count_if("is_old").over(whole).alias("n_old"), F.count_if(~F.col("is_old")).over(whole).alias("n_new"), first_old.over(whole).alias("first_old"), F.row_number().over(by_side).alias("place"))
         lone = (F.col("n_old") == 0) | (F.col("n_new") == 0)
-        first = F.col(ORDER) == F.when(F.col("is_old"), F.col("old_rid")).otherwise(F.col("new_rid"))
-        met = rows.join(self.key_table(old, new), KEY).where(lone | first)
-        # A lone row is a group of its own; the two first rows of another key are one.
-        met = met.withColumn("own", F.when(lone, F.monotonically_increasing_id())).withColumn("rid", F.when(lone, F.col(ORDER)).otherwise(F.col("old_rid")))
-        side = lambda is_old, name: F.min(F.when(F.col("is_old") == is_old, F.col("row"))).alias(name)  # noqa: E731  of equal order numbers the least row
-        both = met.groupBy(KEY, "n_old", "n_new", "own", "rid").agg(side(True, "old"), side(False, "new"))
+        a, b = F.when(F.col("n_new") == 0, F.col("row")).otherwise(F.col("first_old.row")), F.when(F.col("n_new") > 0, F.col("row"))
+        rid = F.when(lone, F.col(ORDER)).otherwise(F.col(f"first_old.{ORDER}"))
+        both = met.where(lone | (F.col("place") == 1)).select(KEY, "n_old", "n_new", rid.alias("rid"), a.alias("old"), b.alias("new"))
         both = with_changed(both, self.columns, self.keys, semantics=self.semantics)
         status = F.when(F.col("n_old") == 0, "added").when(F.col("n_new") == 0, "removed").when(F.size("changed_cols") > 0, "changed")
         return both.withColumn("status", status).where(F.col("status").isNotNull()).select("status", KEY, "rid", "old", "new", "changed_cols")

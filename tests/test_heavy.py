@@ -154,6 +154,15 @@ def test_a_side_put_together_from_two_meets_the_keys_once(spark):
     assert sorted(int(x["__key__"]) for x in added.collect()) == sorted([*range(50, 60), *range(58, 62)])
 
 
+def test_all_differences_shuffle_each_row_once(spark):
+    """Rows met a table of their keys, so each side was read and brought to canonical keys twice."""
+    side = lambda a, b, v: spark.range(a, b).select((F.col("id") % 40).cast("string").alias("k"), F.concat(F.lit(v), F.col("id").cast("string")).alias("v"), F.col("id").alias("__rid"))
+    found = KeyedDiff(side(0, 90, "v"), side(10, 130, "w").where("k != '5'"), ["k"]).result().where("status != 'removed'")
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Range (") == 2 and "Join " not in plan and "Aggregate " not in plan
+    assert {(r.key, r.rid, r.old.v, r.new.v) for r in found.where("key in ('10', '9')").collect()} == {("10", 10, "v10", "w10"), ("9", 9, "v9", "w49")}
+
+
 def test_number_patterns_agree():
     import itertools
     import re
